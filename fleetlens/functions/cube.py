@@ -6,7 +6,9 @@ A point of the globe is a unit vector in [-1, 1]^3. At level n each axis is cut
 great-circle distance, hence poles and the date line need no special case.
 
 A cell id packs a leading one and the three indexes into one long: ids of different
-levels never collide.
+levels never collide. Expressions are kept short on purpose; a code-generated stage that
+outgrows the JIT limit runs interpreted. ``explode_outer`` keeps Catalyst from inferring a
+filter on the exploded list, which would compute the list twice, below every projection.
 """
 
 from __future__ import annotations
@@ -18,9 +20,9 @@ from pyspark.sql import functions as F
 
 MAX_LEVEL = 20          # about 12 m on the ground
 CELLS_PER_BALL = 27
-_AXES = ("x", "y", "z")
-# Rounding of the unit vectors, far above their error and below a tenth of a millimetre.
-SLACK = 1e-11
+AXES = ("x", "y", "z")
+SLACK = 1e-11           # of a chord: far above rounding, below a tenth of a millimetre
+CELL_SLACK = 1e-6       # the same in cell sides
 
 
 def with_vector(df: DataFrame, lat: str, lng: str, prefix: str) -> DataFrame:
@@ -33,66 +35,79 @@ def with_vector(df: DataFrame, lat: str, lng: str, prefix: str) -> DataFrame:
     })
 
 
-def chord_sq(a: str, b: str) -> Column:
-    """Squared chord between the vectors with prefixes ``a`` and ``b``."""
-    parts = [F.col(f"{a}{x}") - F.col(f"{b}{x}") for x in _AXES]
-    return reduce(lambda s, d: s + d * d, parts, F.lit(0.0))
+def with_index(df: DataFrame, prefix: str, out: str, level: int = MAX_LEVEL) -> DataFrame:
+    """Add the slice numbers ``<out>x, <out>y, <out>z`` at ``level``; 1.0 is in the last slice."""
+    def index(axis: str) -> Column:
+        at = F.floor((F.col(f"{prefix}{axis}") + 1.0) * float(1 << (level - 1)))
+        return F.least(at, F.lit((1 << level) - 1)).cast("long")
 
+    return df.withColumns({f"{out}{a}": index(a) for a in AXES})
 
-def side(level: Column) -> Column:
-    return F.lit(2.0) / slices(level)
 
+def coarser(index: Column, steps: Column) -> Column:
+    """Slice number ``steps`` levels up."""
+    return F.call_function("shiftright", index, steps)
 
-def slices(level: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), level.cast("int")).cast("double")
 
+def cell_id(level: Column, *indexes: Column) -> Column:
+    x, y, z = indexes
+    return _shl(F.lit(1).cast("long"), level * 3) + _shl(x, level * 2) + _shl(y, level) + z
 
-def level_for(chord: Column) -> Column:
-    """The finest level whose cells are no smaller than ``chord``."""
-    exact = F.floor(-F.log2(F.greatest(chord, F.lit(1e-9)) / F.lit(2.0)))
-    return F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), exact)).cast("int")
+
+def cell_at(prefix: str, level: Column) -> Column:
+    """Cell of ``level`` from the finest slice numbers ``<prefix>x..z``."""
+    up = F.lit(MAX_LEVEL) - level
+    return cell_id(level, *[coarser(F.col(f"{prefix}{a}"), up) for a in AXES])
 
 
-def cell_id(level: Column, x: Column, y: Column, z: Column) -> Column:
-    """Id from the level and the three long indexes."""
-    lv = level.cast("int")
-    shl = lambda value, by: F.call_function("shiftleft", value, by)
-    lead = shl(F.lit(1).cast("long"), lv * 3)
-    return lead + shl(x, lv * 2) + shl(y, lv) + z
+def slices(level: Column) -> Column:
+    return _shl(F.lit(1).cast("long"), level).cast("double")
 
 
-def index_at(axis: Column, level: Column) -> Column:
-    """Slice of one coordinate; 1.0 belongs to the last slice."""
-    n = slices(level)
-    return F.least(F.floor((axis + 1.0) / 2.0 * n), (n - 1.0).cast("long")).cast("long")
+def level_for(chord: Column) -> Column:
+    """The finest level whose cells are no smaller than ``chord``."""
+    exact = F.floor(F.lit(1.0) - F.log2(F.greatest(chord, F.lit(1e-9))))
+    return F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), exact.cast("int")))
 
 
-def cell_of(prefix: str, level: Column) -> Column:
-    return cell_id(level, *[index_at(F.col(f"{prefix}{a}"), level) for a in _AXES])
+def chord_sq(a: str, b: str) -> Column:
+    """Squared chord between the vectors with prefixes ``a`` and ``b``."""
+    parts = [F.col(f"{a}{x}") - F.col(f"{b}{x}") for x in AXES]
+    return reduce(lambda s, d: s + d, [d * d for d in parts])
 
 
 def cover_ball(df: DataFrame, prefix: str, chord: str, level: str, out: str) -> DataFrame:
     """One row per cell of ``level`` that a ball around the vector can share with the sphere."""
-    lv, c = F.col(level), F.col(chord) + F.lit(SLACK)
-    n, s = slices(lv), side(lv)
-    cells = df
-    for a in _AXES:
-        v = F.col(f"{prefix}{a}")
-        lo = F.greatest(F.lit(0.0), F.floor((v - c + 1.0) / s).cast("double"))
-        hi = F.least(n - 1.0, F.floor((v + c + 1.0) / s).cast("double"))
-        cells = cells.withColumn(f"_i{a}", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
-    near, inner, outer = F.lit(0.0), F.lit(0.0), F.lit(0.0)
-    for a in _AXES:
-        v = F.col(f"{prefix}{a}")
-        low = F.col(f"_i{a}").cast("double") * s - 1.0
-        high = low + s
-        gap = F.greatest(low - v, v - high, F.lit(0.0))
-        least = F.greatest(low, -high, F.lit(0.0))
-        most = F.greatest(F.abs(low), F.abs(high))
-        near, inner, outer = near + gap * gap, inner + least * least, outer + most * most
-    touches = (near <= c * c) & (inner <= 1.0 + SLACK) & (outer >= 1.0 - SLACK)
+    v = {a: F.col(f"{prefix}{a}") for a in AXES}
+    t = {a: F.col(f"_t{a}") for a in AXES}
+    i = {a: F.col(f"_i{a}") for a in AXES}
+    # The vector and the ball in units of cell sides.
+    scaled = (
+        df.withColumn("_n", slices(F.col(level)))
+        .withColumns({
+            **{f"_t{a}": (v[a] + 1.0) * F.col("_n") * 0.5 for a in AXES},
+            "_u": F.col(chord) * F.col("_n") * 0.5 + CELL_SLACK,
+        })
+        .withColumns({
+            **{f"_lo{a}": F.greatest(F.lit(0), F.floor(t[a] - F.col("_u"))) for a in AXES},
+            **{f"_hi{a}": F.least((F.col("_n") - 1.0).cast("long"), F.floor(t[a] + F.col("_u")))
+               for a in AXES},
+            # Half the thickness of a cell along the vector, and the sagitta of the ball.
+            "_h": (F.abs(v["x"]) + F.abs(v["y"]) + F.abs(v["z"])) * 0.5
+            + F.col(chord) * F.col("_u") * 0.5 + CELL_SLACK,
+        })
+    )
+    for a in AXES:
+        scaled = scaled.withColumn(f"_i{a}", F.explode_outer(F.sequence(f"_lo{a}", f"_hi{a}")))
+    gaps = [F.greatest(i[a] - t[a], t[a] - i[a] - 1.0, F.lit(0.0)) for a in AXES]
+    near = reduce(lambda s, g: s + g, [F.pow(g, 2) for g in gaps])
+    height = reduce(lambda s, g: s + g, [v[a] * (i[a] + 0.5 - t[a]) for a in AXES])
     return (
-        cells.where(touches)
-        .withColumn(out, cell_id(lv, *[F.col(f"_i{a}") for a in _AXES]))
-        .drop(*[f"_i{a}" for a in _AXES])
+        scaled.where((near <= F.col("_u") * F.col("_u")) & (F.abs(height) <= F.col("_h")))
+        .withColumn(out, cell_id(F.col(level), *i.values()))
+        .drop("_n", "_u", "_h", *[f"{p}{a}" for p in ("_t", "_lo", "_hi", "_i") for a in AXES])
     )
+
+
+def _shl(value: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", value, by)

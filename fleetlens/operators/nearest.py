@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import cube, geodesy
 from fleetlens.operators.radius import ball_join, range_search
+from fleetlens.session import spread
 
-_AXES = ("x", "y", "z")
+# Neighbours tie at millimetres: a bound reaches that much farther (in earth radii).
+REACH_SLACK = 1e-9
 
 
 def knn_search(
@@ -85,73 +87,68 @@ def _thin_stacks(positions: DataFrame, max_k: int) -> DataFrame:
 
 def cell_counts(positions: DataFrame) -> DataFrame:
     """Positions per cube cell for every level: ``level, ix, iy, iz, cnt``."""
-    finest = F.lit(cube.MAX_LEVEL)
     fine = (
-        cube.with_vector(positions, "lat", "lng", "_p")
-        .select(*[cube.index_at(F.col(f"_p{a}"), finest).alias(f"f{a}") for a in _AXES])
-        .groupBy("fx", "fy", "fz").agg(F.count("*").alias("n"))
+        cube.with_index(cube.with_vector(positions, "lat", "lng", "_p"), "_p", "_f")
+        .groupBy(*[f"_f{a}" for a in cube.AXES]).agg(F.count("*").alias("n"))
     )
-    up = finest - F.col("level")
+    up = F.lit(cube.MAX_LEVEL) - F.col("level")
     return (
-        fine.withColumn("level", F.explode(F.sequence(F.lit(0), finest)))
-        .select("level", "n", *[
-            F.call_function("shiftright", F.col(f"f{a}"), up).alias(f"i{a}") for a in _AXES
-        ])
+        fine.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(cube.MAX_LEVEL))))
+        .select("level", "n",
+                *[cube.coarser(F.col(f"_f{a}"), up).alias(f"i{a}") for a in cube.AXES])
         .groupBy("level", "ix", "iy", "iz").agg(F.sum("n").alias("cnt"))
     )
 
 
-def _block_id(level: Column, lows: list[Column]) -> Column:
-    """Id of the block whose lowest cell per axis is ``lows``; -1 is a legal index."""
-    return cube.cell_id(level + 1, *[low + 1 for low in lows])
+def block_counts(counts: DataFrame) -> DataFrame:
+    """Positions per block of two cells per axis: ``_block, cnt``.
+
+    A block is named by its lowest cell plus one, as blocks reach one cell over the edge.
+    """
+    members = counts
+    for a in cube.AXES:
+        members = members.withColumn(
+            f"b{a}", F.explode(F.array(F.col(f"i{a}"), F.col(f"i{a}") + 1))
+        )
+    block = cube.cell_id(F.col("level") + 1, F.col("bx"), F.col("by"), F.col("bz"))
+    return members.groupBy(block.alias("_block")).agg(F.sum("cnt").alias("cnt"))
 
 
 def _with_bound(
     queries: DataFrame, positions: DataFrame, metric: str, max_radius_m: float | None
 ) -> DataFrame:
     """Queries with ``_chord``, a length that reaches the k-th neighbour for certain."""
-    counts = cell_counts(positions)
-    # Each cell takes part in two blocks per axis.
-    members = counts
-    for a in _AXES:
-        members = members.withColumn(
-            f"b{a}", F.explode(F.array(F.col(f"i{a}") - 1, F.col(f"i{a}")))
-        )
-    blocks = (
-        members.withColumn(
-            "_block", _block_id(F.col("level"), [F.col(f"b{a}") for a in _AXES])
-        )
-        .groupBy("_block").agg(F.sum("cnt").alias("cnt"))
+    half = cube.MAX_LEVEL + 1  # slices of half a finest cell
+    q = cube.with_index(
+        cube.with_vector(spread(queries, "qid"), "lat", "lng", "_v"), "_v", "_f", half
     )
 
-    def low(axis: str) -> Column:
-        s = cube.side(F.col("_bl"))
-        return F.floor((F.col(f"_v{axis}") + 1.0) / s - 0.5).cast("long")
-
-    q = cube.with_vector(queries, "lat", "lng", "_v")
-    looked_up = (
-        q.withColumn("_bl", F.explode(F.sequence(F.lit(0), F.lit(cube.MAX_LEVEL))))
-        .withColumn("_block", _block_id(F.col("_bl"), [low(a) for a in _AXES]))
-        .join(blocks, "_block")
+    def low(axis: str, level: Column) -> Column:
+        """Lowest cell plus one of the block whose middle half holds the query."""
+        halves = cube.coarser(F.col(f"_f{axis}"), F.lit(cube.MAX_LEVEL) - level)
+        return cube.coarser(halves + 1, F.lit(1))
+
+    level = F.col("_level")
+    found = (
+        q.select("qid", "k", *[f"_f{a}" for a in cube.AXES],
+                 F.explode(F.sequence(F.lit(0), F.lit(cube.MAX_LEVEL))).alias("_level"))
+        .select("qid", "k", "_level",
+                cube.cell_id(level + 1, *[low(a, level) for a in cube.AXES]).alias("_block"))
+        .join(block_counts(cell_counts(positions)), "_block")
         .where(F.col("cnt") >= F.col("k"))
-        .groupBy("qid").agg(F.max("_bl").alias("_bl"))
+        .groupBy("qid").agg(F.max("_level").alias("_level"))
     )
-    cap = F.lit(2.0)
-    if max_radius_m is not None:
-        cap = geodesy.chord_of(F.lit(float(max_radius_m)), metric)
+    n = cube.slices(level)
     far = F.lit(0.0)
-    s = cube.side(F.col("_bl"))
-    for a in _AXES:
-        v = F.col(f"_v{a}")
-        edge = F.col(f"_low{a}").cast("double") * s - 1.0
-        gap = F.greatest(v - edge, edge + s * 2.0 - v)
-        far = far + gap * gap
+    for a in cube.AXES:
+        # Distance to the farther side of the block, in cell sides.
+        t = (F.col(f"_v{a}") + 1.0) * n * 0.5 - low(a, level)
+        far = far + F.pow(F.abs(t) + 1.0, 2)
     # On the spheroid a neighbour at the bound may lie a little farther on the sphere.
     pad = 1.0 if metric == "sphere" else geodesy.SPHEROID_PAD * geodesy.SPHEROID_PAD
-    reach = F.sqrt(far) * F.lit(pad) + F.lit(1e-9)
-    return (
-        q.join(looked_up, "qid", "left")
-        .withColumns({f"_low{a}": low(a) for a in _AXES})
-        .withColumn("_chord", F.least(cap, F.coalesce(reach, F.lit(2.0))))
-        .select("qid", "lat", "lng", "k", "_chord")
-    )
+    reach = F.sqrt(far) / n * F.lit(2.0 * pad) + F.lit(REACH_SLACK)
+    cap = F.lit(2.0)  # the whole globe
+    if max_radius_m is not None:
+        cap = geodesy.chord_of(F.lit(float(max_radius_m)), metric)
+    chord = F.least(cap, F.coalesce(reach, F.lit(2.0)))
+    return q.join(found, "qid", "left").select("qid", "lat", "lng", "k", chord.alias("_chord"))

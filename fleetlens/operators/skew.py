@@ -1,10 +1,11 @@
 """Splitting of crowded join keys.
 
-A key that holds ``p`` rows of one side and ``q`` of the other makes one task compare
-``p * q`` pairs. Both sides are counted per key (partial aggregates, so the counts are
-small), and the heaviest keys get ``p / t`` sub-keys on one side times ``q / t`` on the
-other. Every pair of rows still meets exactly once: a row takes one sub-key of its own
-side and is copied to all sub-keys of the other side.
+In a cell join one task compares every query of a cell with every position of it, so a
+cell with a third of all positions is too much for one task however few bytes it has.
+The positions are counted per cell (a partial aggregate), and the most crowded cells
+get sub-cells: a position falls into one of them, a query is copied to all. Every pair
+still meets exactly once. A crowd of queries in a cell is many bytes in one shuffle
+partition, which AQE's skew join splits without help.
 """
 
 from __future__ import annotations
@@ -13,50 +14,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_SPLIT = 20_000
-# Upper bound of the table that is broadcast. A key left out of it does no more work
-# than the lightest one inside, that is at most 1/4096 of the whole join.
+# Upper bound of the table that is broadcast. A key left out of it has no more rows than
+# the least one inside, that is at most 1/4096 of all.
 MAX_HOT_KEYS = 4096
 
 
-def hot_keys(left: DataFrame, right: DataFrame, key: str, rows_per_split: int) -> DataFrame:
-    """The heaviest keys with their number of sub-keys per side, at most MAX_HOT_KEYS rows."""
-    lc = left.groupBy(key).agg(F.count("*").alias("_ln"))
-    rc = right.groupBy(key).agg(F.count("*").alias("_rn"))
-    t = F.lit(float(rows_per_split))
+def hot_keys(crowd: DataFrame, key: str, rows_per_split: int) -> DataFrame:
+    """The most crowded keys and their number of sub-keys, at most MAX_HOT_KEYS rows."""
     return (
-        lc.join(rc, key)
-        .where((F.col("_ln") > rows_per_split) | (F.col("_rn") > rows_per_split))
-        .orderBy(F.desc(F.col("_ln").cast("double") * F.col("_rn")), key)
+        crowd.groupBy(key).agg(F.count("*").alias("_rows"))
+        .where(F.col("_rows") > rows_per_split)
+        .orderBy(F.desc("_rows"), key)
         .limit(MAX_HOT_KEYS)
-        .select(key, F.ceil(F.col("_ln") / t).alias("_ls"), F.ceil(F.col("_rn") / t).alias("_rs"))
+        .select(key, F.ceil(F.col("_rows") / F.lit(float(rows_per_split))).alias("_parts"))
     )
 
 
 def split(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    left_id: str,
-    right_id: str,
+    others: DataFrame, crowd: DataFrame, key: str, crowd_id: str,
     rows_per_split: int = ROWS_PER_SPLIT,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides with sub-key columns, and the names of the columns to join on.
+    """Both sides with a ``_sub`` column, and the names of the columns to join on.
 
-    A row's own sub-key comes from its id, so a recomputed task repeats it.
+    The sub-key of a row comes from its id, so a recomputed task repeats it.
     """
-    hot = F.broadcast(hot_keys(left, right, key, rows_per_split))
-
-    def tagged(df: DataFrame, own: str, other: str, row_id: str, own_col: str, other_col: str):
-        n_own, n_other = (F.coalesce(F.col(c), F.lit(1)) for c in (own, other))
-        return (
-            df.join(hot, key, "left")
-            .withColumn(own_col, F.pmod(F.xxhash64(row_id), n_own))
-            .withColumn(other_col, F.explode(F.sequence(F.lit(0).cast("long"), n_other - 1)))
-            .drop("_ls", "_rs")
-        )
-
-    return (
-        tagged(left, "_ls", "_rs", left_id, "_lsub", "_rsub"),
-        tagged(right, "_rs", "_ls", right_id, "_rsub", "_lsub"),
-        [key, "_lsub", "_rsub"],
+    hot = F.broadcast(hot_keys(crowd, key, rows_per_split))
+    parts = F.coalesce(F.col("_parts"), F.lit(1).cast("long"))
+    copies = others.join(hot, key, "left").withColumn(
+        "_sub", F.explode_outer(F.sequence(F.lit(0).cast("long"), parts - 1))
     )
+    single = crowd.join(hot, key, "left").withColumn("_sub", F.pmod(F.xxhash64(crowd_id), parts))
+    return copies.drop("_parts"), single.drop("_parts"), [key, "_sub"]

@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.functions.pings import clean_id
 from fleetlens.operators.state import latest_positions
-from fleetlens.operators.validate import normalize_trace, split_valid
+from fleetlens.operators.validate import normalize_trace, valid
 from fleetlens.sources.topics import map_columns
 
 DAY_MS, HOUR_MS, MINUTE_MS = 86_400_000, 3_600_000, 60_000
@@ -27,24 +26,21 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 def trace(spark: SparkSession, sf: str) -> DataFrame:
     """Trace rows with arrival order and time; some are invalid on purpose."""
-    i = F.col("event_id")
-    kind = F.col("event_type")
-    seconds = F.expr("event_ms div 1000")
-    return events(spark, sf).select(
-        i.alias("seq"),
-        F.concat(F.lit("trj-"), F.col("user_id").cast("string")).alias("trj_id"),
-        F.when(kind == "click", "car").when(kind == "view", "Motorcycle")
-        .when(kind == "error", F.lit(None)).otherwise(kind).alias("driving_mode"),
-        F.when(i % 2 == 0, "android").otherwise("ios").alias("osname"),
-        seconds.alias("pingtimestamp"),
-        F.when(i % 101 == 0, 95.0).when(i % 103 == 0, F.lit(None))
-        .otherwise((F.lit(120000) + (i * 7919) % 27000) / F.lit(100000.0)).alias("rawlat"),
-        ((F.lit(10360000) + (i * 104729) % 45000) / F.lit(100000.0)).alias("rawlng"),
-        ((i * 13) % 350 / F.lit(10.0)).alias("speed"),
-        ((i * 17) % 372).cast("double").alias("bearing"),
-        F.when(i % 97 == 0, F.lit(None)).when(i % 89 == 0, -1.0)
-        .otherwise((i * 31) % 700 / F.lit(10.0)).alias("accuracy"),
-        (seconds * 1000 + (i * 37) % 3000 - 50).alias("ingest_ms"),
+    return events(spark, sf).selectExpr(
+        "event_id AS seq",
+        "concat('trj-', user_id) AS trj_id",
+        """CASE event_type WHEN 'click' THEN 'car' WHEN 'view' THEN 'Motorcycle'
+           WHEN 'error' THEN NULL ELSE event_type END AS driving_mode""",
+        "CASE WHEN event_id % 2 = 0 THEN 'android' ELSE 'ios' END AS osname",
+        "event_ms div 1000 AS pingtimestamp",
+        """CASE WHEN event_id % 101 = 0 THEN 95e0 WHEN event_id % 103 = 0 THEN NULL
+           ELSE (120000 + event_id * 7919 % 27000) / 100000e0 END AS rawlat""",
+        "(10360000 + event_id * 104729 % 45000) / 100000e0 AS rawlng",
+        "event_id * 13 % 350 / 10e0 AS speed",
+        "CAST(event_id * 17 % 372 AS double) AS bearing",
+        """CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 89 = 0 THEN -1e0
+           ELSE event_id * 31 % 700 / 10e0 END AS accuracy""",
+        "event_ms div 1000 * 1000 + event_id * 37 % 3000 - 50 AS ingest_ms",
     )
 
 
@@ -53,7 +49,7 @@ def pings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def valid_pings(spark: SparkSession, sf: str) -> DataFrame:
-    return split_valid(pings(spark, sf))[0]
+    return valid(pings(spark, sf))
 
 
 def positions(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,45 +139,41 @@ def poisoned_messages(messages: DataFrame) -> DataFrame:
 WRITE_URI, READ_URI = "/api/[a-z]+/update", "/api/[a-z]+/search/.*"
 
 
+APPLICATION = "element_at(array('table', 'log', 'stream'), CAST({} % 3 AS int) + 1)"
+
+
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     """Every event as a service request: nine writes to one read."""
-    i = F.col("event_id")
-    status = F.when(i % 41 == 0, 503).when(i % 59 == 0, 400).otherwise(200)
-    app = F.get(F.array(*map(F.lit, ("table", "log", "stream"))), (i % 3).cast("int"))
-    uri = F.when(i % 10 < 9, "update").otherwise(
-        F.concat(F.lit("search/"), F.get(F.array(*map(F.lit, ("range", "knn", "pip"))),
-                                         (i % 7 % 3).cast("int")))
-    )
-    return events(spark, sf).select(
-        F.col("event_ms").alias("ts_ms"),
-        app.alias("application"),
-        F.concat(F.lit("/api/"), app, F.lit("/"), uri).alias("uri"),
-        status.alias("status"),
-        F.when(status == 503, "SERVER_ERROR").when(status == 400, "CLIENT_ERROR")
-        .otherwise("SUCCESS").alias("outcome"),
-        ((i * 37) % 3000).alias("duration_ms"),
+    return events(spark, sf).selectExpr(
+        "event_id AS i", "event_ms AS ts_ms", APPLICATION.format("event_id") + " AS application",
+        """CASE WHEN event_id % 41 = 0 THEN 503 WHEN event_id % 59 = 0 THEN 400
+           ELSE 200 END AS status""",
+    ).selectExpr(
+        "ts_ms", "application",
+        """concat('/api/', application, '/', CASE WHEN i % 10 < 9 THEN 'update' ELSE
+           concat('search/', element_at(array('range', 'knn', 'pip'), CAST(i % 7 % 3 AS int) + 1))
+           END) AS uri""",
+        "status",
+        """CASE status WHEN 503 THEN 'SERVER_ERROR' WHEN 400 THEN 'CLIENT_ERROR'
+           ELSE 'SUCCESS' END AS outcome""",
+        "i * 37 % 3000 AS duration_ms",
     )
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
-    """Counter and gauge samples: one series per user, restarting now and then."""
-    i = F.col("event_id")
-    app = F.get(F.array(*map(F.lit, ("table", "log", "stream"))), (F.col("user_id") % 3).cast("int"))
-    return events(spark, sf).select(
-        i.alias("seq"), F.col("event_ms").alias("ts_ms"),
-        app.alias("application"),
-        # One application reports no process gauge, so the system gauge stands in.
-        F.when((i % 2 == 0) & (F.col("user_id") % 3 != 2), "process").otherwise("system")
-        .alias("metric"),
-        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("series"),
-        F.when(i % 83 == 0, F.lit(None)).otherwise((i % 1009).cast("double")).alias("value"),
+    """Counter and gauge samples: one series per user, restarting now and then.
+
+    One application reports no process gauge, so the system gauge stands in.
+    """
+    return events(spark, sf).selectExpr(
+        "event_id AS seq", "event_ms AS ts_ms", APPLICATION.format("user_id") + " AS application",
+        """CASE WHEN event_id % 2 = 0 AND user_id % 3 <> 2 THEN 'process' ELSE 'system'
+           END AS metric""",
+        "concat('user_', user_id) AS series",
+        "CASE WHEN event_id % 83 = 0 THEN NULL ELSE CAST(event_id % 1009 AS double) END AS value",
     )
 
 
 def gauges(spark: SparkSession, sf: str) -> DataFrame:
     """The samples as gauges between 0 and 1."""
     return samples(spark, sf).withColumn("value", F.col("value") / F.lit(1009.0))
-
-
-def clean_rider_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return pings(spark, sf).select(clean_id(F.col("user_id")).alias("user_id"))

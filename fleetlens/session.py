@@ -1,4 +1,4 @@
-"""Session settings and the shared folder for checkpoints and job tables."""
+"""Session settings, the shared folder, and size checks on plans."""
 
 from __future__ import annotations
 
@@ -16,6 +16,11 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Largest table, by Catalyst's estimate and with all copies counted, that is broadcast.
+BROADCAST_BYTES = 256 << 20
+# Inputs below this per core are spread over all cores before an explode.
+SPREAD_BYTES = 16 << 20
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
@@ -38,21 +43,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def planned_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan, or None where it is not reachable."""
+def planned_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan; huge where there is none."""
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except AttributeError:
-        return None
+        return 1 << 62
 
 
-def will_broadcast(df: DataFrame, rows_per_row: int = 1) -> bool:
-    """True if Catalyst itself is going to broadcast ``df`` in an equi-join.
+def may_broadcast(df: DataFrame, copies: int = 1) -> bool:
+    """True if ``df`` is small enough to broadcast after an explode into ``copies`` rows."""
+    return planned_bytes(df) * copies <= BROADCAST_BYTES
 
-    ``rows_per_row`` bounds how many rows an explode above ``df`` makes of one.
-    """
-    size = planned_bytes(df)
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    digits = limit.lower().removesuffix("b")
-    return size is not None and digits.lstrip("-").isdigit() and size * rows_per_row <= int(digits)
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A small input over all cores, by ``key``. A large one has splits enough and is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if planned_bytes(df) < SPREAD_BYTES * cores else df
