@@ -26,12 +26,15 @@ CELL_SLACK = 1e-6       # the same in cell sides
 
 
 def with_vector(df: DataFrame, lat: str, lng: str, prefix: str) -> DataFrame:
-    """Add the unit vector ``<prefix>x, <prefix>y, <prefix>z``."""
+    """Add the unit vector ``<prefix>x, <prefix>y, <prefix>z``.
+
+    A missing coordinate becomes NaN, which is in no cell: as the vector is never null,
+    Catalyst infers no null checks on it, which would compute it again below.
+    """
     phi, lam = F.radians(F.col(lat)), F.radians(F.col(lng))
+    parts = (F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi))
     return df.withColumns({
-        f"{prefix}x": F.cos(phi) * F.cos(lam),
-        f"{prefix}y": F.cos(phi) * F.sin(lam),
-        f"{prefix}z": F.sin(phi),
+        f"{prefix}{a}": F.coalesce(v, F.lit(float("nan"))) for a, v in zip(AXES, parts)
     })
 
 
@@ -66,8 +69,8 @@ def slices(level: Column) -> Column:
 
 def level_for(chord: Column) -> Column:
     """The finest level whose cells are no smaller than ``chord``."""
-    exact = F.floor(F.lit(1.0) - F.log2(F.greatest(chord, F.lit(1e-9))))
-    return F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), exact.cast("int")))
+    exact = F.floor(F.lit(1.0) - F.log2(F.greatest(chord, F.lit(1e-9)))).cast("int")
+    return F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), F.coalesce(exact, F.lit(0))))
 
 
 def chord_sq(a: str, b: str) -> Column:

@@ -67,7 +67,8 @@ def chord_of(radius_m: Column, metric: str) -> Column:
     """Straight-line length, on the unit sphere, that covers ``radius_m``."""
     pad = SPHEROID_PAD if metric == "spheroid" else 1.0
     half_angle = radius_m * F.lit(pad / (2 * EARTH_RADIUS_M))
-    return F.lit(2.0) * F.sin(F.least(half_angle, F.lit(math.pi / 2)))
+    chord = F.lit(2.0) * F.sin(F.least(half_angle, F.lit(math.pi / 2)))
+    return F.coalesce(chord, F.lit(0.0))  # no radius, no reach
 
 
 def _half_chord_sq(phi1: Column, phi2: Column, d_phi: Column, d_lambda: Column) -> Column:

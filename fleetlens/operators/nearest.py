@@ -2,13 +2,17 @@
 
 The join needs no trial radius and no loop. Positions are counted per cube cell at all
 levels. A block of two cells per axis, placed so that the query lies in its middle
-half, is looked up for every level; the finest block with k positions or more bounds
-the distance of the k-th neighbour by the block's farthest corner. A finer count of
-the same block tightens that bound, and one ball join with it finds the neighbours.
+half, is looked up for every level, and the finest block with k positions or more is
+taken. Its cells of the next level, nearest first, hold k positions within a distance
+that is known from counts alone; one ball join with that reach finds the neighbours.
+Each lookup meets one row per block, or at most 64, so its work grows with its bytes
+and AQE's skew join is enough where many queries share a place.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,70 +89,86 @@ def _thin_stacks(positions: DataFrame, max_k: int) -> DataFrame:
     return positions.withColumn("_n", F.row_number().over(stack)).where(F.col("_n") <= max_k)
 
 
-def cell_counts(positions: DataFrame) -> DataFrame:
-    """Positions per cube cell for every level: ``level, ix, iy, iz, cnt``."""
+def cell_counts(positions: DataFrame, top: int = 0) -> DataFrame:
+    """Positions per cube cell for every level from ``top`` on: ``level, ix, iy, iz, cnt``."""
     fine = (
         cube.with_index(cube.with_vector(positions, "lat", "lng", "_p"), "_p", "_f")
         .groupBy(*[f"_f{a}" for a in cube.AXES]).agg(F.count("*").alias("n"))
     )
     up = F.lit(cube.MAX_LEVEL) - F.col("level")
     return (
-        fine.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(cube.MAX_LEVEL))))
+        fine.withColumn("level", F.explode(F.sequence(F.lit(top), F.lit(cube.MAX_LEVEL))))
         .select("level", "n",
                 *[cube.coarser(F.col(f"_f{a}"), up).alias(f"i{a}") for a in cube.AXES])
         .groupBy("level", "ix", "iy", "iz").agg(F.sum("n").alias("cnt"))
     )
 
 
-def block_counts(counts: DataFrame) -> DataFrame:
-    """Positions per block of two cells per axis: ``_block, cnt``.
+def block_members(counts: DataFrame) -> DataFrame:
+    """Blocks of two cells per axis with their cells of the next level: ``_block, ix, iy, iz, cnt``.
 
-    A block is named by its lowest cell plus one, as blocks reach one cell over the edge.
+    A cell takes part in two blocks per axis. A block is named by its level and its lowest
+    cell plus one, as blocks reach one cell over the edge.
     """
-    members = counts
+    members = counts.where(F.col("level") > 0)
     for a in cube.AXES:
-        members = members.withColumn(
-            f"b{a}", F.explode(F.array(F.col(f"i{a}"), F.col(f"i{a}") + 1))
-        )
-    block = cube.cell_id(F.col("level") + 1, F.col("bx"), F.col("by"), F.col("bz"))
-    return members.groupBy(block.alias("_block")).agg(F.sum("cnt").alias("cnt"))
+        parent = cube.coarser(F.col(f"i{a}"), F.lit(1))
+        members = members.withColumn(f"b{a}", F.explode(F.array(parent, parent + 1)))
+    block = cube.cell_id(F.col("level"), F.col("bx"), F.col("by"), F.col("bz"))
+    return members.select(block.alias("_block"), "ix", "iy", "iz", "cnt")
 
 
 def _with_bound(
     queries: DataFrame, positions: DataFrame, metric: str, max_radius_m: float | None
 ) -> DataFrame:
     """Queries with ``_chord``, a length that reaches the k-th neighbour for certain."""
+    cap, top = 2.0, 0  # the whole globe
+    if max_radius_m is not None:
+        pad = geodesy.SPHEROID_PAD if metric == "spheroid" else 1.0
+        cap = 2.0 * math.sin(min(max_radius_m * pad / (2 * geodesy.EARTH_RADIUS_M), math.pi / 2))
+        # Cells larger than the cap tell nothing.
+        top = min(cube.MAX_LEVEL - 1, max(0, math.floor(1 - math.log2(max(cap, 1e-9)))))
+    members = block_members(cell_counts(positions, top))
+    blocks = members.groupBy("_block").agg(F.sum("cnt").alias("_n"))
+
     half = cube.MAX_LEVEL + 1  # slices of half a finest cell
     q = cube.with_index(
         cube.with_vector(spread(queries, "qid"), "lat", "lng", "_v"), "_v", "_f", half
     )
+    level = F.col("_level")
 
-    def low(axis: str, level: Column) -> Column:
+    def low(axis: str) -> Column:
         """Lowest cell plus one of the block whose middle half holds the query."""
         halves = cube.coarser(F.col(f"_f{axis}"), F.lit(cube.MAX_LEVEL) - level)
         return cube.coarser(halves + 1, F.lit(1))
 
-    level = F.col("_level")
-    found = (
-        q.select("qid", "k", *[f"_f{a}" for a in cube.AXES],
-                 F.explode(F.sequence(F.lit(0), F.lit(cube.MAX_LEVEL))).alias("_level"))
-        .select("qid", "k", "_level",
-                cube.cell_id(level + 1, *[low(a, level) for a in cube.AXES]).alias("_block"))
-        .join(block_counts(cell_counts(positions)), "_block")
-        .where(F.col("cnt") >= F.col("k"))
+    block = cube.cell_id(level + 1, *[low(a) for a in cube.AXES]).alias("_block")
+    levels = F.sequence(F.lit(top), F.lit(cube.MAX_LEVEL - 1))
+    finest = (
+        q.select("qid", "k", *[f"_f{a}" for a in cube.AXES], F.explode(levels).alias("_level"))
+        .select("qid", "k", "_level", block)
+        .join(blocks, "_block")
+        .where(F.col("_n") >= F.col("k"))
         .groupBy("qid").agg(F.max("_level").alias("_level"))
     )
-    n = cube.slices(level)
+    # Farthest corner of each member cell, in sides of the members' level.
+    n = cube.slices(level + 1)
     far = F.lit(0.0)
     for a in cube.AXES:
-        # Distance to the farther side of the block, in cell sides.
-        t = (F.col(f"_v{a}") + 1.0) * n * 0.5 - low(a, level)
-        far = far + F.pow(F.abs(t) + 1.0, 2)
+        t = (F.col(f"_v{a}") + 1.0) * n * 0.5 - F.col(f"i{a}") - 0.5
+        far = far + F.pow(F.abs(t) + 0.5, 2)
     # On the spheroid a neighbour at the bound may lie a little farther on the sphere.
-    pad = 1.0 if metric == "sphere" else geodesy.SPHEROID_PAD * geodesy.SPHEROID_PAD
-    reach = F.sqrt(far) / n * F.lit(2.0 * pad) + F.lit(REACH_SLACK)
-    cap = F.lit(2.0)  # the whole globe
-    if max_radius_m is not None:
-        cap = geodesy.chord_of(F.lit(float(max_radius_m)), metric)
-    chord = F.least(cap, F.coalesce(reach, F.lit(2.0)))
-    return q.join(found, "qid", "left").select("qid", "lat", "lng", "k", chord.alias("_chord"))
+    wider = 1.0 if metric == "sphere" else geodesy.SPHEROID_PAD * geodesy.SPHEROID_PAD
+    reach = F.sqrt(far) / n * F.lit(2.0 * wider) + F.lit(REACH_SLACK)
+    nearest_first = Window.partitionBy("qid").orderBy("_reach")
+    enough = F.sum("cnt").over(nearest_first) >= F.col("k")
+    chord = F.least(F.lit(cap), F.coalesce(F.min(F.when(F.col("_enough"), F.col("_reach"))),
+                                           F.lit(cap)))
+    return (
+        q.join(finest, "qid", "left")
+        .select("qid", "lat", "lng", "k", *[f"_v{a}" for a in cube.AXES], "_level", block)
+        .join(members, "_block", "left")
+        .select("qid", "lat", "lng", "k", "cnt", reach.alias("_reach"))
+        .withColumn("_enough", enough)
+        .groupBy("qid", "lat", "lng", "k").agg(chord.alias("_chord"))
+    )
