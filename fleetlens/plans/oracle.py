@@ -221,7 +221,8 @@ add("range_spheroid", "pos", """SELECT user_id, lat, lng, speed, accuracy, ts_ms
   FROM g WHERE d <= 8000""", _NEAR_G)
 add("range_km_paged", "pos", f"""SELECT {_HIT} FROM near WHERE d <= 12500
   ORDER BY round(d, 3), user_id LIMIT 10""", _NEAR)
-_RANK = "row_number() OVER (PARTITION BY qid ORDER BY round(d, 3), user_id) AS rank"
+_RANK = ("CAST(row_number() OVER (PARTITION BY qid ORDER BY round(d, 3), user_id) AS INTEGER) "
+         "AS rank")
 _PAIR = "qid, user_id, latitude, longitude, round(d, 3) AS distance_meter"
 add("range_join", "hits", f"SELECT {_PAIR}, {_RANK} FROM hits")
 add("knn_uncapped", "pos", f"SELECT {_HIT} FROM g ORDER BY round(d, 3), user_id LIMIT 10", _NEAR_G)

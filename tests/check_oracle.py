@@ -47,6 +47,17 @@ def differences(spark_df: pd.DataFrame, sql_df: pd.DataFrame) -> str | None:
     return f"{len(bad)} rows differ, first {bad[0]}" if bad else None
 
 
+SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "boolean": "BOOLEAN"}
+
+
+def type_differences(df, relation) -> str | None:
+    """Columns whose Spark type and SQL type are not the same."""
+    sql = dict(zip(relation.columns, map(str, relation.types)))
+    bad = [f"{c} {k} vs {sql.get(c)}" for c, k in df.dtypes if SAME_TYPE.get(k) != sql.get(c)]
+    return f"types {bad}" if bad else None
+
+
 def main() -> int:
     import __spark_entry__ as entry
     from tests.conftest import make_session
@@ -58,10 +69,11 @@ def main() -> int:
     for name in names:
         start = time.time()
         try:
-            got = entry.queries()[name](spark, sf).toPandas()
+            df = entry.queries()[name](spark, sf)
+            got = df.toPandas()
             took = time.time() - start
-            want = con.execute(entry.oracle_sql()[name]).df()
-            problem = differences(got, want)
+            want = con.sql(entry.oracle_sql()[name])
+            problem = type_differences(df, want) or differences(got, want.df())
             print(f"{'ok  ' if not problem else 'FAIL'} {name} {len(got)} rows {took:.1f}s "
                   f"{problem or ''}", flush=True)
         except Exception as e:  # report and go on with the next query

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from tests.check_oracle import connect, differences
+from tests.check_oracle import connect, differences, type_differences
 
 
 @pytest.fixture(scope="module")
@@ -17,10 +17,11 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", list(entry.queries()))
 def test_query_matches_sql(name, spark, sf, con):
-    got = entry.queries()[name](spark, sf).toPandas()
-    want = con.execute(entry.oracle_sql()[name]).df()
+    df = entry.queries()[name](spark, sf)
+    got, want = df.toPandas(), con.sql(entry.oracle_sql()[name])
     assert len(got) > 0
-    assert differences(got, want) is None
+    assert type_differences(df, want) is None
+    assert differences(got, want.df()) is None
 
 
 def test_entry(spark):
