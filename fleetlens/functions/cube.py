@@ -63,6 +63,12 @@ def cell_at(prefix: str, level: Column) -> Column:
     return cell_id(level, *[coarser(F.col(f"{prefix}{a}"), up) for a in AXES])
 
 
+def indexes_of(cell: Column, level: Column) -> list[Column]:
+    """The three slice numbers of a cell."""
+    mask = _shl(F.lit(1).cast("long"), level) - 1
+    return [coarser(cell, level * steps).bitwiseAND(mask) for steps in (2, 1, 0)]
+
+
 def slices(level: Column) -> Column:
     return _shl(F.lit(1).cast("long"), level).cast("double")
 

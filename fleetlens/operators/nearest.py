@@ -90,17 +90,14 @@ def _thin_stacks(positions: DataFrame, max_k: int) -> DataFrame:
 
 
 def cell_counts(positions: DataFrame, top: int = 0) -> DataFrame:
-    """Positions per cube cell for every level from ``top`` on: ``level, ix, iy, iz, cnt``."""
-    fine = (
-        cube.with_index(cube.with_vector(positions, "lat", "lng", "_p"), "_p", "_f")
-        .groupBy(*[f"_f{a}" for a in cube.AXES]).agg(F.count("*").alias("n"))
-    )
-    up = F.lit(cube.MAX_LEVEL) - F.col("level")
+    """Positions per cube cell for every level from ``top`` on: ``level, cell, cnt``."""
+    level = F.col("level")
     return (
-        fine.withColumn("level", F.explode(F.sequence(F.lit(top), F.lit(cube.MAX_LEVEL))))
-        .select("level", "n",
-                *[cube.coarser(F.col(f"_f{a}"), up).alias(f"i{a}") for a in cube.AXES])
-        .groupBy("level", "ix", "iy", "iz").agg(F.sum("n").alias("cnt"))
+        cube.with_index(cube.with_vector(positions, "lat", "lng", "_p"), "_p", "_f")
+        .select(*[f"_f{a}" for a in cube.AXES],
+                F.explode(F.sequence(F.lit(top), F.lit(cube.MAX_LEVEL))).alias("level"))
+        .groupBy("level", cube.cell_at("_f", level).alias("cell"))
+        .agg(F.count("*").alias("cnt"))
     )
 
 
@@ -108,13 +105,19 @@ def block_members(counts: DataFrame) -> DataFrame:
     """Blocks of two cells per axis with their cells of the next level: ``_block, ix, iy, iz, cnt``.
 
     A cell takes part in two blocks per axis. A block is named by its level and its lowest
-    cell plus one, as blocks reach one cell over the edge.
+    cell plus one, as blocks reach one cell over the edge. Cells with a single position,
+    which is most of the fine ones, are left out: counts only have to be lower bounds, and
+    a block that needs them gives way to the next larger one.
     """
-    members = counts.where(F.col("level") > 0)
+    level = F.col("level")
+    indexes = cube.indexes_of(F.col("cell"), level)
+    members = counts.where((level > 0) & (F.col("cnt") > 1)).select(
+        "level", "cnt", *[i.alias(f"i{a}") for a, i in zip(cube.AXES, indexes)]
+    )
     for a in cube.AXES:
         parent = cube.coarser(F.col(f"i{a}"), F.lit(1))
         members = members.withColumn(f"b{a}", F.explode(F.array(parent, parent + 1)))
-    block = cube.cell_id(F.col("level"), F.col("bx"), F.col("by"), F.col("bz"))
+    block = cube.cell_id(level, F.col("bx"), F.col("by"), F.col("bz"))
     return members.select(block.alias("_block"), "ix", "iy", "iz", "cnt")
 
 

@@ -17,7 +17,7 @@ SETTINGS = {
 }
 
 # Largest table, by Catalyst's estimate and with all copies counted, that is broadcast.
-BROADCAST_BYTES = 256 << 20
+BROADCAST_BYTES = 128 << 20
 # Inputs below this per core are spread over all cores before an explode.
 SPREAD_BYTES = 16 << 20
 

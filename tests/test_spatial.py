@@ -256,3 +256,25 @@ def test_same_cell_split_equals_plain(spark, sf):
     assert plain.exceptAll(split).count() == 0 and plain.count() == split.count() > 0
     lat, lng = inputs.CENTRE
     assert areas.same_cell_search(p, lat, lng).count() >= 0
+
+
+def test_every_way_of_joining_gives_the_same(spark, sf, monkeypatch):
+    """Broadcasting one side, the other, or none: sizes only choose the plan."""
+    from fleetlens.operators import areas as area_ops, radius as radius_ops
+
+    q, p = inputs.query_points(spark, sf), inputs.positions(spark, sf)
+    squares = polygon_source.from_arrays(inputs.squares(spark, sf))
+
+    def results():
+        return [sorted(map(tuple, df.collect())) for df in (
+            radius_ops.range_join(q, p), nearest.knn_join(q, p, max_k=50),
+            area_ops.polygon_join(squares, p), area_ops.same_cell_join(q, p))]
+
+    broadcast_positions = results()
+    assert all(broadcast_positions)
+    for module in (radius_ops, area_ops):
+        monkeypatch.setattr(module, "may_broadcast", lambda df, copies=1: "user_id" not in df.columns)
+    assert results() == broadcast_positions
+    for module in (radius_ops, area_ops):
+        monkeypatch.setattr(module, "may_broadcast", lambda df, copies=1: False)
+    assert results() == broadcast_positions
