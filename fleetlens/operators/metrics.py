@@ -191,32 +191,34 @@ def gauge_last(samples: DataFrame) -> DataFrame:
     )
 
 
-def counter_increase(samples: DataFrame, width_ms: int) -> DataFrame:
+def counter_increase(samples: DataFrame, width_ms: int, piece_ms: int = 60_000) -> DataFrame:
     """Increase of each counter series per window; a smaller value means a restart at zero.
 
     A series may hold any share of all samples, so it is never one group: differences are
-    taken inside (series, window), and the first sample of a window is compared with the
-    last one of the previous window that has any.
+    taken inside short pieces of time, and the first sample of a piece is compared with the
+    last one of the previous piece that has any. ``width_ms`` is a multiple of ``piece_ms``.
     """
-    part = samples.where(F.col("value").isNotNull()).withColumn(
-        "window_ms", window_start(F.col("ts_ms"), width_ms)
+    if width_ms % piece_ms:
+        piece_ms = width_ms
+    piece = samples.where(F.col("value").isNotNull()).withColumn(
+        "piece_ms", window_start(F.col("ts_ms"), piece_ms)
     )
-    inner = Window.partitionBy("series", "window_ms").orderBy("ts_ms", "seq")
-    prev = F.lag("value").over(inner)
-    step = F.when(F.col("value") < F.col("_prev"), F.col("value")).otherwise(
-        F.col("value") - F.col("_prev")
-    )
-    per_window = (
-        part.withColumn("_prev", prev)
-        .groupBy("series", "window_ms")
-        .agg(F.sum(step).alias("_inside"),
+    in_piece = Window.partitionBy("series", "piece_ms").orderBy("ts_ms", "seq")
+
+    def rise(value: Column, before: Column) -> Column:
+        return F.when(value < before, value).otherwise(value - before)
+
+    pieces = (
+        piece.withColumn("_rise", rise(F.col("value"), F.lag("value").over(in_piece)))
+        .groupBy("series", "piece_ms")
+        .agg(F.sum("_rise").alias("_inside"),
              F.min_by("value", F.struct("ts_ms", "seq")).alias("_first"),
              F.max_by("value", F.struct("ts_ms", "seq")).alias("_last"))
     )
-    before = F.lag("_last").over(Window.partitionBy("series").orderBy("window_ms"))
-    entry = F.when(F.col("_before").isNull(), 0.0).when(
-        F.col("_first") < F.col("_before"), F.col("_first")
-    ).otherwise(F.col("_first") - F.col("_before"))
-    return per_window.withColumn("_before", before).select(
-        "series", "window_ms", (F.coalesce(F.col("_inside"), F.lit(0.0)) + entry).alias("increase")
+    before = F.lag("_last").over(Window.partitionBy("series").orderBy("piece_ms"))
+    zero = F.lit(0.0)
+    return (
+        pieces.withColumn("_entry", rise(F.col("_first"), before))
+        .groupBy("series", window_start(F.col("piece_ms"), width_ms).alias("window_ms"))
+        .agg(F.sum(F.coalesce("_inside", zero) + F.coalesce("_entry", zero)).alias("increase"))
     )

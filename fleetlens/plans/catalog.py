@@ -235,9 +235,13 @@ def range_km_paged(spark, sf):
 
 @query
 def range_join(spark, sf):
-    return radius.rank_hits(
-        radius.range_join(inputs.query_points(spark, sf), inputs.positions(spark, sf))
-    )
+    return radius.range_join(inputs.query_points(spark, sf), inputs.positions(spark, sf))
+
+
+@query
+def range_join_paged(spark, sf):
+    hits = radius.range_join(inputs.query_points(spark, sf), inputs.positions(spark, sf))
+    return radius.first_hits(hits, 10)
 
 
 @query

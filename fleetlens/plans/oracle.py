@@ -224,7 +224,8 @@ add("range_km_paged", "pos", f"""SELECT {_HIT} FROM near WHERE d <= 12500
 _RANK = ("CAST(row_number() OVER (PARTITION BY qid ORDER BY round(d, 3), user_id) AS INTEGER) "
          "AS rank")
 _PAIR = "qid, user_id, latitude, longitude, round(d, 3) AS distance_meter"
-add("range_join", "hits", f"SELECT {_PAIR}, {_RANK} FROM hits")
+add("range_join", "hits", f"SELECT {_PAIR} FROM hits")
+add("range_join_paged", "hits", f"SELECT * FROM (SELECT {_PAIR}, {_RANK} FROM hits) WHERE rank <= 10")
 add("knn_uncapped", "pos", f"SELECT {_HIT} FROM g ORDER BY round(d, 3), user_id LIMIT 10", _NEAR_G)
 _ALL = """SELECT q.qid, q.k, q.lat AS qlat, q.lng AS qlng, pos.user_id, pos.lat AS latitude,
   pos.lng AS longitude FROM q, pos"""

@@ -26,5 +26,5 @@ def test_query_matches_sql(name, spark, sf, con):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == [
-        "qid", "user_id", "latitude", "longitude", "distance_meter", "rank"
+        "qid", "user_id", "latitude", "longitude", "distance_meter"
     ]

@@ -146,8 +146,9 @@ def test_counter_increase_over_windows_and_restarts(spark):
     rows = [(i, t, "s", v) for i, (t, v) in enumerate(
         [(0, 5.0), (10, 8.0), (100, 9.0), (110, 2.0), (350, 4.0), (360, None), (370, 4.0)])]
     df = spark.createDataFrame(rows, "seq long, ts_ms long, series string, value double")
-    got = metrics.counter_increase(df, 100).orderBy("window_ms").collect()
-    assert [(r.window_ms, r.increase) for r in got] == [(0, 3.0), (100, 3.0), (300, 2.0)]
+    for piece in (100, 10, 7):
+        got = metrics.counter_increase(df, 100, piece).orderBy("window_ms").collect()
+        assert [(r.window_ms, r.increase) for r in got] == [(0, 3.0), (100, 3.0), (300, 2.0)]
 
 
 def test_error_rate_and_bands(spark):
