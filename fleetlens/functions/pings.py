@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fleetlens.schemas import PING_JSON
+
 MS_TO_KMH = 3.6
 ON_TASK = "ON_TASK"
 STATUS_TTL_MS = 30 * 60 * 1000
@@ -62,3 +64,8 @@ def text_or_null_word(value: Column, null_text: bool) -> Column:
 def lag_ms(ts_ms: Column, ingest_ms: Column) -> Column:
     """Age of a ping on arrival; null without a usable time stamp."""
     return F.when(ts_ms > 0, ingest_ms - ts_ms)
+
+
+def document() -> Column:
+    """A ping as a struct under the field names of its JSON form."""
+    return F.struct(*[F.col(column).alias(field) for field, column in PING_JSON.items()])

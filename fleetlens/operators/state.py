@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.pings import STATUS_TTL_MS, clean_id
+from fleetlens.functions.pings import STATUS_TTL_MS, clean_id, document
 from fleetlens.schemas import SERVICE_TYPES
 
 ORDERS = ("seq", "ts_ms")
@@ -115,18 +115,11 @@ def point_lookup(positions: DataFrame, user_ids: DataFrame) -> DataFrame:
     return positions.join(user_ids.select("user_id").distinct(), "user_id", "left_semi")
 
 
-STATUS_FIELDS = (
-    "user_id", "service_type", "latitude", "longitude", "heading", "speed",
-    "accuracy", "status", "ts_ms",
-)
-
-
 def status_snapshot(pings: DataFrame, ttl_ms: int = STATUS_TTL_MS) -> DataFrame:
     """Last status document per rider and the time it expires; each write renews it."""
-    doc = F.struct(*STATUS_FIELDS)
     return (
         pings.groupBy("user_id")
-        .agg(F.max_by(doc, "seq").alias("doc"), F.max_by("ingest_ms", "seq").alias("last_ms"))
+        .agg(F.max_by(document(), "seq").alias("doc"), F.max_by("ingest_ms", "seq").alias("last_ms"))
         .select("user_id", F.to_json("doc").alias("document"),
                 (F.col("last_ms") + ttl_ms).alias("expires_at"))
     )

@@ -101,10 +101,10 @@ def ping_encode_kv(spark, sf):
     field = lambda name: F.get_json_object("value", f"$.{name}")
     return sent.select(
         "seq", "key",
-        field("service_type").alias("service_type"),
+        field("serviceType").alias("service_type"),
         field("latitude").cast("double").alias("latitude"),
         field("speed").cast("double").alias("speed"),
-        field("ts_ms").cast("long").alias("ts_ms"),
+        field("timestamp").cast("long").alias("ts_ms"),
     )
 
 
@@ -341,8 +341,9 @@ def status_snapshot(spark, sf):
     return state.status_snapshot(
         validate.sanitize_ids(validate.consumable(inputs.pings(spark, sf)))
     ).select(
-        "user_id", "expires_at", field("service_type").alias("service_type"),
-        field("heading").cast("double").alias("heading"), field("ts_ms").cast("long").alias("ts_ms"),
+        "user_id", "expires_at", field("serviceType").alias("service_type"),
+        field("heading").cast("double").alias("heading"),
+        field("timestamp").cast("long").alias("ts_ms"),
     )
 
 

@@ -20,6 +20,19 @@ PING = _struct(
     (_LONG, "ts_ms ingest_ms"),
 )
 
+# Field names of a ping as JSON, and the columns they become.
+PING_JSON = {
+    "userId": "user_id",
+    "serviceType": "service_type",
+    "latitude": "latitude",
+    "longitude": "longitude",
+    "heading": "heading",
+    "speed": "speed",
+    "accuracy": "accuracy",
+    "status": "status",
+    "timestamp": "ts_ms",
+}
+
 POSITION = _struct(
     (_TEXT, "user_id"), (_DOUBLE, "lat lng speed accuracy"), (_TEXT, "service_type"),
     (_LONG, "ts_ms updated_ms seq"),

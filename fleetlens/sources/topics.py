@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions.hexcell import hex_cell
-from fleetlens.functions.pings import lng_lat_text, text_or_null_word
+from fleetlens.functions.pings import document, lng_lat_text, text_or_null_word
 from fleetlens.operators.validate import producible
-from fleetlens.schemas import MAP_FIELDS, PING, TOPIC
+from fleetlens.schemas import MAP_FIELDS, PING, PING_JSON, TOPIC
 
 FORMATS = ("kafka", "json", "parquet")
 CORRUPT = "_corrupt_record"
-_PING_JSON = T.StructType([*PING, T.StructField(CORRUPT, T.StringType())])
+_MESSAGE = T.StructType(
+    [T.StructField(field, PING[column].dataType) for field, column in PING_JSON.items()]
+    + [T.StructField(CORRUPT, T.StringType())]
+)
 
 
 # ---- encode -----------------------------------------------------------------------
@@ -21,11 +24,8 @@ _PING_JSON = T.StructType([*PING, T.StructField(CORRUPT, T.StringType())])
 
 def encode_kv(pings: DataFrame) -> DataFrame:
     """Pings to keyed JSON messages; pings without a key are dropped."""
-    fields = [c for c in PING.fieldNames() if c not in ("seq", "ingest_ms")]
     return producible(pings).select(
-        F.col("user_id").alias("key"),
-        F.to_json(F.struct(*fields)).alias("value"),
-        "seq", "ingest_ms",
+        F.col("user_id").alias("key"), F.to_json(document()).alias("value"), "seq", "ingest_ms"
     )
 
 
@@ -62,14 +62,18 @@ def encode_map(records: DataFrame) -> DataFrame:
 # ---- decode -----------------------------------------------------------------------
 
 
-def decode_pings(messages: DataFrame) -> DataFrame:
-    """Typed pings; ``_corrupt_record`` holds the text of a message that is no ping."""
-    value = F.from_json("value", _PING_JSON,
+def decode_pings(messages: DataFrame, arrival_as_timestamp: bool = False) -> DataFrame:
+    """Typed pings; ``_corrupt_record`` holds the text of a message that is no ping.
+
+    A ping without a time stamp keeps none, or takes its arrival time on request.
+    """
+    value = F.from_json("value", _MESSAGE,
                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    typed = [c for c in PING.fieldNames() if c not in ("seq", "ingest_ms")]
-    return messages.withColumn("_p", value).select(
-        "seq", *[f"_p.{c}" for c in typed], "ingest_ms", f"_p.{CORRUPT}"
-    )
+    fields = [F.col(f"_p.{field}").alias(column) for field, column in PING_JSON.items()]
+    pings = messages.withColumn("_p", value).select("seq", *fields, "ingest_ms", f"_p.{CORRUPT}")
+    if arrival_as_timestamp:
+        pings = pings.withColumn("ts_ms", F.coalesce("ts_ms", "ingest_ms"))
+    return pings
 
 
 def split_poison(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -174,3 +174,17 @@ def test_samples_round_trip(spark, tmp_path):
                                "series string, value double")
     df.write.parquet(str(tmp_path / "s"))
     assert metrics.gauge_last(tables.read_samples(spark, str(tmp_path / "s"))).first().value == 0.5
+
+
+def test_ping_json(spark):
+    df = frame(spark, ping(7, "a", lat=1.5, service="BIKE"), ping(8, None), ping(9, ts=None))
+    sent = topics.encode_kv(df)
+    first = sent.where("seq = 7").first()
+    assert first.key == "a"
+    assert first.value == (
+        '{"userId":"a","serviceType":"BIKE","latitude":1.5,"longitude":2.0,"heading":0.0,'
+        '"speed":0.0,"accuracy":1.0,"status":"ON_TASK","timestamp":1000}')
+    assert {r.seq for r in sent.collect()} == {7, 9}
+    assert {r.seq: r.ts_ms for r in topics.decode_pings(sent).collect()} == {7: 1000, 9: None}
+    filled = topics.decode_pings(sent, arrival_as_timestamp=True).collect()
+    assert {r.seq: r.ts_ms for r in filled} == {7: 1000, 9: 1100}
