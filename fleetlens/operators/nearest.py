@@ -131,7 +131,7 @@ def _with_bound(
         cap = 2.0 * math.sin(min(max_radius_m * pad / (2 * geodesy.EARTH_RADIUS_M), math.pi / 2))
         # Cells larger than the cap tell nothing.
         top = min(cube.MAX_LEVEL - 1, max(0, math.floor(1 - math.log2(max(cap, 1e-9)))))
-    members = block_members(cell_counts(positions, top))
+    members = block_members(cell_counts(spread(positions, "user_id"), top))
     blocks = members.groupBy("_block").agg(F.sum("cnt").alias("_n"))
 
     half = cube.MAX_LEVEL + 1  # slices of half a finest cell
