@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import byte_bpe, dedup, main_text, warc
+from fleetlens.llm import byte_bpe, dedup, main_text, packing, warc
 from fleetlens.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the id of the equal text that stays."""
     return dedup.exact_duplicates(table(spark, sf_dir, "documents"))
@@ -38,7 +43,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op7_exact_dedup, op8_byte_bpe, op10_main_text)
+    f.__name__: f for f in (op1_warc, op2_packing, op7_exact_dedup, op8_byte_bpe, op10_main_text)
 }
 
 ORACLE: dict[str, str] = {
