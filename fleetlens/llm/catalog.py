@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import byte_bpe, dedup, main_text, packing, warc
+from fleetlens.llm import byte_bpe, dedup, jaccard_join, main_text, packing, warc
 from fleetlens.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component over links of at least 80 percent."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the id of the equal text that stays."""
     return dedup.exact_duplicates(table(spark, sf_dir, "documents"))
@@ -43,7 +48,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_packing, op7_exact_dedup, op8_byte_bpe, op10_main_text)
+    f.__name__: f for f in (op1_warc, op2_packing, op3_jaccard_join, op7_exact_dedup, op8_byte_bpe, op10_main_text)
 }
 
 ORACLE: dict[str, str] = {
