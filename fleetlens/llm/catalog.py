@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import byte_bpe, dedup, jaccard_join, main_text, packing, warc
+from fleetlens.llm import byte_bpe, dedup, jaccard_join, licenses, main_text, packing, toxicity, warc
 from fleetlens.llm.common import table
 
 
@@ -28,6 +28,23 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
+    """The chain over what the labels tell: low quality first, then toxicity."""
+    return toxicity.fit_chain(docs, labels, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the chain's probabilities and the decision."""
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity_chain(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain).withColumn("toxic", F.col("p_toxic") >= toxicity.THRESHOLD)
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the licence statements in its text."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the id of the equal text that stays."""
     return dedup.exact_duplicates(table(spark, sf_dir, "documents"))
@@ -48,7 +65,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_packing, op3_jaccard_join, op7_exact_dedup, op8_byte_bpe, op10_main_text)
+    f.__name__: f for f in (op1_warc, op2_packing, op3_jaccard_join, op5_toxicity, op6_licenses, op7_exact_dedup, op8_byte_bpe, op10_main_text)
 }
 
 ORACLE: dict[str, str] = {

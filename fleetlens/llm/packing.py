@@ -294,7 +294,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "do
                                              names=[*names, "sequence_id", "offset"])
 
     names = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    ranked = pieces.join(before, ["task", "length"]).select(
+    ranked = pieces.join(before.hint("merge"), ["task", "length"]).select(
         *names, (F.col("before") + F.col("place")).alias("rank"))
     schema = "id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long").withColumnRenamed("id", id_col)
