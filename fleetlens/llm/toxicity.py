@@ -1,14 +1,16 @@
 """Toxicity by a classifier chain.
 
-The categories are predicted one after the other by logistic models over the presence of words
-and word beginnings; each model also gets the log-odds of the categories before it. In training
+The categories are predicted one after the other by logistic models over counts of words and
+word beginnings (1 + log of the count); each model also gets the log-odds of the categories before it. In training
 these come from models of the other folds, so that a later model learns how far an earlier
 prediction on unseen text can be trusted.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,18 +24,25 @@ from fleetlens.llm.common import stored, text_or_empty
 
 SAMPLE_ROWS = 20_000    # the models are fitted on at most so many labelled rows
 FEATURES = 512          # features per category, those that tell its labels apart best
+MIN_DIFFERENCE = 4.5    # in standard errors; less is chance among so many words
 MIN_DOCUMENTS = 3       # a feature must occur in so many labelled rows
 FOLDS = 5
-PENALTY = 1.0
+PENALTY = 0.2
 THRESHOLD = 0.5
 BEGINNINGS = (3, 4, 5)
+CACHED = 200_000        # words whose features a worker remembers
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def features_of(text: str) -> set[str]:
-    """The distinct words of a text in lower case, and their beginnings (marked by a hyphen)."""
-    words = set(WORD.findall(text.lower()))
-    return words | {f"{w[:n]}-" for w in words for n in BEGINNINGS if len(w) > n}
+def features_of(text: str) -> Counter[str]:
+    """Counts of a text's words in lower case, and of their beginnings (marked by a hyphen)."""
+    words = Counter(WORD.findall(text.lower()))
+    out = Counter(words)
+    for w, count in words.items():
+        for n in BEGINNINGS:
+            if len(w) > n:
+                out[w[:n] + "-"] += count
+    return out
 
 
 @dataclass
@@ -82,11 +91,31 @@ class Chain:
     categories: list[str]
     vocabulary: dict[str, int] = field(default_factory=dict)
     models: list[Linear] = field(default_factory=list)
+    seen: dict[str, list[int]] = field(default_factory=dict, repr=False)
+
+    def values(self, text: str) -> tuple[list[int], list[float]]:
+        """The vocabulary's features that a text has, and their values."""
+        counts: dict[int, int] = {}
+        for word, count in Counter(WORD.findall(text.lower())).items():
+            for i in self.places(word):
+                counts[i] = counts.get(i, 0) + count
+        return list(counts), [1 + math.log(c) for c in counts.values()]
+
+    def places(self, word: str) -> list[int]:
+        known = self.seen.get(word)
+        if known is None:
+            names = [word, *(word[:n] + "-" for n in BEGINNINGS if len(word) > n)]
+            known = [self.vocabulary[x] for x in names if x in self.vocabulary]
+            if len(self.seen) > CACHED:
+                self.seen.clear()
+            self.seen[word] = known
+        return known
 
     def matrix(self, texts: list[str]) -> np.ndarray:
         x = np.zeros((len(texts), len(self.vocabulary)))
         for row, text in zip(x, texts):
-            row[[self.vocabulary[f] for f in features_of(text) & self.vocabulary.keys()]] = 1
+            at, values = self.values(text)
+            row[at] = values
         return x
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
@@ -140,7 +169,8 @@ def choose_features(sample: DataFrame, categories: list[str], most: int) -> dict
         share = F.col(f"n_{c}") / n
         z = F.abs(F.col(f"y_{c}") / y - (F.col(f"n_{c}") - F.col(f"y_{c}")) / (n - y)) / F.sqrt(
             share * (1 - share) * (1 / y + 1 / (n - y)) + F.lit(1e-12))
-        top = counts.orderBy(F.desc(F.round(z, 6)), "feature").limit(most).select("feature").collect()
+        top = counts.filter(z >= MIN_DIFFERENCE).orderBy(F.desc(F.round(z, 6)), "feature").limit(most)
+        top = top.select("feature").collect()
         chosen |= {r["feature"] for r in top}
     return {f: i for i, f in enumerate(sorted(chosen))}
 
@@ -156,23 +186,22 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     names = list(categories)
     sample = labelled_sample(docs, labels, categories, sample_rows, id_col, text_col)
     chain = Chain(names, choose_features(sample, names, features))
-    vocabulary = chain.vocabulary
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
-            have = [sorted(vocabulary[f] for f in features_of(t) & vocabulary.keys())
-                    for t in part.column("text").to_pylist()]
+            have, values = zip(*(chain.values(t) for t in part.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(have, pa.list_(pa.int32())), *[part.column(c) for c in ("fold", *names)]],
-                names=["have", "fold", *names])
+                [pa.array(have, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())),
+                 *[part.column(c) for c in ("fold", *names)]], names=["have", "values", "fold", *names])
 
-    rows = sample.mapInArrow(present, "have array<int>, fold int, " + ", ".join(f"{c} int" for c in names)).collect()
-    x = np.zeros((len(rows), len(vocabulary)))
+    rows = sample.mapInArrow(
+        present, "have array<int>, values array<double>, fold int, " + ", ".join(f"{c} int" for c in names)).collect()
+    x = np.zeros((len(rows), len(chain.vocabulary)))
     for row, r in zip(x, rows):
-        row[r["have"]] = 1
+        row[r["have"]] = r["values"]
     fold = np.array([r["fold"] for r in rows], np.int64)
     odds = np.zeros((len(rows), 0))
-    columns = np.arange(len(vocabulary))
+    columns = np.arange(len(chain.vocabulary))
     for name in names:
         known = np.array([r[name] is not None for r in rows], bool)
         y = np.array([r[name] or 0 for r in rows], float)
