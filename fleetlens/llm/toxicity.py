@@ -47,7 +47,8 @@ def features_of(text: str) -> Counter[str]:
 
 @dataclass
 class Linear:
-    """A logistic model; ``columns`` of the shared features, then the categories before it."""
+    """A logistic model over its own features (columns of the vocabulary), then the categories
+    before it."""
 
     columns: np.ndarray
     weights: np.ndarray
@@ -151,7 +152,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             names=["feature", *[n for n in part.schema.names if n != "text"]])
 
 
-def choose_features(sample: DataFrame, categories: list[str], most: int) -> dict[str, int]:
+def choose_features(sample: DataFrame, categories: list[str], most: int) -> dict[str, list[str]]:
     """For each category the ``most`` features with the largest difference between the shares
     of its documents and the others that have them, in standard errors."""
     rows = sample.select("text", *categories).mapInArrow(
@@ -161,7 +162,7 @@ def choose_features(sample: DataFrame, categories: list[str], most: int) -> dict
     counts = rows.groupBy("feature").agg(F.count("*").alias("rows"), *[F.count(c).alias(f"n_{c}") for c in categories],
                                          *[F.sum(c).alias(f"y_{c}") for c in categories])
     counts = stored(counts.filter(F.col("rows") >= MIN_DOCUMENTS), "toxicity-features")
-    chosen: set[str] = set()
+    chosen: dict[str, list[str]] = {c: [] for c in categories}
     for c in categories:
         n, y = totals[f"n_{c}"] or 0, totals[f"y_{c}"] or 0
         if not 0 < y < n:
@@ -171,8 +172,8 @@ def choose_features(sample: DataFrame, categories: list[str], most: int) -> dict
             share * (1 - share) * (1 / y + 1 / (n - y)) + F.lit(1e-12))
         top = counts.filter(z >= MIN_DIFFERENCE).orderBy(F.desc(F.round(z, 6)), "feature").limit(most)
         top = top.select("feature").collect()
-        chosen |= {r["feature"] for r in top}
-    return {f: i for i, f in enumerate(sorted(chosen))}
+        chosen[c] = [r["feature"] for r in top]
+    return chosen
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample_rows: int = SAMPLE_ROWS,
@@ -185,7 +186,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     """
     names = list(categories)
     sample = labelled_sample(docs, labels, categories, sample_rows, id_col, text_col)
-    chain = Chain(names, choose_features(sample, names, features))
+    chosen = choose_features(sample, names, features)
+    chain = Chain(names, {f: i for i, f in enumerate(sorted(set().union(*chosen.values())))})
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
@@ -201,11 +203,11 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
         row[r["have"]] = r["values"]
     fold = np.array([r["fold"] for r in rows], np.int64)
     odds = np.zeros((len(rows), 0))
-    columns = np.arange(len(chain.vocabulary))
     for name in names:
+        columns = np.array([chain.vocabulary[f] for f in chosen[name]], np.int64)
         known = np.array([r[name] is not None for r in rows], bool)
         y = np.array([r[name] or 0 for r in rows], float)
-        full = np.hstack([x, odds])
+        full = np.hstack([x[:, columns], odds])
         unseen = np.zeros(len(rows))
         for f in range(FOLDS):
             train, test = known & (fold != f), fold == f
