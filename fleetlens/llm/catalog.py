@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import byte_bpe, dedup, jaccard_join, licenses, main_text, packing, toxicity, warc
+from fleetlens.llm import byte_bpe, dedup, fingerprints, jaccard_join, licenses, main_text, packing, toxicity, warc
 from fleetlens.llm.common import table
 
 
@@ -28,6 +28,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, held against its edited text's and its neighbour's."""
+    return fingerprints.fingerprints_with_edits(table(spark, sf_dir, "documents"))
+
+
 def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
     """The chain over what the labels tell: low quality first, then toxicity."""
     return toxicity.fit_chain(docs, labels, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
@@ -65,7 +70,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_packing, op3_jaccard_join, op5_toxicity, op6_licenses, op7_exact_dedup, op8_byte_bpe, op10_main_text)
+    f.__name__: f for f in (op1_warc, op2_packing, op3_jaccard_join, op4_fingerprints, op5_toxicity, op6_licenses, op7_exact_dedup, op8_byte_bpe, op10_main_text)
 }
 
 ORACLE: dict[str, str] = {
