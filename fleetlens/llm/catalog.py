@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import byte_bpe, dedup, fingerprints, jaccard_join, licenses, main_text, packing, toxicity, warc
+from fleetlens.llm import byte_bpe, dedup, fingerprints, jaccard_join, licenses, main_text, packing, pitman_yor, toxicity, warc
 from fleetlens.llm.common import table
 
 
@@ -64,13 +64,18 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("data", 256).alias("decoded_sha256"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log-probability under the model learnt from four fifths of them."""
+    return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return main_text.extract(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_packing, op3_jaccard_join, op4_fingerprints, op5_toxicity, op6_licenses, op7_exact_dedup, op8_byte_bpe, op10_main_text)
+    f.__name__: f for f in (op1_warc, op2_packing, op3_jaccard_join, op4_fingerprints, op5_toxicity, op6_licenses, op7_exact_dedup, op8_byte_bpe, op9_lm_scores, op10_main_text)
 }
 
 ORACLE: dict[str, str] = {

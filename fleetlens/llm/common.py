@@ -28,6 +28,14 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def private(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def join_by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int,
                 how: str = "inner") -> DataFrame:
     """Join ``rows`` with ``keyed``, which has one row per key and in ``n`` the key's rows.

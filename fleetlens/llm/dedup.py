@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import HOT_SHARE, join_by_key, stored, text_or_empty
+from fleetlens.llm.common import HOT_SHARE, join_by_key, private, stored, text_or_empty
 
 SALTS = 64
 SPACES = r"[\x20\x09-\x0D]+"
@@ -63,10 +63,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text occurs at no smaller id, with all columns; of repeated
     rows one. Edge cases as in ``exact_duplicates``."""
-    kept = (exact_duplicates(docs, id_col, text_col).filter("kept")
-            .select(F.col(id_col).alias("_keep"), F.col("text_sha256").alias("_sha")).distinct())
-    marked = docs.withColumn("_sha", F.sha2(normal_text(text_col), 256))
-    return (
-        marked.join(kept, F.col(id_col).eqNullSafe(F.col("_keep")) & (marked["_sha"] == kept["_sha"]))
-        .drop(kept["_sha"]).drop("_keep").dropDuplicates([id_col, "_sha"]).drop("_sha")
-    )
+    keep, sha, own = (private(docs, n) for n in ("_keep", "_sha", "_own"))
+    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(
+        F.col(id_col).alias(keep), F.col("text_sha256").alias(sha)).distinct()
+    marked = docs.withColumn(own, F.sha2(normal_text(text_col), 256))
+    joined = marked.join(kept, F.col(id_col).eqNullSafe(F.col(keep)) & (F.col(own) == F.col(sha)))
+    return joined.dropDuplicates([id_col, own]).select(*docs.columns)

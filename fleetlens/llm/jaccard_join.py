@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.arrays import packed, spans, text_slices
-from fleetlens.llm.common import join_by_key, stored, text_or_empty
+from fleetlens.llm.common import join_by_key, private, stored, text_or_empty
 from fleetlens.llm.components import components
 from fleetlens.llm.shingles import WIDTH, mixed, shingle_sets, sums_by_row
 
@@ -341,7 +341,8 @@ def one_of_each(docs: DataFrame, similar: int = SIMILAR, width: int = WIDTH, id_
                 text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component, with all columns, and the
     rows without an id. Of repeated ids all rows stay. Edge cases as in ``jaccard_components``."""
+    name = private(docs, "_kept")
     kept = jaccard_components(docs, similar, width, id_col, text_col).filter(
-        F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("_kept")).drop("_kept").unionByName(
+        F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(kept, F.col(id_col) == F.col(name)).drop(name).unionByName(
         docs.filter(F.col(id_col).isNull()))

@@ -31,12 +31,13 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A number per word `[^\\x20\\x09-\\x0D]+` of the texts, A-Z as a-z, and the ends by text:
-    a polynomial over the word's bytes, from differences of running sums."""
+def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the texts with A-Z as a-z, where each word `[^\\x20\\x09-\\x0D]+` starts and
+    stops in them, and the ends of the texts, counted in words."""
     data, ends = text_bytes(text)
     if not len(data):
-        return np.empty(0, np.uint64), np.zeros(len(ends), np.int64)
+        none = np.empty(0, np.int64)
+        return data, none, none, np.zeros(len(ends), np.int64)
     low = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
     solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
     first = solid.copy()
@@ -47,17 +48,23 @@ def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     last[:-1] &= ~solid[1:]
     last[begins[1:] - 1] = solid[begins[1:] - 1]
     starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
-    n = len(data)
+    return low, starts, stops, np.searchsorted(starts, ends)
+
+
+def hashes_of(low: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A number per word: a polynomial over its bytes, from differences of running sums."""
+    n = len(low)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_CODES[low] * powers(BASE, n), out=sums[1:])
     hashes = (sums[stops] - sums[starts]) * powers(INVERSE, n)[starts]
-    return mixed(hashes ^ (stops - starts).astype(np.uint64)), np.searchsorted(starts, ends)
+    return mixed(hashes ^ (stops - starts).astype(np.uint64))
 
 
 def shingle_sets(text: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each text in rising order, and the ends by text. A text with
     fewer words than ``width`` has its whole sequence as one shingle, one without words none."""
-    words, ends = word_hashes(text)
+    low, starts, stops, ends = words_of(text)
+    words = hashes_of(low, starts, stops)
     run = np.zeros(max(len(words) - width + 1, 0), np.uint64)
     for i in range(width):
         run = run * BASE + words[i:len(words) - width + 1 + i] if len(run) else run

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.arrays import text_slices
-from fleetlens.llm.common import stored, text_or_empty
+from fleetlens.llm.common import private, stored, text_or_empty
 
 SAMPLE_ROWS = 20_000    # the models are fitted on at most so many labelled rows
 FEATURES = 512          # features per category, those that tell its labels apart best
@@ -239,11 +239,11 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 def keep_clean(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: float = THRESHOLD,
                text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, whose probability is below ``threshold``."""
-    at, names = chain.categories.index(category), docs.columns
+    at, names, scored = chain.categories.index(category), docs.columns, private(docs, "_scored")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "_scored"):
-            p = np.round(chain.probabilities(part.column("_scored").to_pylist())[:, at], 6)
+        for part in text_slices(batches, scored):
+            p = np.round(chain.probabilities(part.column(scored).to_pylist())[:, at], 6)
             yield part.select(names).filter(pa.array(p < threshold))
 
-    return docs.withColumn("_scored", text_or_empty(text_col)).mapInArrow(run, docs.schema)
+    return docs.withColumn(scored, text_or_empty(text_col)).mapInArrow(run, docs.schema)
