@@ -159,10 +159,11 @@ def best_configuration(prices: np.ndarray, units: int) -> np.ndarray:
     counts, room = np.zeros(len(prices), np.int64), units
     while room > 0:
         k = last[room]
-        if prices[k] <= 0:
-            break
-        counts[k] += 1
-        room -= k + 1
+        if prices[k] > 0:
+            counts[k] += 1
+            room -= k + 1
+        else:
+            room -= 1       # a unit that no class makes use of
     return counts
 
 
