@@ -38,7 +38,7 @@ SLICE = 8 << 20
 CELLS = 256             # hash classes of the bounding counts
 SMALL_REGION = 12       # regions of this size have all their pairs compared at once
 RING_REGION = 48        # larger regions are divided into rings
-MEMBERS = 1000          # documents that are compared with one copy of their pivot
+MEMBERS = 200           # documents that are compared with one copy of their pivot
 BLOCK = 64              # documents of a block, where a region is compared block by block
 PIVOT_ROUNDS = 2
 SALTS = 64
@@ -83,10 +83,10 @@ def common_shingles(sets: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np
     """At most ``most`` shingles with counts. Only the order of shingles comes from them: which
     pairs are found does not depend on it, how many regions are large does."""
     counted = sets.filter("n = -1").select("common").mapInArrow(_unpack, "s long, n long")
-    rows = counted.groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(most).collect()
-    shingles = np.array([r["s"] for r in rows], np.int64).view(np.uint64)
+    rows = counted.groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(most).toArrow()
+    shingles = rows.column("s").to_numpy().view(np.uint64)
     order = np.argsort(shingles)
-    return shingles[order], np.array([r["n"] for r in rows], np.int64)[order]
+    return shingles[order], rows.column("n").to_numpy()[order]
 
 
 def least_overlap(n, similar: int):
