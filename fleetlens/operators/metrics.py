@@ -6,6 +6,8 @@ application or window is no crowded group.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,16 +113,22 @@ def throughput(classified: DataFrame, width_ms: int) -> DataFrame:
 def sliding_throughput(classified: DataFrame, width_ms: int, slide_ms: int) -> DataFrame:
     """Requests per second over overlapping windows that start every ``slide_ms``.
 
-    Requests are counted per slide first; only those counts are copied to the windows.
+    Requests are counted first per pane, as wide as the greatest common divisor of width and
+    slide; only those counts are copied to the windows that hold the pane.
     """
-    steps = width_ms // slide_ms
+    pane = math.gcd(width_ms, slide_ms)
     panes = classified.groupBy(
-        "application", "class", window_start(F.col("ts_ms"), slide_ms).alias("pane_ms")
+        "application", "class", window_start(F.col("ts_ms"), pane).alias("pane_ms")
     ).agg(F.count("*").alias("n"))
-    start = F.col("pane_ms") - F.col("_step") * F.lit(slide_ms)
+    last = window_start(F.col("pane_ms"), slide_ms)
+    starts = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(width_ms // slide_ms)),
+                    lambda i: last - i * F.lit(slide_ms)),
+        lambda start: start > F.col("pane_ms") - F.lit(width_ms),
+    )
     return (
-        panes.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-        .groupBy("application", "class", start.alias("window_ms"))
+        panes.withColumn("_start", F.explode(starts))
+        .groupBy("application", "class", F.col("_start").alias("window_ms"))
         .agg((F.sum("n") / F.lit(width_ms / 1000.0)).alias("rps"))
     )
 

@@ -22,6 +22,8 @@ from fleetlens.session import spread
 
 # Neighbours tie at millimetres: a bound reaches that much farther (in earth radii).
 REACH_SLACK = 1e-9
+# Radius caps up to this are searched as they are. Results do not depend on it.
+RANGE_FORM_M = 10_000.0
 
 
 def knn_search(
@@ -55,14 +57,20 @@ def knn_join(
 ) -> DataFrame:
     """The ``k`` nearest positions of every query (``qid, lat, lng, k``) with their rank.
 
-    Fewer rows come back where fewer positions exist, or lie within ``max_radius_m``.
-    ``max_k`` is the largest k in ``queries``; if not given, one aggregate reads it.
+    Fewer rows come back where fewer positions exist, or lie within ``max_radius_m``; a query
+    without ``k`` has none. ``max_k`` is the largest k in ``queries``; if not given, one
+    aggregate reads it. The job fails if a query has a larger one.
     """
     if max_k is None:
         max_k = queries.agg(F.max("k")).head()[0] or 0
     located = positions.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
-    q = queries.select("qid", "lat", "lng", "k")
-    bounded = _with_bound(q, located, metric, max_radius_m)
+    k = F.when(F.col("k") > max_k, F.raise_error(F.lit(f"a query has k over {max_k}")).cast("int")).otherwise(F.col("k"))
+    q = queries.where(F.col("k").isNotNull()).select("qid", "lat", "lng", k.alias("k"))
+    if max_radius_m is not None and max_radius_m <= RANGE_FORM_M:
+        # a range search that is ranked: finding a tighter bound would cost more than it saves
+        bounded = q.withColumn("_chord", geodesy.chord_of(F.lit(float(max_radius_m)), metric))
+    else:
+        bounded = _with_bound(q, located, metric, max_radius_m)
     pairs = ball_join(bounded, _thin_stacks(located, max_k), keep, rows_per_split)
     d = geodesy.distance(metric, F.col("lat"), F.col("lng"), F.col("latitude"), F.col("longitude"))
     hits = pairs.withColumn("_d", d)

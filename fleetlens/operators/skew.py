@@ -2,10 +2,10 @@
 
 In a cell join one task compares every query of a cell with every position of it, so a
 cell with a third of all positions is too much for one task however few bytes it has.
-The positions are counted per cell (a partial aggregate), and the most crowded cells
-get sub-cells: a position falls into one of them, a query is copied to all. Every pair
-still meets exactly once. A crowd of queries in a cell is many bytes in one shuffle
-partition, which AQE's skew join splits without help.
+The positions are counted per cell (a partial aggregate), and all crowded cells get
+sub-cells: a position falls into one of them, a query is copied to all. Every pair still
+meets exactly once. A crowd of queries in a cell is many bytes in one shuffle partition,
+which AQE's skew join splits without help.
 """
 
 from __future__ import annotations
@@ -14,20 +14,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_SPLIT = 20_000
-# Upper bound of the table that is broadcast. A key left out of it has no more rows than
-# the least one inside, that is at most 1/4096 of all.
-MAX_HOT_KEYS = 4096
-
-
-def hot_keys(crowd: DataFrame, key: str, rows_per_split: int) -> DataFrame:
-    """The most crowded keys and their number of sub-keys, at most MAX_HOT_KEYS rows."""
-    return (
-        crowd.groupBy(key).agg(F.count("*").alias("_rows"))
-        .where(F.col("_rows") > rows_per_split)
-        .orderBy(F.desc("_rows"), key)
-        .limit(MAX_HOT_KEYS)
-        .select(key, F.ceil(F.col("_rows") / F.lit(float(rows_per_split))).alias("_parts"))
-    )
+# A sub-cell may meet more positions than that where few queries do: up to
+# rows_per_split * QUERIES_PER_SPLIT comparisons.
+QUERIES_PER_SPLIT = 1000
+SPLITS_PER_CORE = 8
+
+
+def hot_keys(others: DataFrame, crowd: DataFrame, key: str, rows_per_split: int) -> DataFrame:
+    """Every key with more than ``rows_per_split`` rows that ``others`` has too, and its number
+    of sub-keys: at least two, as many as its comparisons ask for, and no more than keep all
+    cores busy, so that queries are not copied without need."""
+    cores = crowd.sparkSession.sparkContext.defaultParallelism
+    crowded = crowd.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > rows_per_split)
+    asked = others.groupBy(key).agg(F.count("*").alias("_queries"))
+    by_rows = F.ceil(F.col("_rows") / F.lit(float(rows_per_split)))
+    by_pairs = F.ceil(F.col("_rows") * F.col("_queries") / F.lit(float(rows_per_split * QUERIES_PER_SPLIT)))
+    most = F.lit(cores * SPLITS_PER_CORE).cast("long")
+    parts = F.greatest(F.lit(2).cast("long"), F.least(by_rows, by_pairs, most))
+    return crowded.join(asked, key).select(key, parts.alias("_parts"))
 
 
 def split(
@@ -36,9 +40,11 @@ def split(
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides with a ``_sub`` column, and the names of the columns to join on.
 
-    The sub-key of a row comes from its id, so a recomputed task repeats it.
+    The table of crowded keys is joined without a hint: AQE broadcasts it if it turns out
+    small, and splits skewed partitions otherwise. The sub-key of a row comes from its id, so a
+    recomputed task repeats it.
     """
-    hot = F.broadcast(hot_keys(crowd, key, rows_per_split))
+    hot = hot_keys(others, crowd, key, rows_per_split)
     parts = F.coalesce(F.col("_parts"), F.lit(1).cast("long"))
     copies = others.join(hot, key, "left").withColumn(
         "_sub", F.explode_outer(F.sequence(F.lit(0).cast("long"), parts - 1))

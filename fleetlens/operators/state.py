@@ -1,8 +1,9 @@
 """Latest state per rider, upserts and the time-limited status.
 
-All reductions are per-column ``max_by``/``min_by`` aggregates: numeric buffers keep
-them in hash aggregation with map-side combining, so a rider with a third of all pings
-costs one partial row per task.
+All reductions are per-column ``max_by``/``min_by`` aggregates with map-side combining, so a
+rider with a third of all pings costs one partial row per task. With numeric columns alone
+they are hash aggregates. The service type and the documents are text, which Spark aggregates
+after a sort within each task; the shuffle is the same.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.pings import STATUS_TTL_MS, clean_id, document
-from fleetlens.schemas import SERVICE_TYPES
 
 ORDERS = ("seq", "ts_ms")
 
@@ -21,6 +21,9 @@ LAST_WRITE = {
     "ts_ms": "ts_ms", "updated_ms": "ingest_ms", "seq": "seq",
 }
 
+REDUCED = ("user_id", "lat", "lng", "speed", "accuracy", "service_type",
+           "ts_ms", "updated_ms", "seq", "first_seq")
+
 
 def _order(order_by: str) -> Column:
     """Arrival order, or event time with arrival order among equals."""
@@ -29,20 +32,6 @@ def _order(order_by: str) -> Column:
     return F.col("seq") if order_by == "seq" else F.struct("ts_ms", "seq")
 
 
-def _code(service_type: Column) -> Column:
-    """Service type as its index: a number can stay in the hash aggregate's buffer."""
-    index = F.when(service_type.isNull(), F.lit(None).cast("int"))
-    for i, name in enumerate(SERVICE_TYPES):
-        index = index.when(service_type == name, i)
-    return index.otherwise(
-        F.raise_error(F.concat(F.lit("unknown service type "), service_type)).cast("int")
-    )
-
-
-def _name(code: Column) -> Column:
-    return F.get(F.array(*[F.lit(n) for n in SERVICE_TYPES]), code)
-
-
 def reduce_pings(pings: DataFrame, order_by: str = "seq") -> DataFrame:
     """Pings to one row per rider: last-write-wins columns and the first service type.
 
@@ -51,16 +40,13 @@ def reduce_pings(pings: DataFrame, order_by: str = "seq") -> DataFrame:
     """
     key = _order(order_by)
     return (
-        pings.withColumn("_service", _code(F.col("service_type")))
-        .groupBy("user_id")
+        pings.groupBy("user_id")
         .agg(
             *[F.max_by(F.col(src), key).alias(dst) for dst, src in LAST_WRITE.items()],
-            F.min_by("_service", "seq").alias("_service"),
+            F.min_by("service_type", "seq").alias("service_type"),
             F.min("seq").alias("first_seq"),
         )
-        .withColumn("service_type", _name(F.col("_service")))
-        .select("user_id", "lat", "lng", "speed", "accuracy", "service_type",
-                "ts_ms", "updated_ms", "seq", "first_seq")
+        .select(*REDUCED)
     )
 
 
@@ -68,16 +54,13 @@ def merge_reduced(parts: DataFrame, order_by: str = "seq") -> DataFrame:
     """Several reduced rows per rider to one."""
     key = _order(order_by)
     return (
-        parts.withColumn("_service", _code(F.col("service_type")))
-        .groupBy("user_id")
+        parts.groupBy("user_id")
         .agg(
             *[F.max_by(F.col(c), key).alias(c) for c in LAST_WRITE],
-            F.min_by("_service", "first_seq").alias("_service"),
+            F.min_by("service_type", "first_seq").alias("service_type"),
             F.min("first_seq").alias("first_seq"),
         )
-        .withColumn("service_type", _name(F.col("_service")))
-        .select("user_id", "lat", "lng", "speed", "accuracy", "service_type",
-                "ts_ms", "updated_ms", "seq", "first_seq")
+        .select(*REDUCED)
     )
 
 
@@ -96,18 +79,24 @@ def upsert_positions(pings: DataFrame, order_by: str = "seq") -> DataFrame:
 
 
 def upsert_merge(snapshot: DataFrame, delta: DataFrame) -> DataFrame:
-    """Snapshot after a batch of pings: riders of the batch move, new ones are added.
+    """Snapshot after a batch of pings, in arrival order whatever the order of batches.
 
-    Both sides have one row per rider, so the outer join has no crowded key.
+    A rider moves only if the batch has a later ping than the snapshot, so a batch may come
+    late or twice. ``snapshot`` is made by :func:`reduce_pings`; one without ``first_seq``
+    keeps the service types that it has. Both sides have one row per rider, so the outer
+    join has no crowded key. The result has the columns of ``snapshot``.
     """
     s, d = snapshot.alias("s"), reduce_pings(delta).alias("d")
-    moved = F.col("d.user_id").isNotNull()
-    return s.join(d, "user_id", "full_outer").select(
-        "user_id",
-        *[F.when(moved, F.col(f"d.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in LAST_WRITE],
-        F.when(F.col("s.seq").isNull(), F.col("d.service_type"))
-        .otherwise(F.col("s.service_type")).alias("service_type"),
-    )
+    later = F.col("s.seq").isNull() | (F.col("d.seq") > F.col("s.seq"))
+    first = F.col("s.seq").isNull()
+    if "first_seq" in snapshot.columns:
+        first = first | (F.col("d.first_seq") < F.col("s.first_seq"))
+    take = {c: later for c in LAST_WRITE} | {"service_type": first, "first_seq": first}
+    return s.join(d, "user_id", "full_outer").select(*[
+        F.when(take[c], F.col(f"d.{c}")).otherwise(F.col(f"s.{c}")).alias(c) if c in take
+        else F.col(c)
+        for c in snapshot.columns
+    ])
 
 
 def point_lookup(positions: DataFrame, user_ids: DataFrame) -> DataFrame:

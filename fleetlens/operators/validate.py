@@ -41,8 +41,8 @@ def normalize_trace(trace: DataFrame, fallback: str | None = None) -> DataFrame:
 
 # Broken rules by code. A null heading or speed breaks none.
 RULES = {
-    "user_id_blank": "user_id IS NULL OR trim(user_id) = ''",
-    "service_type_blank": "service_type IS NULL OR trim(service_type) = ''",
+    "user_id_blank": "user_id IS NULL OR NOT user_id RLIKE '\\\\S'",
+    "service_type_blank": "service_type IS NULL OR NOT service_type RLIKE '\\\\S'",
     "latitude_missing": "latitude IS NULL",
     "latitude_range": "latitude NOT BETWEEN -90e0 AND 90e0",
     "longitude_missing": "longitude IS NULL",

@@ -38,6 +38,15 @@ def trace_csv_scan(spark, sf):
     return validate.with_required_trace_fields(traces.read_trace_csv(spark, path))
 
 
+@query
+def trace_csv_reordered(spark, sf):
+    """Columns in another order, one that nobody asked for, and one missing."""
+    path = shared_dir(spark, "trace-csv")
+    columns = ["rawlng", "rawlat", "seq", "accuracy", "speed", "bearing", "pingtimestamp", "trj_id", "driving_mode"]
+    traces.write_trace_csv(inputs.trace(spark, sf).select(*columns), path)
+    return validate.with_required_trace_fields(traces.read_trace_csv(spark, path))
+
+
 @query
 def normalize_trace(spark, sf):
     return validate.normalize_trace(inputs.trace(spark, sf))
@@ -61,13 +70,13 @@ def parse_with_defaults(spark, sf):
 
 @query
 def validate_pings(spark, sf):
-    checked = validate.with_violations(inputs.pings(spark, sf))
+    checked = validate.with_violations(inputs.broken_pings(spark, sf))
     return checked.select("seq", F.array_join("violations", ",").alias("violations"))
 
 
 @query
 def validation_summary(spark, sf):
-    return validate.violation_summary(inputs.pings(spark, sf))
+    return validate.violation_summary(inputs.broken_pings(spark, sf))
 
 
 @query
@@ -244,6 +253,33 @@ def range_join_paged(spark, sf):
     return radius.first_hits(hits, 10)
 
 
+@query
+def range_join_shuffled(spark, sf):
+    """Every valid ping as a position, both sides shuffled and crowded cells split."""
+    hits = radius.range_join(inputs.query_points(spark, sf), inputs.valid_positions(spark, sf),
+                             rows_per_split=100)
+    return radius.hit_counts(inputs.query_points(spark, sf), hits)
+
+
+@query
+def knn_join_shuffled(spark, sf):
+    """As range_join_shuffled, for the nearest riders."""
+    hits = nearest.knn_join(inputs.query_points(spark, sf), inputs.valid_positions(spark, sf),
+                            rows_per_split=100)
+    return hits.groupBy("qid").agg(
+        F.count("*").alias("hits"), F.round(F.sum("distance_meter"), 3).alias("metres"))
+
+
+@query
+def pip_join_shuffled(spark, sf):
+    """Every valid ping, repeated ones too, in concave areas."""
+    table = polygon_source.from_arrays(inputs.concave_areas(spark, sf))
+    twice = inputs.valid_positions(spark, sf)
+    twice = twice.unionByName(twice)
+    hits = areas.polygon_join(table, twice, rows_per_split=100)
+    return hits.groupBy("pid").agg(F.count("*").alias("hits"))
+
+
 @query
 def knn_uncapped(spark, sf):
     return _hits(nearest.knn_search(inputs.positions(spark, sf), *inputs.CENTRE, 10, "spheroid"))
@@ -313,18 +349,28 @@ def latest_positions(spark, sf):
 
 @query
 def upsert_positions(spark, sf):
-    return state.upsert_positions(inputs.valid_pings(spark, sf))
+    return state.upsert_positions(inputs.typed_pings(spark, sf))
 
 
 @query
 def upsert_merge(spark, sf):
     # The first half of the arrivals is stored already, the rest comes in as one batch.
-    received = inputs.valid_pings(spark, sf)
+    received = inputs.typed_pings(spark, sf)
     middle = received.agg(F.max("seq") / 2).scalar()
     stored = state.upsert_positions(received.where(F.col("seq") <= middle))
     return state.upsert_merge(stored, received.where(F.col("seq") > middle))
 
 
+@query
+def upsert_merge_replay(spark, sf):
+    """The second half is stored, the first comes late, and then everything once more."""
+    received = inputs.typed_pings(spark, sf)
+    middle = received.agg(F.max("seq") / 2).scalar()
+    stored = state.reduce_pings(received.where(F.col("seq") > middle))
+    late = state.upsert_merge(stored, received.where(F.col("seq") <= middle))
+    return state.upsert_merge(late, received).drop("first_seq")
+
+
 @query
 def point_lookup(spark, sf):
     customers = spark.read.parquet(f"{sf}/customer.parquet")
@@ -353,6 +399,17 @@ def active_status(spark, sf):
     return state.active_status(received, received.agg(F.max("ingest_ms")).scalar())
 
 
+def _past(received: DataFrame):
+    """A moment in the middle of the arrivals."""
+    return received.agg(F.floor((F.min("ingest_ms") + F.max("ingest_ms")) / 2)).scalar()
+
+
+@query
+def active_status_past(spark, sf):
+    received = inputs.valid_pings(spark, sf)
+    return state.active_status(received, _past(received))
+
+
 # ---- metrics ------------------------------------------------------------------------
 
 
@@ -402,6 +459,14 @@ def sliding_throughput(spark, sf):
     return _rounded(rates, "rps")
 
 
+@query
+def sliding_throughput_uneven(spark, sf):
+    """Windows that are no multiple of their slide."""
+    rates = metrics.sliding_throughput(_classified(spark, sf), 25 * inputs.MINUTE_MS,
+                                       10 * inputs.MINUTE_MS)
+    return _rounded(rates, "rps")
+
+
 @query
 def error_rate(spark, sf):
     return _rounded(metrics.error_rate(_classified(spark, sf), inputs.DAY_MS), "error_pct")
@@ -455,11 +520,15 @@ def kpi_bands(spark, sf):
 
 
 def _topic(spark, messages) -> str:
+    """A topic of several files, which the streams read one by one."""
     path = shared_dir(spark, "topic")
-    topics.write_topic(messages, path)
+    topics.write_topic(messages.repartition(TOPIC_FILES, "seq"), path)
     return path
 
 
+TOPIC_FILES = 4
+
+
 def _finish(spark, start, name, stream, *args, **kw) -> str:
     """Run a job over all that is there and return its output folder."""
     base = shared_dir(spark, name)
@@ -470,7 +539,7 @@ def _finish(spark, start, name, stream, *args, **kw) -> str:
 def _ping_stream(spark, sf, messages=None):
     if messages is None:
         messages = topics.encode_kv(inputs.valid_pings(spark, sf))
-    return topics.ping_stream(spark, "parquet", path=_topic(spark, messages))
+    return topics.ping_stream(spark, "parquet", path=_topic(spark, messages), maxFilesPerTrigger="1")
 
 
 @query
@@ -483,7 +552,7 @@ def stream_ingest(spark, sf):
 @query
 def stream_map_decode(spark, sf):
     path = _topic(spark, topics.encode_map(inputs.map_records(spark, sf)))
-    stream = topics.message_stream(spark, "parquet", path=path)
+    stream = topics.message_stream(spark, "parquet", path=path, maxFilesPerTrigger="1")
     out = _finish(spark, jobs.start, "maps", jobs.decoded_maps(stream))
     return jobs.read_batches(spark, out).select(
         "seq", "trj_id", "pingtimestamp", "speed", "bearing", "accuracy",
@@ -493,7 +562,8 @@ def stream_map_decode(spark, sf):
 
 @query
 def stream_upsert_positions(spark, sf):
-    stream = jobs.ingest(_ping_stream(spark, sf))
+    messages = topics.encode_kv(inputs.typed_pings(spark, sf))
+    stream = jobs.ingest(_ping_stream(spark, sf, messages))
     out = _finish(spark, jobs.start_upserts, "upserts", stream)
     return jobs.current_positions(spark, out).drop("first_seq")
 
@@ -514,6 +584,29 @@ def stream_active_status(spark, sf):
     return jobs.active_at(spark, out, received.agg(F.max("ingest_ms")).scalar())
 
 
+@query
+def stream_status_past(spark, sf):
+    received = inputs.valid_pings(spark, sf)
+    stream = jobs.ingest(_ping_stream(spark, sf))
+    out = _finish(spark, jobs.start_status, "status", stream)
+    return jobs.active_at(spark, out, _past(received))
+
+
+@query
+def stream_status_periods(spark, sf):
+    """Periods that are over: arrivals come in the order of time, in one file per stretch."""
+    jobs.use_rocksdb(spark)
+    messages = topics.encode_kv(inputs.valid_pings(spark, sf))
+    span = messages.agg(F.min("ingest_ms").alias("a"), (F.max("ingest_ms") - F.min("ingest_ms") + 1).alias("w")).head()
+    path = shared_dir(spark, "topic")
+    for part in range(TOPIC_FILES):
+        stretch = F.floor((F.col("ingest_ms") - span["a"]) * TOPIC_FILES / span["w"]) == part
+        topics.write_topic(messages.where(stretch).coalesce(1), path)
+    stream = jobs.ingest(topics.ping_stream(spark, "parquet", path=path, maxFilesPerTrigger="1"))
+    out = _finish(spark, jobs.start, "periods", jobs.status_periods(stream))
+    return jobs.read_batches(spark, out).drop("batch")
+
+
 @query
 def quarantine(spark, sf):
     messages = inputs.poisoned_messages(topics.encode_kv(inputs.pings(spark, sf)))

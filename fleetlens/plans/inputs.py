@@ -52,6 +52,30 @@ def valid_pings(spark: SparkSession, sf: str) -> DataFrame:
     return valid(pings(spark, sf))
 
 
+def typed_pings(spark: SparkSession, sf: str) -> DataFrame:
+    """Valid pings whose senders name service types of their own."""
+    i = F.col("seq")
+    free = F.when(i % 5 == 0, "RDBMS").when(i % 7 == 0, "KAFKA").when(i % 11 == 0, "night bus")
+    return valid_pings(spark, sf).withColumn("service_type", free.otherwise(F.col("service_type")))
+
+
+def broken_pings(spark: SparkSession, sf: str) -> DataFrame:
+    """Pings that break every rule somewhere."""
+    i = F.col("seq")
+    return pings(spark, sf).withColumns({
+        "user_id": F.when(i % 19 == 0, "\t ").when(i % 23 == 0, F.lit(None)).otherwise(F.col("user_id")),
+        "service_type": F.when(i % 29 == 0, " \n").otherwise(F.col("service_type")),
+        "longitude": F.when(i % 31 == 0, F.lit(None)).when(i % 37 == 0, -180.5).otherwise(F.col("longitude")),
+        "speed": F.when(i % 41 == 0, -0.5).otherwise(F.col("speed")),
+    })
+
+
+def valid_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every valid ping as a position; riders have many, some of them at one place."""
+    return valid_pings(spark, sf).select(
+        "user_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lng"))
+
+
 def positions(spark: SparkSession, sf: str) -> DataFrame:
     """Current position of every rider."""
     return latest_positions(valid_pings(spark, sf))
@@ -129,13 +153,27 @@ def map_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def poisoned_messages(messages: DataFrame) -> DataFrame:
-    """Keyed messages of which some are cut off in the middle."""
+    """Keyed messages of which some are cut off in the middle and some have no value."""
     half = F.substring("value", 1, 20)
     return messages.withColumn(
-        "value", F.when(F.col("seq") % 67 == 0, half).otherwise(F.col("value"))
+        "value", F.when(F.col("seq") % 67 == 0, half).when(F.col("seq") % 71 == 0, F.lit(None))
+        .otherwise(F.col("value"))
     )
 
 
+def concave_areas(spark: SparkSession, sf: str) -> DataFrame:
+    """A notched area of seven vertices at every query point, as vertex lists."""
+    def deg(c):
+        return c / F.lit(100000.0)
+
+    x, y, d = F.col("x"), F.col("y"), F.col("d")
+    half, third = (d / 2).cast("long"), (d / 3).cast("long")
+    corners = [(0, 0), (0, d), (third, half), (half, d), (d, d), (d, 0), (half, third)]
+    return _lattice(spark, sf).select(
+        "pid", F.array(*[deg(y + b) for _, b in corners]).alias("lats"),
+        F.array(*[deg(x + a) for a, _ in corners]).alias("lngs"))
+
+
 WRITE_URI, READ_URI = "/api/[a-z]+/update", "/api/[a-z]+/search/.*"
 
 

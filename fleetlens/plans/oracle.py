@@ -72,6 +72,13 @@ CTES = {
       accuracy, 'ON_TASK' AS status, pingtimestamp*1000 AS ts_ms, ingest_ms FROM trace""",
     "valid": """SELECT * FROM pings WHERE latitude BETWEEN -90 AND 90
       AND longitude BETWEEN -180 AND 180 AND heading BETWEEN 0 AND 360 AND speed >= 0""",
+    "broken": """SELECT * REPLACE (
+      CASE WHEN seq%19=0 THEN chr(9) || ' ' WHEN seq%23=0 THEN NULL ELSE user_id END AS user_id,
+      CASE WHEN seq%29=0 THEN ' ' || chr(10) ELSE service_type END AS service_type,
+      CASE WHEN seq%31=0 THEN NULL WHEN seq%37=0 THEN -180.5e0 ELSE longitude END AS longitude,
+      CASE WHEN seq%41=0 THEN -0.5e0 ELSE speed END AS speed) FROM pings""",
+    "typed": """SELECT * REPLACE (CASE WHEN seq%5=0 THEN 'RDBMS' WHEN seq%7=0 THEN 'KAFKA'
+      WHEN seq%11=0 THEN 'night bus' ELSE service_type END AS service_type) FROM valid""",
     "pos": """SELECT user_id, latitude AS lat, longitude AS lng, speed, accuracy, ts_ms,
       ingest_ms AS updated_ms, seq FROM valid
       QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) = 1""",
@@ -116,7 +123,7 @@ CTES = {
 }
 # Which inputs each input is made of, in order of definition.
 NEEDS = {
-    "pings": ["trace"], "valid": ["pings"], "pos": ["valid"], "q": ["valid"],
+    "pings": ["trace"], "valid": ["pings"], "broken": ["pings"], "typed": ["valid"], "pos": ["valid"], "q": ["valid"],
     "cls": ["req"], "maps": ["pings"], "docs": ["maps"], "squares": ["q"], "hits": ["q", "pos"],
 }
 
@@ -142,18 +149,25 @@ def add(name: str, needs: str, sql: str, extra: str = "") -> None:
 
 add("trace_csv_scan", "trace", """SELECT trj_id, driving_mode, osname, pingtimestamp, rawlat,
   rawlng, speed, bearing, accuracy FROM trace WHERE rawlat IS NOT NULL""")
+add("trace_csv_reordered", "trace", """SELECT trj_id, driving_mode, CAST(NULL AS VARCHAR) AS osname,
+  pingtimestamp, rawlat, rawlng, speed, bearing, accuracy FROM trace WHERE rawlat IS NOT NULL""")
 add("normalize_trace", "pings", "SELECT * FROM pings")
 add("service_type_binary", "trace", """SELECT CASE WHEN driving_mode = 'car' THEN 'TAXI' ELSE 'BIKE' END
   AS service_type, count(*) AS pings FROM trace GROUP BY 1""")
 add("parse_with_defaults", "trace", """SELECT seq, coalesce(rawlat, 0.0e0) AS rawlat,
   coalesce(rawlng, 0.0e0) AS rawlng, speed, CASE WHEN seq%7=0 THEN 0.0e0 ELSE bearing END AS bearing,
   coalesce(accuracy, 1.0e0) AS accuracy FROM trace""")
-_CODES = """concat_ws(',', CASE WHEN latitude IS NULL THEN 'latitude_missing' END,
+_CODES = """concat_ws(',', CASE WHEN user_id IS NULL OR NOT regexp_matches(user_id, '[^\\s]') THEN 'user_id_blank' END,
+  CASE WHEN service_type IS NULL OR NOT regexp_matches(service_type, '[^\\s]') THEN 'service_type_blank' END,
+  CASE WHEN latitude IS NULL THEN 'latitude_missing' END,
   CASE WHEN latitude NOT BETWEEN -90 AND 90 THEN 'latitude_range' END,
-  CASE WHEN heading NOT BETWEEN 0 AND 360 THEN 'heading_range' END)"""
-add("validate_pings", "pings", f"SELECT seq, {_CODES} AS violations FROM pings")
-add("validation_summary", "pings", f"""SELECT violation, count(*) AS pings FROM (
-  SELECT unnest(string_split({_CODES}, ',')) AS violation FROM pings) WHERE violation <> '' GROUP BY 1""")
+  CASE WHEN longitude IS NULL THEN 'longitude_missing' END,
+  CASE WHEN longitude NOT BETWEEN -180 AND 180 THEN 'longitude_range' END,
+  CASE WHEN heading NOT BETWEEN 0 AND 360 THEN 'heading_range' END,
+  CASE WHEN speed < 0 THEN 'speed_negative' END)"""
+add("validate_pings", "broken", f"SELECT seq, {_CODES} AS violations FROM broken")
+add("validation_summary", "broken", f"""SELECT violation, count(*) AS pings FROM (
+  SELECT unnest(string_split({_CODES}, ',')) AS violation FROM broken) WHERE violation <> '' GROUP BY 1""")
 add("consumer_filter", "pings", "SELECT seq, user_id, ts_ms FROM pings WHERE latitude IS NOT NULL")
 add("sanitize_ids", "pings",
     "SELECT seq, regexp_replace(user_id, '[^a-zA-Z0-9_]', '', 'g') AS user_id FROM pings")
@@ -226,6 +240,14 @@ _RANK = ("CAST(row_number() OVER (PARTITION BY qid ORDER BY round(d, 3), user_id
 _PAIR = "qid, user_id, latitude, longitude, round(d, 3) AS distance_meter"
 add("range_join", "hits", f"SELECT {_PAIR} FROM hits")
 add("range_join_paged", "hits", f"SELECT * FROM (SELECT {_PAIR}, {_RANK} FROM hits) WHERE rank <= 10")
+_ALL_HITS = f"""allhits AS (SELECT * FROM (SELECT q.qid, {hav('q.lat', 'q.lng', 'latitude', 'longitude')} AS d, radius_m
+  FROM q, valid) WHERE d <= radius_m)"""
+add("range_join_shuffled", "q valid", """SELECT q.qid, count(allhits.qid) AS hits
+  FROM q LEFT JOIN allhits ON q.qid = allhits.qid GROUP BY q.qid""", _ALL_HITS)
+add("knn_join_shuffled", "q valid", """SELECT qid, count(*) AS hits, round(sum(round(d, 3)), 3) AS metres FROM (
+  SELECT qid, k, d, row_number() OVER (PARTITION BY qid ORDER BY round(d, 3), user_id) AS r FROM pairs)
+  WHERE r <= k GROUP BY qid""", f"""pairs AS (SELECT qid, k, user_id,
+  {hav('q.lat', 'q.lng', 'latitude', 'longitude')} AS d FROM q, valid)""")
 add("knn_uncapped", "pos", f"SELECT {_HIT} FROM g ORDER BY round(d, 3), user_id LIMIT 10", _NEAR_G)
 _ALL = """SELECT q.qid, q.k, q.lat AS qlat, q.lng AS qlng, pos.user_id, pos.lat AS latitude,
   pos.lng AS longitude FROM q, pos"""
@@ -254,6 +276,14 @@ add("pip_winding", "pos", f"""SELECT user_id, lat AS latitude, lng AS longitude,
 add("pip_join", "squares pos", f"""SELECT pid, user_id, lat AS latitude, lng AS longitude,
   round({hav('(y0+y1)/2', '(x0+x1)/2', 'lat', 'lng')}, 3) AS distance_meter
   FROM squares, pos WHERE lat >= y0 AND lat < y1 AND lng >= x0 AND lng < x1""")
+_NOTCHED = [("x", "y"), ("x", "(y+d)"), ("(x+d//3)", "(y+d//2)"), ("(x+d//2)", "(y+d)"), ("(x+d)", "(y+d)"),
+            ("(x+d)", "y"), ("(x+d//2)", "(y+d//3)")]
+_NOTCHED = [(f"({x}/100000.0e0)", f"({y}/100000.0e0)") for x, y in _NOTCHED]
+_TURNS = " + ".join(_crossing("longitude", "latitude", *a, *b) for a, b in zip(_NOTCHED, _NOTCHED[1:] + _NOTCHED[:1]))
+add("pip_join_shuffled", "q valid", f"""SELECT pid, 2*count(*) AS hits FROM lattice, valid
+  WHERE latitude BETWEEN y/100000.0e0 AND (y+d)/100000.0e0 AND longitude BETWEEN x/100000.0e0 AND (x+d)/100000.0e0
+  AND {_TURNS} <> 0 GROUP BY pid""", """lattice AS (SELECT qid AS pid, CAST(round(lat*100000) AS BIGINT) AS y,
+  CAST(round(lng*100000) AS BIGINT) AS x, CASE WHEN qid%2=0 THEN 2000 ELSE 5000 END AS d FROM q)""")
 add("pip_wkt", "squares pos", """SELECT pid, user_id, lat AS latitude, lng AS longitude
   FROM squares, pos WHERE lat > y0 AND lat < y1 AND lng > x0 AND lng < x1
   AND NOT (lat >= hy0 AND lat <= hy1 AND lng >= hx0 AND lng <= hx1)""")
@@ -268,20 +298,30 @@ add("queries_without_hits", "q hits", """SELECT qid, radius_m FROM q
 # ---- state --------------------------------------------------------------------------
 
 add("latest_positions", "pos", "SELECT * FROM pos")
-_UPSERT = """SELECT pos.*, first.service_type FROM pos JOIN (SELECT user_id, service_type FROM valid
+_UPSERT = """SELECT pos.*, first.service_type FROM pos JOIN (SELECT user_id, service_type FROM typed
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq) = 1) AS first USING (user_id)"""
-for _name in ("upsert_positions", "upsert_merge", "stream_upsert_positions"):
-    add(_name, "pos", _UPSERT)
+for _name in ("upsert_positions", "upsert_merge", "upsert_merge_replay", "stream_upsert_positions"):
+    add(_name, "pos typed", _UPSERT)
 add("point_lookup", "pos", """SELECT user_id, lat, lng, seq FROM pos
   WHERE user_id IN (SELECT 'trj-' || CAST(c_custkey AS VARCHAR) FROM customer)""")
 add("status_snapshot", "pings", """SELECT regexp_replace(user_id, '[^a-zA-Z0-9_]', '', 'g') AS user_id,
   ingest_ms + 1800000 AS expires_at, service_type, heading, ts_ms FROM pings WHERE latitude IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) = 1""")
-for _name in ("active_status", "stream_active_status"):
-    add(_name, "valid", """SELECT user_id, last_ms, last_ms + 1800000 AS expires_at FROM (
-      SELECT user_id, ingest_ms AS last_ms FROM valid
+_LATEST = "(SELECT max(ingest_ms) FROM valid)"
+_MIDDLE = "(SELECT (min(ingest_ms) + max(ingest_ms)) // 2 FROM valid)"
+for _name, _at in (("active_status", _LATEST), ("stream_active_status", _LATEST),
+                   ("active_status_past", _MIDDLE), ("stream_status_past", _MIDDLE)):
+    add(_name, "valid", f"""SELECT user_id, last_ms, last_ms + 1800000 AS expires_at FROM (
+      SELECT user_id, ingest_ms AS last_ms FROM valid WHERE ingest_ms <= {_at}
       QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) = 1)
-      WHERE (SELECT max(ingest_ms) FROM valid) - last_ms < 1800000""")
+      WHERE {_at} - last_ms < 1800000""")
+# Without a break of the TTL a period goes on; those that the last minute may extend are open.
+add("stream_status_periods", "valid", f"""SELECT user_id, min(ingest_ms) AS from_ms,
+  max(ingest_ms) + 1800000 AS expires_at, count(*) AS writes
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ingest_ms, seq) AS period
+    FROM (SELECT *, CASE WHEN ingest_ms - lag(ingest_ms) OVER (PARTITION BY user_id ORDER BY ingest_ms, seq)
+                 < 1800000 THEN 0 ELSE 1 END AS fresh FROM valid))
+  GROUP BY user_id, period HAVING max(ingest_ms) + 1800000 <= {_LATEST} - 60000""")
 
 # ---- metrics ------------------------------------------------------------------------
 
@@ -324,6 +364,9 @@ add("throughput", "cls", f"""SELECT application, ts_ms - ts_ms % 3600000 AS wind
 add("sliding_throughput", "cls", """SELECT application, class, window_ms, round(count(*)/3600.0e0, 6) AS rps
   FROM (SELECT application, class, ts_ms - ts_ms % 600000 - s*600000 AS window_ms
         FROM cls, (SELECT unnest(range(6)) AS s)) GROUP BY ALL""")
+add("sliding_throughput_uneven", "cls", """SELECT application, class, window_ms, round(count(*)/1500.0e0, 6) AS rps
+  FROM (SELECT application, class, ts_ms, ts_ms - ts_ms % 600000 - s*600000 AS window_ms
+        FROM cls, (SELECT unnest(range(3)) AS s)) WHERE ts_ms < window_ms + 1500000 GROUP BY ALL""")
 _ERROR = """100.0e0 * greatest(count(*) FILTER (status BETWEEN 500 AND 599),
   count(*) FILTER (outcome = 'SERVER_ERROR')) / 86400.0e0 / greatest(count(*)/86400.0e0, 1e-4)"""
 add("error_rate", "cls", f"""SELECT {_CLASS_WINDOW}, round({_ERROR}, 6) AS error_pct
@@ -362,14 +405,14 @@ add("stream_ingest", "pings", "SELECT * FROM pings WHERE latitude IS NOT NULL")
 add("stream_map_decode", "maps", "SELECT seq, trj_id, pingtimestamp, speed, bearing, accuracy, "
     "parse_errors FROM maps")
 add("stream_latest", "pos", "SELECT user_id, lat, lng, seq FROM pos")
-add("quarantine", "pings", "SELECT seq, ingest_ms FROM pings WHERE seq % 67 = 0")
+add("quarantine", "pings", "SELECT seq, ingest_ms FROM pings WHERE seq % 67 = 0 OR seq % 71 = 0")
 add("stream_freshness", "pings", "SELECT * FROM fresh",
     _fresh(60000).replace("WHERE ts_ms", "WHERE latitude IS NOT NULL AND ts_ms"))
 
 # ---- workload -----------------------------------------------------------------------
 
 add("seed_riders", "trace", """SELECT 'user_' || CAST(c_custkey AS VARCHAR) AS user_id,
-  driving_mode || '_v' || CAST(c_custkey AS VARCHAR) AS vehicle, rawlat AS latitude,
+  trj_id || '_v' || CAST(c_custkey AS VARCHAR) AS vehicle, rawlat AS latitude,
   rawlng AS longitude, speed
   FROM customer JOIN trace ON seq = (c_custkey*7919+13) % (SELECT count(*) FROM trace)""")
 add("update_batch", "trace", """SELECT seq, 'user_' || CAST((seq*104729+7) %

@@ -16,10 +16,10 @@ def seed_riders(riders: DataFrame, trace: DataFrame) -> DataFrame:
     pick = F.pmod(F.col("n") * 7919 + 13, rows)
     return (
         riders.select("n", pick.alias("seq"))
-        .join(trace.select("seq", "driving_mode", "rawlat", "rawlng", "speed"), "seq")
+        .join(trace.select("seq", "trj_id", "rawlat", "rawlng", "speed"), "seq")
         .select(
             F.concat(F.lit("user_"), F.col("n").cast("string")).alias("user_id"),
-            F.concat(F.col("driving_mode"), F.lit("_v"), F.col("n").cast("string")).alias("vehicle"),
+            F.concat(F.col("trj_id"), F.lit("_v"), F.col("n").cast("string")).alias("vehicle"),
             F.col("rawlat").alias("latitude"), F.col("rawlng").alias("longitude"), "speed",
         )
     )

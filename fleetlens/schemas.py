@@ -38,13 +38,22 @@ POSITION = _struct(
     (_LONG, "ts_ms updated_ms seq"),
 )
 
-# Every field of the string-map record is text until it is decoded.
-MAP_FIELDS = (
-    "trj_id", "driving_mode", "pingtimestamp", "rawlat", "rawlng",
-    "speed", "bearing", "accuracy", "location", "cell",
-)
+# Columns and field names of the string-map record; every field is text until
+# it is decoded.
+MAP_FIELDS = {
+    "trj_id": "trj_id", "driving_mode": "driving_mode", "pingtimestamp": "pingtimestamp",
+    "rawlat": "rawlat", "rawlng": "rawlng", "speed": "speed", "bearing": "bearing",
+    "accuracy": "accuracy", "location": "location", "cell": "h3_index",
+}
+
+# A scraped sample: a counter's or gauge's value at a time, told apart by its labels.
+SAMPLE = T.StructType([
+    T.StructField("metric", _TEXT), T.StructField("labels", T.MapType(_TEXT, _TEXT)),
+    T.StructField("ts_ms", _LONG), T.StructField("value", _DOUBLE),
+])
 
 # A message as it lies in a topic: the key decides the partition, seq the order.
 TOPIC = _struct((_TEXT, "key value"), (_LONG, "seq ingest_ms"))
 
+# What the driving modes of a trace become; pings may name any other service type.
 SERVICE_TYPES = ("TAXI", "BIKE", "UNKNOWN")

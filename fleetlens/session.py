@@ -16,7 +16,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
-# Largest table, by Catalyst's estimate and with all copies counted, that is broadcast.
+# Largest table, with all copies counted, that is broadcast: rows that were counted, and
+# Catalyst's estimate, which alone proves nothing (it does not see rows made by an explode).
+BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 128 << 20
 # Inputs below this per core are spread over all cores before an explode.
 SPREAD_BYTES = 16 << 20
@@ -37,7 +39,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        # local[...] only: in local-cluster[...] executors are processes of their own
+        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="fleetlens-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -52,8 +55,13 @@ def planned_bytes(df: DataFrame) -> int:
 
 
 def may_broadcast(df: DataFrame, copies: int = 1) -> bool:
-    """True if ``df`` is small enough to broadcast after an explode into ``copies`` rows."""
-    return planned_bytes(df) * copies <= BROADCAST_BYTES
+    """True if ``df`` is small enough to broadcast after an explode into ``copies`` rows.
+
+    The estimate only saves the count where the answer is no; the rows are counted, up to
+    one more than may be.
+    """
+    most = BROADCAST_ROWS // copies
+    return planned_bytes(df) * copies <= BROADCAST_BYTES and df.limit(most + 1).count() <= most
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -13,6 +13,7 @@ from fleetlens.schemas import MAP_FIELDS, PING, PING_JSON, TOPIC
 
 FORMATS = ("kafka", "json", "parquet")
 CORRUPT = "_corrupt_record"
+EMPTY = "_no_value"
 _MESSAGE = T.StructType(
     [T.StructField(field, PING[column].dataType) for field, column in PING_JSON.items()]
     + [T.StructField(CORRUPT, T.StringType())]
@@ -52,7 +53,7 @@ def map_columns(pings: DataFrame, null_text: bool = False) -> DataFrame:
 
 def encode_map(records: DataFrame) -> DataFrame:
     """String-map records to keyed JSON messages; absent fields are left out."""
-    entries = [c for name in MAP_FIELDS for c in (F.lit(name), F.col(name))]
+    entries = [c for name, field in MAP_FIELDS.items() for c in (F.lit(field), F.col(name))]
     present = F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
     return records.select(
         F.col("trj_id").alias("key"), F.to_json(present).alias("value"), "seq", "ingest_ms"
@@ -63,23 +64,26 @@ def encode_map(records: DataFrame) -> DataFrame:
 
 
 def decode_pings(messages: DataFrame, arrival_as_timestamp: bool = False) -> DataFrame:
-    """Typed pings; ``_corrupt_record`` holds the text of a message that is no ping.
+    """Typed pings; ``_corrupt_record`` holds the text of a message that is no ping, and
+    ``_no_value`` marks a message without one.
 
     A ping without a time stamp keeps none, or takes its arrival time on request.
     """
     value = F.from_json("value", _MESSAGE,
                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     fields = [F.col(f"_p.{field}").alias(column) for field, column in PING_JSON.items()]
-    pings = messages.withColumn("_p", value).select("seq", *fields, "ingest_ms", f"_p.{CORRUPT}")
+    pings = messages.withColumn("_p", value).select(
+        "seq", *fields, "ingest_ms", f"_p.{CORRUPT}", F.col("value").isNull().alias(EMPTY)
+    )
     if arrival_as_timestamp:
         pings = pings.withColumn("ts_ms", F.coalesce("ts_ms", "ingest_ms"))
     return pings
 
 
 def split_poison(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Readable pings, and the messages to put aside."""
-    bad = F.col(CORRUPT).isNotNull()
-    return decoded.where(~bad).drop(CORRUPT), decoded.where(bad).select(
+    """Readable pings, and the messages to put aside: malformed ones and ones without a value."""
+    bad = F.col(CORRUPT).isNotNull() | F.col(EMPTY)
+    return decoded.where(~bad).drop(CORRUPT, EMPTY), decoded.where(bad).select(
         "seq", F.col(CORRUPT).alias("value"), "ingest_ms"
     )
 
@@ -88,7 +92,7 @@ def decode_map(messages: DataFrame) -> DataFrame:
     """String-map messages back to one text column per field."""
     fields = F.from_json("value", "map<string,string>")
     return messages.withColumn("_m", fields).select(
-        "seq", "ingest_ms", *[F.col("_m").getItem(n).alias(n) for n in MAP_FIELDS]
+        "seq", "ingest_ms", *[F.col("_m").getItem(f).alias(n) for n, f in MAP_FIELDS.items()]
     )
 
 

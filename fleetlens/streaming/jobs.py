@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetlens.functions.pings import STATUS_TTL_MS, lag_ms
 from fleetlens.operators import metrics
-from fleetlens.operators.state import merge_reduced, reduce_pings
+from fleetlens.operators.state import active_status, merge_reduced, reduce_pings
 from fleetlens.sources.topics import decode_map, decode_numeric, split_poison
 from fleetlens.operators.validate import consumable
 
@@ -54,9 +55,19 @@ def start(
     )
 
 
-def read_batches(spark: SparkSession, path: str, after: int | None = None) -> DataFrame:
-    """All batches of a job, with their number in ``batch``."""
-    rows = spark.read.parquet(path)
+def read_batches(spark: SparkSession, path: str, schema: str | None = None,
+                 after: int | None = None) -> DataFrame:
+    """All batches of a job, with their number in ``batch``; none if the job wrote nothing yet.
+
+    ``schema`` declares the columns; without it they are those of the files, which must exist.
+    """
+    try:
+        reader = spark.read if schema is None else spark.read.schema(f"{schema}, batch int")
+        rows = reader.parquet(path)
+    except AnalysisException as e:
+        if schema is None or e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], f"{schema}, batch int")
     return rows if after is None else rows.where(F.col("batch") > after)
 
 
@@ -81,6 +92,10 @@ def decoded_maps(messages: DataFrame) -> DataFrame:
 # ---- positions --------------------------------------------------------------------
 
 
+PARTS = ("user_id string, lat double, lng double, speed double, accuracy double, service_type string, "
+         "ts_ms long, updated_ms long, seq long, first_seq long")
+
+
 def start_upserts(pings: DataFrame, path: str, checkpoint: str, **kw) -> StreamingQuery:
     """Stateless upsert: one reduced row per rider and batch."""
     return start(pings, path, checkpoint, reduce=reduce_pings, **kw)
@@ -89,18 +104,18 @@ def start_upserts(pings: DataFrame, path: str, checkpoint: str, **kw) -> Streami
 def current_positions(spark: SparkSession, path: str, base: str | None = None,
                       upto: int | None = None) -> DataFrame:
     """Position table after all batches, over an optional base that holds those up to ``upto``."""
-    parts = read_batches(spark, path, after=upto).drop("batch")
+    parts = read_batches(spark, path, PARTS, after=upto).drop("batch")
     if base is not None:
-        parts = spark.read.parquet(base).unionByName(parts)
+        parts = spark.read.schema(PARTS).parquet(base).unionByName(parts)
     return merge_reduced(parts)
 
 
 def compact(spark: SparkSession, path: str, out: str, upto: int,
             base: str | None = None, base_upto: int | None = None) -> None:
     """Merge the batches up to ``upto`` (and an older base) into the new base ``out``."""
-    parts = read_batches(spark, path, after=base_upto).where(F.col("batch") <= upto).drop("batch")
+    parts = read_batches(spark, path, PARTS, after=base_upto).where(F.col("batch") <= upto).drop("batch")
     if base is not None:
-        parts = spark.read.parquet(base).unionByName(parts)
+        parts = spark.read.schema(PARTS).parquet(base).unionByName(parts)
     merge_reduced(parts).write.mode("overwrite").parquet(out)
 
 
@@ -112,26 +127,22 @@ def start_latest(pings: DataFrame, path: str, checkpoint: str, **kw) -> Streamin
 # ---- status with a time limit ------------------------------------------------------
 
 
-def last_writes(batch: DataFrame) -> DataFrame:
-    """Last write of each rider in a batch; a missing key cannot hold a status."""
-    return batch.groupBy("user_id").agg(
-        F.max_by("ingest_ms", "seq").alias("last_ms"), F.max("seq").alias("seq")
-    )
+def writes(batch: DataFrame) -> DataFrame:
+    """When each rider of a batch wrote: what it takes to answer for any moment, past ones too."""
+    return batch.groupBy("user_id", "ingest_ms").agg(F.max("seq").alias("seq"))
+
+
+WRITES = "user_id string, ingest_ms long, seq long"
 
 
 def start_status(pings: DataFrame, path: str, checkpoint: str, **kw) -> StreamingQuery:
-    return start(pings, path, checkpoint, reduce=last_writes, **kw)
+    return start(pings, path, checkpoint, reduce=writes, **kw)
 
 
 def active_at(spark: SparkSession, path: str, as_of_ms, ttl_ms: int = STATUS_TTL_MS) -> DataFrame:
-    """Riders of a status job whose last write is less than the TTL before ``as_of_ms``."""
-    as_of = F.lit(as_of_ms) if isinstance(as_of_ms, int) else as_of_ms
-    last = read_batches(spark, path).groupBy("user_id").agg(
-        F.max_by("last_ms", "seq").alias("last_ms")
-    )
-    return last.where(as_of - F.col("last_ms") < ttl_ms).select(
-        "user_id", "last_ms", (F.col("last_ms") + ttl_ms).alias("expires_at")
-    )
+    """Riders of a status job whose last write at or before ``as_of_ms`` is less than the TTL
+    before it."""
+    return active_status(read_batches(spark, path, WRITES), as_of_ms, ttl_ms)
 
 
 def status_periods(pings: DataFrame, delay: str = "1 minute",

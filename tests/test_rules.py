@@ -93,8 +93,15 @@ def test_upsert_keeps_the_first_service_and_nulls(spark):
     df = frame(spark, ping(0, service="BIKE", accuracy=5.0), ping(1, service="TAXI", accuracy=None))
     row = state.upsert_positions(df).first()
     assert (row.service_type, row.accuracy, row.seq) == ("BIKE", None, 1)
-    with pytest.raises(Exception, match="unknown service type"):
-        state.upsert_positions(frame(spark, ping(0, service="PLANE"))).collect()
+    # Any service type that is not blank is kept.
+    assert state.upsert_positions(frame(spark, ping(0, service="PLANE"))).first().service_type == "PLANE"
+
+
+def test_merge_of_an_old_batch_moves_nobody_back(spark):
+    stored = state.reduce_pings(frame(spark, ping(5, "a", lat=9.0, service="TAXI")))
+    old = frame(spark, ping(2, "a", lat=3.0, service="BIKE"))
+    row = state.upsert_merge(stored, old).first()
+    assert (row.lat, row.seq, row.service_type, row.first_seq) == (9.0, 5, "BIKE", 2)
 
 
 def test_merge_moves_adds_and_keeps(spark):

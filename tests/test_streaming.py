@@ -64,9 +64,10 @@ def test_status_with_time_limit(spark, sf, topic, tmp_path):
     jobs.start_status(stream(spark, topic), out, str(tmp_path / "c")).awaitTermination()
     valid = inputs.valid_pings(spark, sf)
     as_of = valid.agg(F.max("ingest_ms")).first()[0] - 3_600_000
-    # Writes after the moment asked for would renew a status: compare at the end of time.
-    end = as_of + 3_600_000
-    assert same(state.active_status(valid, end), jobs.active_at(spark, out, end))
+    for moment in (as_of, as_of + 3_600_000):
+        assert same(state.active_status(valid, moment), jobs.active_at(spark, out, moment))
+    assert jobs.active_at(spark, str(tmp_path / "nothing"), as_of).count() == 0
+    assert jobs.current_positions(spark, str(tmp_path / "nothing")).count() == 0
 
 
 def test_status_periods(spark, sf, tmp_path):
