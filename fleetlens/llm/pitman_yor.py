@@ -36,9 +36,9 @@ COMMON_WORDS = 1 << 18      # words whose counts are broadcast
 CUSTOMERS = 2000
 TOGETHER = 250
 STRENGTH = 10.0             # the concentration of every restaurant
-SWEEPS = ((1, 1), (2, 3))   # burn-in and samples of the children, each time before the parent's turn
+SWEEPS = ((0, 1), (1, 2))   # burn-in and samples of the children, each time before the parent's turn
 SIDE_BY_SIDE = 2000         # restaurants that a task samples together
-LEAST_TOGETHER = 300        # a task gets at least about so many
+LEAST_TOGETHER = 1500       # a task gets at least about so many
 SLICE = 8 << 20
 END = np.uint64(0x5EED0E2D0C5EED01)
 PARENT = -1
@@ -84,20 +84,18 @@ class Lexicon:
     def __init__(self, counts: DataFrame):
         totals = counts.agg(F.sum("c"), F.count("*")).head()
         self.tokens, self.distinct = totals[0] or 0, totals[1]
-        rows = counts.orderBy(F.desc("c"), "w").limit(COMMON_WORDS).toPandas()
-        self.top = np.sort(rows["w"].to_numpy(np.int64)[:VOCABULARY].view(np.uint64))
-        words = rows["w"].to_numpy(np.int64).view(np.uint64)
+        rows = counts.orderBy(F.desc("c"), "w").limit(COMMON_WORDS).toArrow()
+        words, often, ending = (rows.column(x).to_numpy() for x in ("w", "c", "g"))
+        words = words.view(np.uint64)
+        self.top = np.sort(words[:VOCABULARY])
         order = np.argsort(words)
-        self.words, self.counts = words[order], rows["c"].to_numpy(np.int64)[order]
+        self.words, self.counts = words[order], often[order]
         # tokens and distinct words by ending, of the words that are not classes of their own
         self.held, self.kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        of_top = {int(x) for x in self.top.view(np.int64)}
         for r in counts.groupBy("g").agg(F.sum("c"), F.count("*")).collect():
             self.held[VOCABULARY + r[0]], self.kinds[VOCABULARY + r[0]] = r[1], r[2]
-        for w, g, c in zip(rows["w"], rows["g"], rows["c"]):
-            if int(w) in of_top:
-                self.held[VOCABULARY + g] -= c
-                self.kinds[VOCABULARY + g] -= 1
+        np.subtract.at(self.held, VOCABULARY + ending[:VOCABULARY], often[:VOCABULARY])
+        np.subtract.at(self.kinds, VOCABULARY + ending[:VOCABULARY], 1)
 
     def classes(self, words: np.ndarray, ending: np.ndarray) -> np.ndarray:
         out = VOCABULARY + ending
@@ -306,13 +304,14 @@ def class_model(pairs: DataFrame) -> np.ndarray:
             parent[r["v"]] += r["kept"]
         parent /= parent.sum()
     # pairs of classes: a number that does not grow with the corpus
-    rows = children.select("u", "v", "kept", "opened").toPandas()
-    model = np.zeros((CLASSES, CLASSES))
-    rest = np.bincount(rows["u"], weights=rows["opened"], minlength=CLASSES)
+    rows = children.select("u", "v", F.col("kept").cast("float"), "opened").toArrow()
+    u, v, kept, opened = (rows.column(x).to_numpy() for x in ("u", "v", "kept", "opened"))
+    rest = np.bincount(u, weights=opened, minlength=CLASSES)
     rest[rest == 0] = 1.0
-    model += rest[:, None] * parent
-    np.add.at(model, (rows["u"].to_numpy(), rows["v"].to_numpy()), rows["kept"].to_numpy())
-    return np.log10(model / model.sum(1, keepdims=True)).astype(np.float32)
+    model = (rest[:, None] * parent).astype(np.float32)
+    np.add.at(model, (u, v), kept)
+    model /= model.sum(1, keepdims=True)
+    return np.log10(model, out=model)
 
 
 # ---- scores ------------------------------------------------------------------------------
