@@ -58,26 +58,35 @@ class Linear:
         return np.hstack([x[:, self.columns], earlier]) @ self.weights + self.bias
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
-    """Penalised logistic regression by damped Newton steps; without both classes a constant."""
-    rate = (y.sum() + 0.5) / (len(y) + 1.0)
-    if not 0 < y.sum() < len(y):
-        return np.zeros(x.shape[1]), float(np.log(rate / (1 - rate)))
-    a = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = np.zeros(a.shape[1])
+ROWS_AT_ONCE = 2048
+
+
+def fit_linear(x: np.ndarray, y: np.ndarray, use: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
+    """Penalised logistic regression on the rows marked in ``use``, by damped Newton steps;
+    without both classes a constant. The last column of ``x`` is the constant 1."""
+    n, positive = int(use.sum()), float(y[use].sum())
+    rate = (positive + 0.5) / (n + 1.0)
+    w = np.zeros(x.shape[1])
     w[-1] = np.log(rate / (1 - rate))
+    if not 0 < positive < n:
+        return w[:-1], float(w[-1])
     ridge = np.full(len(w), penalty)
     ridge[-1] = 1e-6
 
     def loss(v: np.ndarray) -> float:
-        z = a @ v
-        return float(np.logaddexp(0, z).sum() - z @ y + 0.5 * (ridge * v * v).sum())
+        z = (x @ v.astype(x.dtype)).astype(float)
+        return float((np.logaddexp(0, z) - z * y)[use].sum() + 0.5 * (ridge * v * v).sum())
 
     now = loss(w)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        gradient = a.T @ (p - y) + ridge * w
-        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(ridge), gradient)
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype), -30, 30).astype(float)))
+        gradient = x.T @ np.where(use, p - y, 0).astype(x.dtype) + ridge * w
+        curve = np.where(use, p * (1 - p) + 1e-9, 0).astype(x.dtype)
+        second = np.diag(ridge)
+        for at in range(0, len(x), ROWS_AT_ONCE):
+            part = x[at:at + ROWS_AT_ONCE]
+            second += (part * curve[at:at + ROWS_AT_ONCE, None]).T @ part
+        step = np.linalg.solve(second, gradient)
         size = 1.0
         while size > 1e-4 and loss(w - size * step) > now:
             size /= 2
@@ -197,23 +206,27 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
                  *[part.column(c) for c in ("fold", *names)]], names=["have", "values", "fold", *names])
 
     rows = sample.mapInArrow(
-        present, "have array<int>, values array<double>, fold int, " + ", ".join(f"{c} int" for c in names)).collect()
-    x = np.zeros((len(rows), len(chain.vocabulary)))
-    for row, r in zip(x, rows):
-        row[r["have"]] = r["values"]
-    fold = np.array([r["fold"] for r in rows], np.int64)
-    odds = np.zeros((len(rows), 0))
+        present, "have array<int>, values array<double>, fold int, " + ", ".join(f"{c} int" for c in names)).toArrow()
+    n = len(rows)
+    have, values = rows.column("have").combine_chunks(), rows.column("values").combine_chunks()
+    row = np.repeat(np.arange(n), have.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) if n else []
+    x = np.zeros((n, len(chain.vocabulary)), np.float32)
+    if n:
+        x[row, have.flatten().to_numpy()] = values.flatten().to_numpy()
+    fold = rows.column("fold").to_numpy()
+    odds = np.zeros((n, 0), np.float32)
     for name in names:
         columns = np.array([chain.vocabulary[f] for f in chosen[name]], np.int64)
-        known = np.array([r[name] is not None for r in rows], bool)
-        y = np.array([r[name] or 0 for r in rows], float)
-        full = np.hstack([x[:, columns], odds])
-        unseen = np.zeros(len(rows))
+        marks = rows.column(name)
+        known = ~marks.is_null().to_numpy()
+        y = marks.fill_null(0).to_numpy().astype(float)
+        full = np.hstack([x[:, columns], odds, np.ones((n, 1), np.float32)])
+        unseen = np.zeros(n, np.float32)
         for f in range(FOLDS):
-            train, test = known & (fold != f), fold == f
-            w, b = fit_linear(full[train], y[train])
-            unseen[test] = full[test] @ w + b
-        w, b = fit_linear(full[known], y[known])
+            test = fold == f
+            w, b = fit_linear(full, y, known & ~test)
+            unseen[test] = full[test, :-1] @ w + b
+        w, b = fit_linear(full, y, known)
         chain.models.append(Linear(columns, w, b))
         odds = np.hstack([odds, np.clip(unseen, -30, 30)[:, None]])
     return chain
