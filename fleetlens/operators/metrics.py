@@ -230,3 +230,37 @@ def counter_increase(samples: DataFrame, width_ms: int, piece_ms: int = 60_000)
         .groupBy("series", window_start(F.col("piece_ms"), width_ms).alias("window_ms"))
         .agg(F.sum(F.coalesce("_inside", zero) + F.coalesce("_entry", zero)).alias("increase"))
     )
+
+
+# ---- scraped samples with labels -----------------------------------------------------
+
+INFINITE = "+Inf"
+
+
+def counter_rates(samples: DataFrame, metric: str, by: list[str], width_ms: int) -> DataFrame:
+    """``sum by (...) (rate(metric))`` per window, over samples ``metric, labels, ts_ms, value``.
+
+    Increases are taken per series, that is per set of labels, and only then summed.
+    """
+    labels = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("labels"))))
+    series = samples.where(F.col("metric") == metric).select(
+        labels.alias("series"), "ts_ms", F.col("ts_ms").alias("seq"), "value"
+    )
+    label = F.from_json("series", "map<string,string>")
+    per_s = F.lit(width_ms / 1000.0)
+    return (
+        counter_increase(series, width_ms)
+        .groupBy("window_ms", *[label.getItem(n).alias(n) for n in by])
+        .agg((F.sum("increase") / per_s).alias("rate"))
+    )
+
+
+def sampled_quantiles(samples: DataFrame, metric: str, by: list[str], width_ms: int,
+                      bounds: tuple[int, ...]) -> DataFrame:
+    """p95 and p99 per window from the rates of cumulative buckets, label ``le`` their bound."""
+    rates = counter_rates(samples, metric, ["le", *by], width_ms)
+    buckets = rates.groupBy("window_ms", *by).agg(
+        *[F.sum(F.when(F.col("le") == str(b), F.col("rate"))).alias(f"le_{b}") for b in bounds],
+        F.sum(F.when(F.col("le") == INFINITE, F.col("rate"))).alias("n"),
+    )
+    return quantiles(buckets, ["window_ms", *by], bounds)

@@ -12,7 +12,7 @@ from fleetlens.operators import areas, metrics, nearest, radius, state, validate
 from fleetlens.plans import inputs, workload
 from fleetlens.session import configure, shared_dir
 from fleetlens.sources import polygons as polygon_source
-from fleetlens.sources import topics, traces
+from fleetlens.sources import tables, topics, traces
 from fleetlens.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,6 +229,17 @@ def range_sphere(spark, sf):
     return _hits(radius.range_search(inputs.positions(spark, sf), *inputs.CENTRE, 8000.0))
 
 
+@query
+def position_snapshot(spark, sf):
+    """A snapshot written clustered by place and searched where it lies."""
+    path = shared_dir(spark, "positions")
+    tables.write_positions(inputs.valid_positions(spark, sf).selectExpr(
+        "user_id", "lat", "lng", "0D AS speed", "0D AS accuracy", "'TAXI' AS service_type", "0L AS ts_ms",
+        "0L AS updated_ms", "0L AS seq"), path)
+    hits = radius.range_search(tables.read_positions(spark, path), *inputs.CENTRE, 3000.0)
+    return _hits(hits)
+
+
 @query
 def range_spheroid(spark, sf):
     hits = radius.range_search(inputs.positions(spark, sf), *inputs.CENTRE, 8000.0, "spheroid")
@@ -487,6 +498,18 @@ def counter_increase(spark, sf):
     return metrics.counter_increase(inputs.samples(spark, sf), inputs.DAY_MS)
 
 
+@query
+def sample_throughput(spark, sf):
+    return _rounded(metrics.counter_rates(inputs.scrapes(spark, sf), "requests_count",
+                                          ["application", "class"], inputs.HOUR_MS), "rate")
+
+
+@query
+def sample_p95_p99(spark, sf):
+    return _rounded(metrics.sampled_quantiles(inputs.scrapes(spark, sf), "latency_bucket", ["application"],
+                                              inputs.DAY_MS, inputs.SCRAPE_BOUNDS), "p95", "p99")
+
+
 @query
 def check_pass_rate(spark, sf):
     expected = {inputs.WRITE_URI: 200, "/api/[a-z]+/search/range": 200,
@@ -542,6 +565,16 @@ def _ping_stream(spark, sf, messages=None):
     return topics.ping_stream(spark, "parquet", path=_topic(spark, messages), maxFilesPerTrigger="1")
 
 
+def _timed_stream(spark, messages):
+    """Messages in the order of arrival times, one file for each stretch of time."""
+    span = messages.agg(F.min("ingest_ms").alias("a"), (F.max("ingest_ms") - F.min("ingest_ms") + 1).alias("w")).head()
+    path = shared_dir(spark, "topic")
+    for part in range(TOPIC_FILES):
+        stretch = F.floor((F.col("ingest_ms") - span["a"]) * TOPIC_FILES / span["w"]) == part
+        topics.write_topic(messages.where(stretch).coalesce(1), path)
+    return topics.ping_stream(spark, "parquet", path=path, maxFilesPerTrigger="1")
+
+
 @query
 def stream_ingest(spark, sf):
     messages = topics.encode_kv(inputs.pings(spark, sf))
@@ -594,15 +627,9 @@ def stream_status_past(spark, sf):
 
 @query
 def stream_status_periods(spark, sf):
-    """Periods that are over: arrivals come in the order of time, in one file per stretch."""
+    """Periods that are over."""
     jobs.use_rocksdb(spark)
-    messages = topics.encode_kv(inputs.valid_pings(spark, sf))
-    span = messages.agg(F.min("ingest_ms").alias("a"), (F.max("ingest_ms") - F.min("ingest_ms") + 1).alias("w")).head()
-    path = shared_dir(spark, "topic")
-    for part in range(TOPIC_FILES):
-        stretch = F.floor((F.col("ingest_ms") - span["a"]) * TOPIC_FILES / span["w"]) == part
-        topics.write_topic(messages.where(stretch).coalesce(1), path)
-    stream = jobs.ingest(topics.ping_stream(spark, "parquet", path=path, maxFilesPerTrigger="1"))
+    stream = jobs.ingest(_timed_stream(spark, topics.encode_kv(inputs.valid_pings(spark, sf))))
     out = _finish(spark, jobs.start, "periods", jobs.status_periods(stream))
     return jobs.read_batches(spark, out).drop("batch")
 
@@ -619,7 +646,7 @@ def quarantine(spark, sf):
 def stream_freshness(spark, sf):
     jobs.use_rocksdb(spark)
     messages = topics.encode_kv(inputs.pings(spark, sf))
-    stream = jobs.freshness(jobs.ingest(_ping_stream(spark, sf, messages)), delay="365 days")
+    stream = jobs.freshness(jobs.ingest(_timed_stream(spark, messages)), delay="1 minute")
     out = _finish(spark, jobs.start, "freshness", stream, mode="update")
     return jobs.latest_windows(spark, out)
 

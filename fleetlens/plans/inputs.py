@@ -212,6 +212,26 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+SCRAPE_BOUNDS = (50, 100, 250, 500, 1000, 2500)
+
+
+def scrapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event as a scrape of its application's counters: requests by class, and cumulative
+    latency buckets. The counters follow the clock; the read counter restarts now and then."""
+    bounds = [*map(str, SCRAPE_BOUNDS), "+Inf"]
+    bucket = [f"struct('latency_bucket' AS metric, map('application', app, 'le', '{b}') AS labels, "
+              + " + ".join(f"event_ms div {20000 * (j + 1)}" for j in range(i + 1)) + " AS value)"
+              for i, b in enumerate(bounds)]
+    count = ["struct('requests_count' AS metric, map('application', app, 'class', 'write') AS labels, "
+             "event_ms div 1000 AS value)",
+             "struct('requests_count' AS metric, map('class', 'read', 'application', app) AS labels, "
+             "event_ms div 9000 % 40009 AS value)"]
+    return events(spark, sf).selectExpr(
+        "event_ms AS ts_ms", APPLICATION.format("event_id") + " AS app", "event_ms",
+    ).selectExpr("ts_ms", f"explode(array({', '.join(bucket + count)})) AS s").selectExpr(
+        "s.metric", "s.labels", "ts_ms", "CAST(s.value AS double) AS value")
+
+
 def gauges(spark: SparkSession, sf: str) -> DataFrame:
     """The samples as gauges between 0 and 1."""
     return samples(spark, sf).withColumn("value", F.col("value") / F.lit(1009.0))

@@ -230,6 +230,8 @@ add("polygon_validate", "squares", """SELECT pid, NOT (pid%5=0 OR pid%7=0) AS va
 _NEAR = f"near AS (SELECT *, {hav(*_CENTRE, 'lat', 'lng')} AS d FROM pos)"
 _HIT = "user_id, lat AS latitude, lng AS longitude, round(d, 3) AS distance_meter"
 add("range_sphere", "pos", f"SELECT {_HIT} FROM near WHERE d <= 8000", _NEAR)
+add("position_snapshot", "valid", f"""SELECT user_id, latitude, longitude, round(d, 3) AS distance_meter
+  FROM (SELECT *, {hav(*_CENTRE, 'latitude', 'longitude')} AS d FROM valid) WHERE d <= 3000""")
 _NEAR_G = geodesic_cte("g", "pos", *_CENTRE, "lat", "lng")
 add("range_spheroid", "pos", """SELECT user_id, lat, lng, speed, accuracy, ts_ms, updated_ms
   FROM g WHERE d <= 8000""", _NEAR_G)
@@ -380,6 +382,24 @@ add("counter_increase", "samples", """SELECT series, ts_ms - ts_ms % 86400000 AS
   sum(CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END) AS increase
   FROM (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY ts_ms, seq) AS prev
         FROM samples WHERE value IS NOT NULL) GROUP BY ALL""")
+_APP = "(['table','log','stream'])[event_id%3+1] AS application"
+_RISE = """CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END"""
+add("sample_throughput", "", f"""SELECT ts_ms - ts_ms % 3600000 AS window_ms, application, class,
+  round(sum({_RISE})/3600.0e0, 6) AS rate FROM (SELECT *, lag(value) OVER (PARTITION BY application, class
+    ORDER BY ts_ms) AS prev FROM (SELECT ts_ms, application, class,
+      CASE WHEN class = 'write' THEN ts_ms//1000 ELSE ts_ms//9000%40009 END AS value
+      FROM (SELECT {MS} AS ts_ms, {_APP} FROM events), (SELECT unnest(['write', 'read']) AS class)))
+  GROUP BY ALL""")
+_RATES = ", ".join(f"sum(value - prev) FILTER (le = {b}) / 86400.0e0 AS {n}" for b, n in
+                   [(b, f"le_{b}") for b in _LATENCY] + [(999999, "n")])
+_VALUE = " + ".join(f"CASE WHEN le >= {b} THEN ts_ms//{20000 * (j + 1)} ELSE 0 END"
+                    for j, b in enumerate([*_LATENCY, 999999]))
+add("sample_p95_p99", "", f"""SELECT window_ms, application, {_quantile(0.95, _LATENCY)} AS p95,
+  {_quantile(0.99, _LATENCY)} AS p99 FROM (SELECT ts_ms - ts_ms % 86400000 AS window_ms, application, {_RATES}
+  FROM (SELECT *, coalesce(lag(value) OVER (PARTITION BY application, le ORDER BY ts_ms), value) AS prev
+    FROM (SELECT ts_ms, application, le, {_VALUE} AS value FROM (SELECT {MS} AS ts_ms, {_APP} FROM events),
+      (SELECT unnest([{', '.join(map(str, [*_LATENCY, 999999]))}]) AS le)))
+  GROUP BY ALL)""")
 add("check_pass_rate", "req", """SELECT pattern || ' is 200' AS "check",
   round(avg(CASE WHEN status = 200 THEN 1.0e0 ELSE 0.0e0 END), 6) AS pass_rate, count(*) AS requests
   FROM req JOIN (SELECT unnest(['/api/[a-z]+/update', '/api/[a-z]+/search/range',

@@ -62,6 +62,7 @@ def read_batches(spark: SparkSession, path: str, schema: str | None = None,
     ``schema`` declares the columns; without it they are those of the files, which must exist.
     """
     try:
+        # ``batch`` comes from the folder names; job lists have none and get null
         reader = spark.read if schema is None else spark.read.schema(f"{schema}, batch int")
         rows = reader.parquet(path)
     except AnalysisException as e:
@@ -101,9 +102,34 @@ def start_upserts(pings: DataFrame, path: str, checkpoint: str, **kw) -> Streami
     return start(pings, path, checkpoint, reduce=reduce_pings, **kw)
 
 
+BASES = "base string, upto int"
+
+
+def last_base(spark: SparkSession, path: str) -> tuple[str | None, int | None]:
+    """The newest base of a job and the last batch in it, from the list beside its output."""
+    row = read_batches(spark, f"{path}-bases", BASES).orderBy(F.desc("upto")).select("base", "upto").head()
+    return (row["base"], row["upto"]) if row else (None, None)
+
+
+def compact_to(spark: SparkSession, path: str, upto: int) -> str:
+    """Merge the batches up to ``upto`` and the newest base into a new base, and list it.
+
+    The list is only appended to, after the base is whole: readers see the old base or the
+    new one. Batches in a base are read no more, and their folders may be deleted.
+    """
+    base, done = last_base(spark, path)
+    out = f"{path}-base/upto={upto}"
+    compact(spark, path, out, upto, base, done)
+    spark.createDataFrame([(out, upto)], BASES).coalesce(1).write.mode("append").parquet(f"{path}-bases")
+    return out
+
+
 def current_positions(spark: SparkSession, path: str, base: str | None = None,
                       upto: int | None = None) -> DataFrame:
-    """Position table after all batches, over an optional base that holds those up to ``upto``."""
+    """Position table after all batches, over the newest base, or a given one that holds the
+    batches up to ``upto``."""
+    if base is None and upto is None:
+        base, upto = last_base(spark, path)
     parts = read_batches(spark, path, PARTS, after=upto).drop("batch")
     if base is not None:
         parts = spark.read.schema(PARTS).parquet(base).unionByName(parts)
