@@ -44,10 +44,11 @@ DROPPED = frozenset(
 # Words of class, id and role that name what is not the article.
 UNLIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|comments?|disqus|reply|replies|"
-    r"respond|footer|foot|header|masthead|menu|menubar|nav|navbar|navigation|breadcrumbs?|pagination|"
+    r"respond|footer|foot|menu|menubar|nav|navbar|navigation|breadcrumbs?|pagination|"
     r"pager|sidebar|side|aside|widget|related|recommend\w*|share|sharing|social|subscribe|newsletter|"
     r"signup|login|cookies?|consent|gdpr|notices?|notification|popup|modal|overlay|complementary|"
     r"contentinfo|search|toolbar|copyright|legal|disclaimer|alert|hidden)(?=$|[\s_-])", re.I)
+HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)
 HOLDS_TEXT = frozenset("p pre td blockquote li dd div section article main body".split())
 MIN_PARAGRAPH = 25
 MAX_LINKED = 0.5
@@ -123,27 +124,36 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
-def is_unlikely(node: Node) -> bool:
+def within_article(node: Node) -> bool:
+    up = node.parent
+    while up and up.tag not in ("article", "main"):
+        up = up.parent
+    return up is not None
+
+
+def is_unlikely(node: Node, by_name: bool) -> bool:
     if node.tag in ("html", "body", "main"):
         return "hidden" in node.hints.split()
     if node.tag in DROPPED:
         return True
     if node.tag == "header":
-        up = node.parent
-        while up and up.tag not in ("article", "main"):
-            up = up.parent
-        return up is None
-    return bool(node.hints) and node.tag != "article" and bool(UNLIKELY.search(node.hints))
+        return not within_article(node)
+    if not node.hints or node.tag == "article":
+        return False
+    if HEADER.search(node.hints):
+        return by_name and not within_article(node)
+    return by_name and bool(UNLIKELY.search(node.hints)) or "hidden" in node.hints.split()
 
 
 def plain(text: str) -> str:
     return html.unescape(text) if "&" in text else text
 
 
-def measure(nodes: list[Node]) -> None:
+def measure(nodes: list[Node], by_name: bool = True) -> None:
     """Marks what is out, and sums characters and linked characters up the tree."""
     for node in nodes:
-        node.out = node.parent is not None and (node.parent.out or is_unlikely(node))
+        node.out = node.parent is not None and (node.parent.out or is_unlikely(node, by_name))
+        node.points, node.chars, node.linked = 0.0, 0, 0
     for node in reversed(nodes):
         if node.out:
             continue
@@ -247,6 +257,12 @@ def main_text(page: str) -> str:
     nodes = parse(page)
     measure(nodes)
     best = score(nodes)
+    if best is None and not nodes[0].chars:
+        # names alone must not empty a page: without them, is there an article?
+        measure(nodes, by_name=False)
+        best = score(nodes)
+        if best is None:
+            measure(nodes)
     parts = [nodes[0]] if best is None else kept_parts(best)
     for node in nodes:
         # lists of links inside the article are menus, whatever they are called

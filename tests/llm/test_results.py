@@ -447,6 +447,8 @@ ARTICLE = "<p>One, two, three, and some more words to make it long.</p><p>Short.
     f'<article>{ARTICLE}</article><section id="comments"><p>I like this, very much, thank you, really, a lot</p></section>',
     f'<article>{ARTICLE}<form><p>Name, address, and all else we want to know</p></form><style>p {{}}</style></article>',
     f'<div class="cookie-notice"><p>We use cookies, many, many of them, everywhere.</p></div><article>{ARTICLE}<!-- <p>no</p> --></article>',
+    f'<div class="site-widget">{ARTICLE}</div>',
+    f'<div class="page-header"><p>Header, header, header, and a long line of it.</p></div><div>{ARTICLE}</div>',
     f'<body><div><div class="post-body">{ARTICLE}</div></div><aside><p>Aside, aside, and aside, with long text.</p></aside>',
 ])
 def test_main_text_of_layouts(page):
