@@ -36,6 +36,20 @@ def private(df: DataFrame, name: str) -> str:
     return name
 
 
+def commonest(counted: DataFrame, count: str, most: int) -> DataFrame:
+    """At most ``most`` rows of ``counted``: those from some count on. The bound on the count
+    comes from a histogram of its logarithm, so only that and the rows asked for are gathered,
+    not the largest of every task."""
+    step = F.floor(F.log2(count) * 16)
+    seen, least = 0, None
+    for row in sorted(counted.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        seen += row["n"]
+        if seen > most:
+            break
+        least = row["step"]
+    return counted.filter(F.lit(False) if least is None else step >= least)
+
+
 def join_by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int,
                 how: str = "inner") -> DataFrame:
     """Join ``rows`` with ``keyed``, which has one row per key and in ``n`` the key's rows.

@@ -116,19 +116,23 @@ def likeness(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
     return float(2 * shared / (1 + shared))
 
 
+RANGES_PER_TASK = 4     # several ranges to a task even out what hashing deals unevenly
+
+
 def with_next(rows: DataFrame, parts: int) -> DataFrame:
     """(at, own, id, text): ``rows`` dealt by ranges of id, one range per ``at``, in each of
     them in rising order of id and text, preceded by the row before the range (own = false).
     Of the first range that is the last row of all. Rows without an id come first of all."""
     key = F.coalesce("id", F.lit(-(2**63)))
-    bounds = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000).alias("b")).head()
-    bounds = np.unique(np.array(bounds["b"] or [], np.int64)) if bounds and parts > 1 else np.empty(0, np.int64)
+    ranges = parts * RANGES_PER_TASK
+    bounds = rows.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000).alias("b")).head()
+    bounds = np.unique(np.array(bounds["b"] or [], np.int64))
 
     @F.pandas_udf("int")
     def range_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, ids.to_numpy(), "left").astype(np.int32))
 
-    # one row per range, of which there are at most ``parts``
+    # one row per range
     last = sorted(tuple(r) for r in rows.select(range_of(key).alias("at"), key.alias("key"))
                   .groupBy("at").agg(F.max("key")).collect())
     before = [(last[i - 1][1], at) for i, (at, _) in enumerate(last)]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.arrays import packed, spans, text_slices
-from fleetlens.llm.common import join_by_key, private, stored, text_or_empty
+from fleetlens.llm.common import commonest, join_by_key, private, stored, text_or_empty
 from fleetlens.llm.components import components
 from fleetlens.llm.shingles import WIDTH, mixed, shingle_sets, sums_by_row
 
@@ -83,7 +83,7 @@ def common_shingles(sets: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np
     """At most ``most`` shingles with counts. Only the order of shingles comes from them: which
     pairs are found does not depend on it, how many regions are large does."""
     counted = sets.filter("n = -1").select("common").mapInArrow(_unpack, "s long, n long")
-    rows = counted.groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(most).toArrow()
+    rows = commonest(counted.groupBy("s").agg(F.sum("n").alias("n")), "n", most).toArrow()
     shingles = rows.column("s").to_numpy().view(np.uint64)
     order = np.argsort(shingles)
     return shingles[order], rows.column("n").to_numpy()[order]

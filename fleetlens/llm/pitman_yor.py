@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm.arrays import text_slices
-from fleetlens.llm.common import stored, text_or_empty
+from fleetlens.llm.common import commonest, stored, text_or_empty
 from fleetlens.llm.shingles import BYTE_CODES, hashes_of, mixed, words_of
 
 VOCABULARY = 1536
@@ -84,9 +84,10 @@ class Lexicon:
     def __init__(self, counts: DataFrame):
         totals = counts.agg(F.sum("c"), F.count("*")).head()
         self.tokens, self.distinct = totals[0] or 0, totals[1]
-        rows = counts.orderBy(F.desc("c"), "w").limit(COMMON_WORDS).toArrow()
+        rows = commonest(counts, "c", COMMON_WORDS).toArrow()
         words, often, ending = (rows.column(x).to_numpy() for x in ("w", "c", "g"))
-        words = words.view(np.uint64)
+        first = np.lexsort((words, -often))
+        words, often, ending = words[first].view(np.uint64), often[first], ending[first]
         self.top = np.sort(words[:VOCABULARY])
         order = np.argsort(words)
         self.words, self.counts = words[order], often[order]
@@ -290,7 +291,7 @@ def class_model(pairs: DataFrame) -> np.ndarray:
     share = np.full(CLASSES, 0.5)
     for r in pairs.groupBy("v").agg(F.sum("c")).collect():
         share[r[0]] += r[1]
-    parent = share / share.sum()
+    parent = share / share.sum()      # never zero: half a customer each
     for sweeps in SWEEPS:
         children = sample_level(pairs, parent, discount, STRENGTH, sweeps, "py-children")
         if sweeps == SWEEPS[-1]:
@@ -302,7 +303,7 @@ def class_model(pairs: DataFrame) -> np.ndarray:
         parent = np.full(CLASSES, sum(r["opened"] for r in top)) * uniform
         for r in top:
             parent[r["v"]] += r["kept"]
-        parent /= parent.sum()
+        parent /= max(parent.sum(), 1e-300)
     # pairs of classes: a number that does not grow with the corpus
     rows = children.select("u", "v", F.col("kept").cast("float"), "opened").toArrow()
     u, v, kept, opened = (rows.column(x).to_numpy() for x in ("u", "v", "kept", "opened"))
