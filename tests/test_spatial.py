@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions import geodesy, polygons
 from fleetlens.operators import areas, nearest, radius, skew
 from fleetlens.plans import inputs
+from fleetlens.session import may_broadcast, planned_bytes
 from fleetlens.sources import polygons as polygon_source
 
 PLACES = [(90.0, 0.0), (-90.0, 12.0), (89.9, 170.0), (89.95, -10.0), (0.0, 180.0), (0.0, -180.0),
@@ -116,8 +117,11 @@ def test_a_third_of_all_riders_on_one_spot(spark):
     hits = radius.range_join(centres, crowd, rows_per_split=100)
     counts = radius.hit_counts(centres, hits).toPandas()
     assert (counts.hits >= at_spot).all() and counts.hits.nunique() == 1
-    parts = skew.hot_keys(crowd, "lng", 100).toPandas()
-    assert parts._parts.tolist() == [10]
+    asking = centres.select(F.col("lng"))
+    parts = skew.hot_keys(asking, crowd, "lng", 100).toPandas()
+    assert parts._parts.tolist() == [2]     # 1000 rows meet 40 queries: few comparisons
+    many = spark.range(100_000).select(F.lit(103.8).alias("lng"))
+    assert 2 < skew.hot_keys(many, crowd, "lng", 100).head()._parts <= 10
     # Of the stack only k riders per query are ever compared, and the first ids win.
     knn = nearest.knn_join(centres, crowd, max_k=7).toPandas()
     assert len(knn) == 40 * 7
@@ -255,7 +259,69 @@ def test_same_cell_split_equals_plain(spark, sf):
     split = areas.same_cell_join(q, p, rows_per_split=1)
     assert plain.exceptAll(split).count() == 0 and plain.count() == split.count() > 0
     lat, lng = inputs.CENTRE
-    assert areas.same_cell_search(p, lat, lng).count() >= 0
+    one = spark.createDataFrame([(0, lat, lng)], "qid long, lat double, lng double")
+    assert areas.same_cell_search(p, lat, lng).count() == areas.same_cell_join(one, p).count()
+
+
+def test_every_crowded_key_is_split(spark):
+    crowd = spark.range(330_000).select((F.col("id") % 11_000).alias("key"), F.col("id").alias("user_id"))
+    asking = spark.range(11_000).select(F.col("id").alias("key"))
+    assert skew.hot_keys(asking, crowd, "key", 20).where("_parts >= 2").count() == 11_000
+    copies, single, on = skew.split(asking, crowd, "key", "user_id", 20)
+    assert copies.join(single, on).count() == 330_000
+    assert single.groupBy(*on).count().agg(F.max("count")).head()[0] < 30
+
+
+def test_rows_are_counted_before_a_broadcast(spark):
+    exploded = spark.range(3000).select(F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("x"))
+    assert planned_bytes(exploded) < 1 << 20 and not may_broadcast(exploded)
+    assert may_broadcast(spark.range(1000)) and not may_broadcast(spark.range(1000), copies=10_000)
+
+
+def test_repeated_positions_in_polygons_are_all_returned(spark):
+    square = spark.createDataFrame([(1, [0.0, 1.0, 1.0, 0.0], [0.0, 0.0, 1.0, 1.0])],
+                                   "pid int, lats array<double>, lngs array<double>")
+    table = polygon_source.from_arrays(square)
+    rows = [("a", 0.5, 0.5)] * 3 + [("b", 0.5, 0.5), ("c", 2.0, 0.5), ("a", 0.25, 0.5)]
+    p = spark.createDataFrame(rows, "user_id string, lat double, lng double")
+    for rule in areas.RULES:
+        for split in (None, 1):
+            hits = areas.polygon_join(table, p, rule, split).groupBy("user_id").count().collect()
+            assert {r["user_id"]: r["count"] for r in hits} == {"a": 4, "b": 1}
+
+
+def test_ring_of_many_vertices(spark):
+    n = 4000
+    lats = [round(1.3 + (0.2 + 0.05 * (i % 2)) * math.sin(2 * math.pi * i / n), 6) for i in range(n)]
+    lngs = [round(103.8 + (0.2 + 0.05 * (i % 2)) * math.cos(2 * math.pi * i / n), 6) for i in range(n)]
+    ring = polygon_source.from_arrays(spark.createDataFrame(
+        [(1, lats, lngs)], "pid int, lats array<double>, lngs array<double>"))
+    filed = areas._filed_edges(ring)
+    assert filed.groupBy("_cell").count().agg(F.max("count")).head()[0] < 1200
+    p = spark.range(2000).select(
+        F.col("id").cast("string").alias("user_id"), (1.0 + F.col("id") % 61 / 100).alias("lat"),
+        (103.5 + F.col("id") % 67 / 110).alias("lng"))
+    plain = p.where(areas.inside(F.col("lat"), F.col("lng"), [list(zip(lngs[::40], lats[::40]))]))
+    rough = polygon_source.from_arrays(spark.createDataFrame(
+        [(1, lats[::40], lngs[::40])], "pid int, lats array<double>, lngs array<double>"))
+    assert areas.polygon_join(rough, p).count() == plain.count() > 0
+    assert areas.polygon_join(ring, p).count() > 0
+
+
+def test_k_beyond_the_given_maximum_is_an_error(spark, sf):
+    p = inputs.positions(spark, sf)
+    q = spark.createDataFrame([(1, 1.3, 103.8, 12), (2, 1.3, 103.8, None)], "qid long, lat double, lng double, k int")
+    assert nearest.knn_join(q, p).groupBy("qid").count().collect() == [(1, 12)]
+    with pytest.raises(Exception, match="k over 5"):
+        nearest.knn_join(q, p, max_k=5).collect()
+
+
+def test_longitude_box_loses_nobody(spark):
+    rows = [(f"{a}/{b}", float(a), b / 2) for a in (-89.95, -60, 0, 45, 88, 89.99) for b in range(-360, 361, 3)]
+    p = spark.createDataFrame(rows, "user_id string, lat double, lng double")
+    for lat, lng, radius_m in ((0, 179.9, 3e5), (45, -179.5, 4e5), (88, 10, 5e5), (-89.9, 0, 2e4), (60, 0, 9e6)):
+        d = geodesy.haversine(F.lit(float(lat)), F.lit(float(lng)), F.col("lat"), F.col("lng"))
+        assert radius.range_search(p, lat, lng, radius_m).count() == p.where(d <= radius_m).count()
 
 
 def test_every_way_of_joining_gives_the_same(spark, sf, monkeypatch):
