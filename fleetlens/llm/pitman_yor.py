@@ -36,7 +36,7 @@ COMMON_WORDS = 1 << 18      # words whose counts are broadcast
 CUSTOMERS = 2000
 TOGETHER = 250
 STRENGTH = 10.0             # the concentration of every restaurant
-SWEEPS = ((0, 1), (1, 2))   # burn-in and samples of the children, each time before the parent's turn
+SWEEPS = ((1, 1), (2, 3))   # burn-in and samples of the children, each time before the parent's turn
 SIDE_BY_SIDE = 2000         # restaurants that a task samples together
 LEAST_TOGETHER = 1500       # a task gets at least about so many
 SLICE = 8 << 20
@@ -145,13 +145,14 @@ class Restaurants:
     restaurant; restaurants do not depend on each other, so this is plain Gibbs sampling."""
 
     def __init__(self, restaurant: np.ndarray, customers: np.ndarray, base: np.ndarray, discount: float,
-                 strength: float, seed: int):
+                 strength: float, seed: int, alone: np.ndarray):
+        """``alone``: tables of each restaurant besides those of the dishes given."""
         self.rng = np.random.default_rng(seed)
         self.restaurant, self.n, self.base = restaurant, customers, base
         self.discount, self.strength = discount, strength
         self.first = np.cumsum(customers) - customers           # of a dish's customers and table slots
         self.dish = np.repeat(np.arange(len(customers)), customers)
-        rooms = int(restaurant[-1]) + 1 if len(restaurant) else 0
+        rooms = len(alone)
         self.size = np.bincount(restaurant, weights=customers, minlength=rooms).astype(np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.by_size = np.argsort(-self.size, kind="stable")    # the longest queues first
@@ -159,7 +160,7 @@ class Restaurants:
         self.seated = np.zeros(len(self.dish), np.int64)        # customers at each table
         self.tables = np.zeros(len(customers), np.int64)
         self.eating = np.zeros(len(customers), np.int64)
-        self.open = np.zeros(rooms, np.int64)                   # tables of each restaurant
+        self.open = alone.astype(np.int64)                      # tables of each restaurant
         self.free = np.arange(len(self.dish))                   # stacks of free slots, one per dish
 
     def sweep(self, seated: bool) -> None:
@@ -212,14 +213,17 @@ class Restaurants:
 
 def seat(restaurant: np.ndarray, customers: np.ndarray, base: np.ndarray, discount: float, strength: float,
          seed: int, burn_in: int, samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean tables of each dish, and of each restaurant, over the samples."""
-    rooms = Restaurants(restaurant, customers, base, discount, strength, seed)
+    """Mean tables of each dish, and of each restaurant, over the samples. A dish with one customer
+    has one table in every seating, so only the others are sampled."""
+    many = customers > 1
+    alone = np.bincount(restaurant[customers == 1], minlength=int(restaurant[-1]) + 1 if len(restaurant) else 0)
+    rooms = Restaurants(restaurant[many], customers[many], base[many], discount, strength, seed, alone)
     rooms.sweep(seated=False)
-    tables, opened = np.zeros(len(customers)), np.zeros(len(rooms.open))
+    tables, opened = (customers == 1).astype(float), np.zeros(len(rooms.open))
     for i in range(burn_in + samples):
         rooms.sweep(seated=True)
         if i >= burn_in:
-            tables += rooms.tables / samples
+            tables[many] += rooms.tables / samples
             opened += rooms.open / samples
     return tables, opened
 
