@@ -1,15 +1,20 @@
 """A hierarchical Pitman-Yor language model, sampled over all training documents.
 
-Tokens are words and document ends. The VOCABULARY commonest tokens are classes of their own,
-the others are classed by their last bytes; a word's probability is that of its class after the
-class before, times its share of its class (add one half, with one place for unknown words).
-The first factor is the hierarchical model: a restaurant per class before, whose tables are
-customers of one parent restaurant that all of them share, whose base is uniform. Seating is
-sampled by Gibbs: a customer leaves, and sits down again at a table of the same class or at a
-new one. Predictive probabilities are averaged over the samples.
+Tokens are words and document ends. Restaurants are contexts: the two words before a token, whose
+tables are customers of the word before, whose base is the probability by classes. All words
+are told apart, and the contexts grow with the corpus: they lie in shuffled tables.
+
+In the base, the VOCABULARY commonest tokens are classes of their own, the others are classed by
+their last bytes; a word's probability is that of its class after the class before, times its
+share of its class (add one half, with one place for unknown words). The first factor is again
+hierarchical: a restaurant per class before, whose tables are customers of one parent restaurant
+that all of them share, whose base is uniform.
+
+Seating is sampled by Gibbs: a customer leaves, and sits down again at a table of the same dish
+or at a new one. Predictive probabilities are averaged over the samples.
 
 Customers of one context are exchangeable, so a context with many of them is dealt over several
-restaurants of about CUSTOMERS each, whose predictions are averaged; those of one class stay
+restaurants of about CUSTOMERS each, whose predictions are averaged; those of one dish stay
 together up to TOGETHER of them. No task seats an unbounded group.
 Sizes that do not grow with the corpus: classes, pairs of classes, and the table of the commonest
 words, which are broadcast. Words beyond that table are looked up by a join.
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm.arrays import text_slices
-from fleetlens.llm.common import commonest, stored, text_or_empty
+from fleetlens.llm.common import commonest, join_by_key, stored, text_or_empty
 from fleetlens.llm.shingles import BYTE_CODES, hashes_of, mixed, words_of
 
 VOCABULARY = 1536
@@ -37,7 +42,8 @@ CUSTOMERS = 2000
 TOGETHER = 250
 STRENGTH = 10.0             # the concentration of every restaurant
 SWEEPS = ((1, 1), (2, 3))   # burn-in and samples of the children, each time before the parent's turn
-SIDE_BY_SIDE = 2000         # restaurants that a task samples together
+SIDE_BY_SIDE = 2000         # full restaurants that a task samples together
+WORDS_TOGETHER = 1 << 20    # customers of word contexts that a task samples together
 LEAST_TOGETHER = 1500       # a task gets at least about so many
 SLICE = 8 << 20
 END = np.uint64(0x5EED0E2D0C5EED01)
@@ -228,59 +234,76 @@ def seat(restaurant: np.ndarray, customers: np.ndarray, base: np.ndarray, discou
     return tables, opened
 
 
-SEATED = "u int, v int, kept double, tables double, opened double"
+SEATED = "u long, v long, mid long, shares long, kept double, tables double, opened double"
 
 
-def _seat_all(base, discount: float, strength: float, sweeps: tuple[int, int]):
+def _seat_all(base, discount: float, strength: float, sweeps: tuple[int, int], together: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (u, share, shares, v, n), those of one restaurant together."""
-        held: list[np.ndarray] = []
-
+        """Rows (u, share, shares, v, n, mid, base), those of one restaurant together."""
         def sample(rows: np.ndarray) -> pa.RecordBatch:
-            u, share, shares, v, n = rows
+            u, share, shares, v, n, mid, beside = rows
             change = np.append(True, (u[1:] != u[:-1]) | (share[1:] != share[:-1]))
             room = np.cumsum(change) - 1
-            seed = int(u[0] * 1_000_003 + share[0]) % (1 << 31)
-            tables, opened = seat(room, n, base.value[v], discount, strength, seed, *sweeps)
+            seed = (int(u[0]) * 1_000_003 + int(share[0])) % (1 << 31)
+            prior = beside.view(np.float64) if base is None else base.value[v]
+            tables, opened = seat(room, n, prior, discount, strength, seed, *sweeps)
             size = np.bincount(room, weights=n)[room]
+            # the weight that the restaurant leaves to its parent: on every row of an undivided
+            # context, once per restaurant of a divided one
+            rest = (strength + discount * opened[room]) / (strength + size) / shares
             return pa.RecordBatch.from_arrays(
-                [pa.array(u.astype(np.int32)), pa.array(v.astype(np.int32)),
+                [pa.array(u), pa.array(v), pa.array(mid), pa.array(shares),
                  pa.array((n - discount * tables) / (strength + size) / shares), pa.array(tables),
-                 # once per restaurant: the weight that it leaves to the parent
-                 pa.array(np.where(change, (strength + discount * opened[room]) / (strength + size) / shares, 0.0))],
-                names=["u", "v", "kept", "tables", "opened"])
+                 pa.array(np.where(change | (shares == 1), rest, 0.0))],
+                names=["u", "v", "mid", "shares", "kept", "tables", "opened"])
 
+        held: list[np.ndarray] = []
+        waiting = 0
         for batch in batches:
-            held.append(np.array([batch.column(x).to_numpy() for x in ("u", "share", "shares", "v", "n")], np.int64))
+            held.append(np.array([batch.column(x).to_numpy().view(np.int64) if x == "base" else
+                                  batch.column(x).to_numpy().astype(np.int64)
+                                  for x in ("u", "share", "shares", "v", "n", "mid", "base")]))
+            waiting += max(int(held[-1][4].sum()), held[-1].shape[1])
+            if waiting <= together:
+                continue
             rows = np.concatenate(held, axis=1)
-            change = np.flatnonzero(np.append(True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])))
-            while len(change) > SIDE_BY_SIDE:
-                cut = change[SIDE_BY_SIDE]
-                yield sample(rows[:, :cut])
-                rows, change = rows[:, cut:], change[SIDE_BY_SIDE:] - cut
-            held = [rows]
-        if held and held[0].shape[1]:
+            change = np.flatnonzero((rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])) + 1
+            if len(change):
+                yield sample(np.ascontiguousarray(rows[:, :change[-1]]))
+                rows = np.ascontiguousarray(rows[:, change[-1]:])
+            held, waiting = [rows], max(int(rows[4].sum()), rows.shape[1])
+        if held and sum(x.shape[1] for x in held):
             yield sample(np.concatenate(held, axis=1))
     return run
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows (u, v, c, shares and others) with the customers n of v in each share of the context u.
+    A row without customers goes to one share."""
+    over = F.greatest(F.least("shares", F.ceil(F.col("c") / TOGETHER)), F.lit(1)).cast("int")
+    return rows.withColumn("over", over).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("over") - 1))).withColumn(
+        "share", F.pmod(F.xxhash64("u", "v") + F.col("i"), F.col("shares"))).withColumn(
+        "n", F.floor(F.col("c") / F.col("over")) + F.when(F.col("i") < F.col("c") % F.col("over"), 1).otherwise(0))
+
+
 def sample_level(pairs: DataFrame, base: np.ndarray, discount: float, strength: float, sweeps: tuple[int, int],
                  name: str) -> DataFrame:
-    """SEATED, summed by (u, v), for the customers c of (u, v) in ``pairs``."""
+    """u, v, kept, tables, opened, summed by (u, v), for the customers c of (u, v) in ``pairs``."""
     spark = pairs.sparkSession
     sizes = pairs.groupBy("u").agg(F.ceil(F.sum("c") / CUSTOMERS).cast("int").alias("shares"))
     # at most CLASSES + 1 rows
-    rows = pairs.join(F.broadcast(sizes), "u").withColumn(
-        "over", F.least("shares", F.ceil(F.col("c") / TOGETHER)).cast("int"))
-    dealt = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("over") - 1))).select(
-        "u", F.pmod(F.xxhash64("u", "v") + F.col("i"), F.col("shares")).alias("share"), "shares", "v",
-        (F.floor(F.col("c") / F.col("over")) + F.when(F.col("i") < F.col("c") % F.col("over"), 1).otherwise(0)).alias("n"))
+    rows = dealt(pairs.join(F.broadcast(sizes), "u")).select(
+        "u", "share", "shares", "v", "n", F.lit(0).alias("mid"), F.lit(0.0).alias("base"))
     rooms = sizes.agg(F.coalesce(F.sum("shares"), F.lit(0))).head()[0]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), rooms // (10 * SIDE_BY_SIDE))
     parts = min(parts, 1 + rooms // LEAST_TOGETHER)
-    ordered = dealt.repartition(parts, "u", "share").sortWithinPartitions("u", "share")
-    seated = ordered.mapInArrow(_seat_all(spark.sparkContext.broadcast(base), discount, strength, sweeps), SEATED)
-    return stored(seated.groupBy("u", "v").agg(*[F.sum(x).alias(x) for x in ("kept", "tables", "opened")]), name)
+    ordered = rows.repartition(parts, "u", "share").sortWithinPartitions("u", "share")
+    seated = ordered.mapInArrow(
+        _seat_all(spark.sparkContext.broadcast(base), discount, strength, sweeps, CUSTOMERS * SIDE_BY_SIDE), SEATED)
+    first = F.when(F.col("shares") > 1, F.sum("opened")).otherwise(F.max("opened"))
+    by_dish = seated.groupBy("u", "v", "shares").agg(
+        F.sum("kept").alias("kept"), F.sum("tables").alias("tables"), first.alias("opened"))
+    return stored(by_dish.select("u", "v", "shares", "kept", "tables", "opened"), name)
 
 
 def discount_of(pairs: DataFrame, column: str) -> float:
@@ -304,14 +327,17 @@ def class_model(pairs: DataFrame) -> np.ndarray:
             F.lit(PARENT).alias("u"), "v", F.greatest(F.round("t"), F.lit(1.0)).cast("long").alias("c"))
         uniform = np.full(CLASSES, 1 / CLASSES)
         top = sample_level(tables, uniform, discount_of(tables, "c"), STRENGTH, sweeps, "py-parent").collect()
-        parent = np.full(CLASSES, sum(r["opened"] for r in top)) * uniform
+        rest = sum(r["opened"] for r in top) if top and top[0]["shares"] > 1 else max((r["opened"] for r in top), default=0)
+        parent = np.full(CLASSES, rest) * uniform
         for r in top:
             parent[r["v"]] += r["kept"]
         parent /= max(parent.sum(), 1e-300)
     # pairs of classes: a number that does not grow with the corpus
-    rows = children.select("u", "v", F.col("kept").cast("float"), "opened").toArrow()
-    u, v, kept, opened = (rows.column(x).to_numpy() for x in ("u", "v", "kept", "opened"))
-    rest = np.bincount(u, weights=opened, minlength=CLASSES)
+    rows = children.select("u", "v", "shares", F.col("kept").cast("float"), "opened").toArrow()
+    u, v, shares, kept, opened = (rows.column(x).to_numpy() for x in ("u", "v", "shares", "kept", "opened"))
+    split = shares > 1
+    rest = np.bincount(u[split], weights=opened[split], minlength=CLASSES)
+    rest[u[~split]] = opened[~split]
     rest[rest == 0] = 1.0
     model = (rest[:, None] * parent).astype(np.float32)
     np.add.at(model, (u, v), kept)
@@ -319,27 +345,141 @@ def class_model(pairs: DataFrame) -> np.ndarray:
     return np.log10(model, out=model)
 
 
-# ---- scores ------------------------------------------------------------------------------
+# ---- word contexts -----------------------------------------------------------------------
 
-PARTS = ("row long, id long, w long, g int, times int, n_tokens long, n_known long, base double, "
-         "score double")
+def context_hashes(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token the word before, and a hash of the two words before; before a text is END."""
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    before[ends[:-1]] = END
+    earlier = np.empty_like(words)
+    earlier[1:] = before[:-1]
+    earlier[ends[:-1]] = END
+    return before, mixed(mixed(earlier, 1) + before, 2)
 
 
-def _score(lexicon, model):
+def _count_words_in_context(lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row of sums per text, and rows (w, g, times) for words whose counts are to be joined."""
+        """Of all texts: two words before (ctx), word before (u), word, classes of the last two,
+        training count, and count in all texts."""
+        lex = lexicon.value
+        for part in text_slices(batches, "text", SLICE):
+            words, ending, ends = tokens_of(part.column("text"))
+            if not len(words):
+                continue
+            learnt = np.repeat([is_training(i) for i in part.column("id").to_pylist()], np.diff(ends))
+            now = lex.classes(words, ending)
+            pair = contexts(now, ends, lex.end_class()) * CLASSES + now
+            before, ctx = context_hashes(words, ends)
+            order = np.lexsort((words, ctx))
+            ctx, w = ctx[order], words[order]
+            at = np.flatnonzero(np.append(True, (ctx[1:] != ctx[:-1]) | (w[1:] != w[:-1])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ctx[at].view(np.int64)), pa.array(before[order][at].view(np.int64)),
+                 pa.array(w[at].view(np.int64)), pa.array(pair[order][at].astype(np.int32)),
+                 pa.array(np.add.reduceat(learnt[order].astype(np.int64), at)),
+                 pa.array(np.diff(np.append(at, len(w))))], names=["ctx", "mid", "w", "pair", "c", "n"])
+    return run
+
+
+def _class_probability(lexicon, model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """p1 of (u, w); where the count of w is to be joined first, p1 is the factor of count + 0.5."""
         lex, logp = lexicon.value, model.value
         share = np.log10(lex.held + 0.5 * (lex.kinds + 1))
+        for part in batches:
+            pair = part.column("pair").to_numpy()
+            u, w = (part.column(x).to_numpy() for x in ("u", "v"))
+            now = pair % CLASSES
+            counts = lex.count(w.view(np.uint64))
+            rare = now >= VOCABULARY
+            p = logp[pair // CLASSES, now].astype(np.float64)
+            p += np.where(rare, np.where(counts >= 0, np.log10(np.maximum(counts, 0) + 0.5), 0.0) - share[now], 0.0)
+            wanted = rare & (counts < 0)
+            # the others are spread evenly over the tasks of the join
+            look = np.where(wanted, w, mixed((u ^ w).view(np.uint64), 5).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("u"), part.column("v"), part.column("many"), pa.array(look), pa.array(wanted),
+                 pa.array(10.0 ** p)], names=["u", "v", "many", "look", "wanted", "p"])
+    return run
+
+
+def with_shares(rows: DataFrame, total: int) -> DataFrame:
+    """``rows`` (u, v, c) with the number of restaurants of each context u."""
+    large = rows.groupBy("u").agg(F.sum("c").alias("size"), F.count("*").alias("n")).filter(
+        F.col("size") > CUSTOMERS).select("u", "n", F.ceil(F.col("size") / CUSTOMERS).cast("long").alias("large"))
+    return join_by_key(rows, large, ["u"], total, "left").drop("n").withColumn(
+        "shares", F.coalesce("large", F.lit(1).cast("long"))).drop("large")
+
+
+def sample_words(rows: DataFrame, discount: float, sweeps: tuple[int, int], total: int, name: str) -> DataFrame:
+    """u, v, mid, kept, tables, opened for rows (u, v, mid, c, shares, base), also those with c = 0:
+    P(v | u) is kept + opened * base."""
+    ordered = dealt(rows).select("u", "share", "shares", "v", "n", "mid", "base").repartition(
+        "u", "share").sortWithinPartitions("u", "share")
+    seated = stored(ordered.mapInArrow(_seat_all(None, discount, STRENGTH, sweeps, WORDS_TOGETHER), SEATED), name)
+    whole = seated.filter("shares = 1").select("u", "v", "mid", "kept", "tables", "opened")
+    split = seated.filter("shares > 1")
+    dishes = split.groupBy("u", "v").agg(F.first("mid").alias("mid"), F.sum("kept").alias("kept"),
+                                         F.sum("tables").alias("tables"))
+    rest = split.groupBy("u").agg(F.sum("opened").alias("opened"), F.count("*").alias("n"))
+    return whole.unionByName(join_by_key(dishes, rest, ["u"], total).select(*whole.columns))
+
+
+def word_model(triples: DataFrame, counts: DataFrame, lexicon, model) -> DataFrame:
+    """ctx, w, n, logp: log10 P(w | the two words before) of every row of ``triples``, the output of
+    ``_count_words_in_context`` summed by (ctx, w)."""
+    total = triples.count()
+    triples = stored(with_shares(triples.select(F.col("ctx").alias("u"), F.col("w").alias("v"), "mid", "pair", "c",
+                                                F.col("n").alias("times")), total), "py-triples")
+    pairs = triples.groupBy(F.col("mid").alias("u"), "v").agg(F.first("pair").alias("pair"), F.count("*").alias("many"))
+    by_class = pairs.mapInArrow(_class_probability(lexicon, model),
+                                "u long, v long, many long, look long, wanted boolean, p double")
+    bases = stored(by_class.join(counts.select(F.col("w").alias("look"), "c"), "look", "left").select(
+        "u", "v", "many", F.when(F.col("wanted"), F.col("p") * (F.coalesce("c", F.lit(0)) + 0.5)).otherwise(
+            F.col("p")).alias("p1")), "py-bases")
+    n_pairs = bases.count()
+    discount = discount_of(triples, "c")
+
+    def based(p: DataFrame) -> DataFrame:
+        """``triples`` with the probability ``base`` of (mid, v) from p (u, v, many, base)."""
+        keyed = p.select(F.col("u").alias("mid"), "v", F.col("many").alias("n"), "base")
+        return join_by_key(triples, keyed, ["mid", "v"], total).drop("n")
+
+    current = bases.withColumn("base", F.col("p1"))
+    for sweeps in SWEEPS:
+        children = sample_words(based(current), discount, sweeps, total, "py-children-of-words")
+        customers = children.groupBy(F.col("mid").alias("u"), "v").agg(F.sum("tables").alias("t")).withColumn(
+            # a word that was seated has a table
+            "c", F.when(F.col("t") > 0, F.greatest(F.round("t"), F.lit(1.0))).otherwise(0.0).cast("long"))
+        rows = stored(with_shares(bases.join(customers.drop("t"), ["u", "v"]), n_pairs).select(
+            "u", "v", F.col("many").alias("mid"), "c", "shares", F.col("p1").alias("base")), "py-pairs-of-words")
+        middle = sample_words(rows, discount_of(rows, "c"), sweeps, n_pairs, "py-middle-of-words")
+        current = stored(middle.withColumnRenamed("mid", "many").join(bases.select("u", "v", "p1"), ["u", "v"]).select(
+            "u", "v", "many", (F.col("kept") + F.col("opened") * F.col("p1")).alias("base")), "py-words")
+    keyed = current.select(F.col("u").alias("mid"), "v", F.col("many").alias("n"), "base")
+    found = join_by_key(children, keyed, ["mid", "v"], total).select(
+        "u", "v", F.log10(F.col("kept") + F.col("opened") * F.col("base")).alias("logp"))
+    return stored(found.join(triples.select("u", "v", F.col("times").alias("n")), ["u", "v"]).select(
+        F.col("u").alias("ctx"), F.col("v").alias("w"), "n", "logp"), "py-scores")
+
+
+# ---- scores ------------------------------------------------------------------------------
+
+PARTS = "row long, id long, ctx long, w long, times int, n_tokens long, n_known long, base double"
+
+
+def _score(lexicon):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row of sums per text, rows (w, times) for words whose counts are to be joined,
+        and a row (ctx, w) with times -1 per token."""
+        lex = lexicon.value
         total = np.log10(lex.tokens + 0.5 * (lex.distinct + 1))
         for part in text_slices(batches, "text", 4 << 20):
-            words, ending, ends = tokens_of(part.column("text"))
-            now = lex.classes(words, ending)
+            words, _, ends = tokens_of(part.column("text"))
             counts = lex.count(words)
             known = counts >= 0
             base = np.where(known, np.log10(np.maximum(counts, 0) + 0.5), 0.0) - total
-            score = logp[contexts(now, ends, lex.end_class()), now].astype(np.float64)
-            rare = now >= VOCABULARY
-            score += np.where(rare, np.where(known, np.log10(np.maximum(counts, 0) + 0.5), 0.0) - share[now], 0.0)
             rows = part.column("row").to_numpy()
             ids = part.column("id")
 
@@ -350,24 +490,35 @@ def _score(lexicon, model):
             of_row = np.repeat(np.arange(n), np.diff(ends))[~known]
             # equal words of one text once
             order = np.lexsort((words[~known], of_row))
-            w, r, g = words[~known][order], of_row[order], now[~known][order]
+            w, r = words[~known][order], of_row[order]
             fresh = np.append(True, (w[1:] != w[:-1]) | (r[1:] != r[:-1])) if len(w) else np.empty(0, bool)
             at = np.flatnonzero(fresh)
             times = np.diff(np.append(at, len(w)))
             zero = np.zeros(len(at))
             columns = [
-                np.append(rows, rows[r[at]]), None,
+                np.append(rows, rows[r[at]]), None, np.zeros(n + len(at), np.int64),
                 np.append(mixed(rows.astype(np.uint64), 9).view(np.int64), w[at].view(np.int64)),
-                np.append(np.full(n, -1), g[at]).astype(np.int32), np.append(np.zeros(n), times).astype(np.int32),
+                np.append(np.zeros(n), times).astype(np.int32),
                 np.append(np.diff(ends), zero.astype(np.int64)), np.append(sums(known.astype(np.int64)), zero.astype(np.int64)),
-                np.append(sums(base), zero), np.append(sums(score), zero)]
+                np.append(sums(base), zero)]
             columns[1] = ids.take(pa.array(np.append(np.arange(n), r[at])))
             yield pa.RecordBatch.from_arrays(
                 [c if isinstance(c, pa.Array) else pa.array(c) for c in columns],
-                names=["row", "id", "w", "g", "times", "n_tokens", "n_known", "base", "score"])
+                names=["row", "id", "ctx", "w", "times", "n_tokens", "n_known", "base"])
+            _, ctx = context_hashes(words, ends)
+            many = len(words)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(rows, np.diff(ends))), pa.nulls(many, pa.int64()), pa.array(ctx.view(np.int64)),
+                 pa.array(words.view(np.int64)), pa.array(np.full(many, -1, np.int32)),
+                 pa.nulls(many, pa.int64()), pa.nulls(many, pa.int64()), pa.nulls(many, pa.float64())],
+                names=["row", "id", "ctx", "w", "times", "n_tokens", "n_known", "base"])
     return run
 
 
+def positions_total(logs: DataFrame) -> int:
+    return logs.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``,
     by a model learnt from the rows that are not held out (crc32 of the id as text, mod 5, is not
@@ -387,16 +538,25 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                    .select((F.col("pair") / CLASSES).cast("int").alias("u"),
                            (F.col("pair") % CLASSES).cast("int").alias("v"), "c"), "py-pairs")
     model = spark.sparkContext.broadcast(class_model(pairs))
-    parts = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_score(shared, model), PARTS)
+    triples = stored(rows.mapInArrow(_count_words_in_context(shared), "ctx long, mid long, w long, pair int, c long, n long")
+                     .groupBy("ctx", "w").agg(F.first("mid").alias("mid"), F.first("pair").alias("pair"),
+                                              F.sum("c").alias("c"), F.sum("n").alias("n")), "py-contexts")
+    logs = word_model(triples, counts, shared, model)
+    # stored, so that both joins see the same row numbers
+    every = stored(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_score(shared), PARTS), "py-parts")
+    parts = every.filter("times >= 0").drop("ctx")
 
     c = F.when(F.col("times") > 0, F.coalesce("c", F.lit(0)))
     log = F.log10(c + 0.5) * F.col("times")
     joined = parts.join(counts.select("w", "c"), "w", "left")
-    total = joined.groupBy("row", "id").agg(
+    by_word = joined.groupBy("row", "id").agg(
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.coalesce(log, F.lit(0.0))).alias("base_score"),
-        F.sum(F.col("score") + F.coalesce(log, F.lit(0.0))).alias("score"))
+        F.sum(F.col("base") + F.coalesce(log, F.lit(0.0))).alias("base_score"))
+    positions = every.filter("times < 0").select("row", "ctx", "w")
+    by_context = join_by_key(positions, logs, ["ctx", "w"], positions_total(logs)).groupBy("row").agg(
+        F.sum("logp").alias("score"))
+    total = by_word.join(by_context, "row")
     text_id = F.coalesce(F.col("id").cast("string"), F.lit(""))
     return total.select(
         F.col("id").alias(id_col), (F.crc32(text_id.cast("binary")) % 5 == 1).alias("held_out"), "n_tokens", "n_known",

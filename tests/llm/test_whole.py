@@ -25,3 +25,27 @@ def test_dishes_of_one_customer_are_seated_in_closed_form():
     assert (tables[:, :2] == 1).all() and (tables[:, 3] == 0).all()
     assert abs(tables[:, 2].mean() - (2 * apart + together) / (apart + together)) < 0.02
     assert np.allclose(tables.sum(1), opened)
+
+
+def test_contexts_outside_the_class_vocabulary_are_learnt(spark):
+    """Rare words of equal ending follow each other in fixed triples: one class, many contexts."""
+    rng = np.random.default_rng(5)
+    n = 3000                        # more words than there are classes of their own
+    chains = [[f"w{i}q{j}zzz" for j in range(4)] for i in range(n)]
+    rows = [(i, " ".join(w for k in rng.permutation(n)[:300] for w in chains[k])) for i in range(150)]
+    rows += [(10_000 + i, " ".join(chains[i])) for i in range(400)]
+    shuffled = [(20_000 + i, " ".join(chains[i][:2] + chains[i + 1][2:])) for i in range(400)]
+    docs = spark.createDataFrame(rows + shuffled, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in pitman_yor.score_documents(docs).collect() if r["held_out"]}
+    known = np.mean([r["score"] for i, r in got.items() if 10_000 <= i < 20_000])
+    broken = np.mean([r["score"] for i, r in got.items() if i >= 20_000])
+    assert known > broken + 1.0
+
+
+def test_word_contexts_give_probabilities(spark):
+    """The probabilities of all words after one context sum to at most one, with hot contexts split."""
+    docs = spark.createDataFrame([(i, "a b " + "c d " * 3000 + f"a b x{i % 7}") for i in range(40)], "doc_id long, text string")
+    rows = pitman_yor.score_documents(docs).collect()
+    assert len(rows) == 40 and all(np.isfinite(r["score"]) and r["score"] < 0 for r in rows)
+    # in "c d c d ..." nearly every token is certain
+    assert min(r["score"] / r["n_tokens"] for r in rows) > -0.1
