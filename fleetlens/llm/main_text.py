@@ -49,19 +49,24 @@ UNLIKELY = re.compile(
     r"signup|login|cookies?|consent|gdpr|notices?|notification|popup|modal|overlay|complementary|"
     r"contentinfo|search|toolbar|copyright|legal|disclaimer|alert|hidden)(?=$|[\s_-])", re.I)
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)
+# Of these, words that are never part of a wrapper's name.
+APART = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|comments?|disqus|respond|cookies?|consent|gdpr|newsletter|popup|modal|"
+    r"hidden)(?=$|[\s_-])", re.I)
 HOLDS_TEXT = frozenset("p pre td blockquote li dd div section article main body".split())
 MIN_PARAGRAPH = 25
 MAX_LINKED = 0.5
+MOST = 0.5                  # a node with more than this share of a page's text is not dropped for its name
 
 
 class Node:
-    __slots__ = ("tag", "parent", "order", "hints", "parts", "points", "chars", "linked", "out")
+    __slots__ = ("tag", "parent", "order", "hints", "parts", "points", "chars", "linked", "out", "wraps")
 
     def __init__(self, tag: str, parent: Node | None, order: int, hints: str):
         self.tag, self.parent, self.order, self.hints = tag, parent, order, hints
         self.parts: list[str | Node] = []
         self.points, self.chars, self.linked = 0.0, 0, 0
-        self.out = False
+        self.out = self.wraps = False
 
 
 def hints_of(attributes: str) -> str:
@@ -140,6 +145,7 @@ def is_unlikely(node: Node, by_name: bool) -> bool:
         return not within_article(node)
     if not node.hints or node.tag == "article":
         return False
+    by_name = by_name and not node.wraps
     if HEADER.search(node.hints):
         return by_name and not within_article(node)
     return by_name and bool(UNLIKELY.search(node.hints)) or "hidden" in node.hints.split()
@@ -165,15 +171,46 @@ def measure(nodes: list[Node], by_name: bool = True) -> None:
             node.parent.linked += node.linked
 
 
+def mark_wrappers(nodes: list[Node]) -> None:
+    """Marks the nodes with an unlikely name that hold most of the page's text: of the characters of
+    articles and main parts or, without any, of the points of paragraphs."""
+    named = [n for n in nodes if n.hints and (UNLIKELY.search(n.hints) or HEADER.search(n.hints))]
+    if not named:
+        return
+    measure(nodes, by_name=False)
+    held = [0.0] * len(nodes)
+    for node in nodes:
+        if node.tag in ("article", "main") and not node.out and not within_article(node):
+            held[node.order] = float(node.chars - node.linked)
+    by_points = not any(held)
+    if by_points:
+        for node in nodes:
+            held[node.order] = points_of(node)
+    inside = held[:]
+    for node in reversed(nodes):
+        if node.parent:
+            inside[node.parent.order] += inside[node.order]
+    total = inside[0]
+    for node in named:
+        own = inside[node.order]
+        if not by_points and within_article(node):
+            own = float(node.chars - node.linked) if not node.out else 0.0
+        node.wraps = own > MOST * total and not (APART.search(node.hints) and (by_points or within_article(node)))
+
+
+def points_of(node: Node) -> float:
+    if node.out or node.tag not in HOLDS_TEXT:
+        return 0.0
+    text = " ".join(inline_text(node).split())
+    return 1.0 + text.count(",") + min(len(text) // 100, 3) if len(text) >= MIN_PARAGRAPH else 0.0
+
+
 def score(nodes: list[Node]) -> Node | None:
     """Spreads points and returns the best container, None if no paragraph has any."""
     for node in nodes:
-        if node.out or node.tag not in HOLDS_TEXT:
-            continue
-        text = " ".join(inline_text(node).split())
-        if len(text) < MIN_PARAGRAPH:
+        points = points_of(node)
+        if not points:
             continue
-        points = 1 + text.count(",") + min(len(text) // 100, 3)
         up, level = (node.parent if node.tag in ("p", "pre", "td", "li", "dd", "blockquote") else node), 0
         while up is not None and level < 4:
             up.points += points / (1, 2, 6, 9)[level]
@@ -255,6 +292,7 @@ def main_text(page: str) -> str:
     if not page:
         return ""
     nodes = parse(page)
+    mark_wrappers(nodes)
     measure(nodes)
     best = score(nodes)
     if best is None and not nodes[0].chars:
@@ -265,8 +303,9 @@ def main_text(page: str) -> str:
             measure(nodes)
     parts = [nodes[0]] if best is None else kept_parts(best)
     for node in nodes:
-        # lists of links inside the article are menus, whatever they are called
-        if node.tag in ("ul", "ol", "div", "section", "table") and node.chars and node not in parts:
+        # lists of links are menus, whatever they are called; in an article they are part of it
+        if (node.tag in ("ul", "ol", "div", "section", "table") and node.chars and node not in parts
+                and not within_article(node)):
             links = sum(isinstance(x, Node) and (x.tag == "a" or x.linked > 0) for x in node.parts)
             if links > 2 and node.linked > MAX_LINKED * node.chars:
                 node.out = True

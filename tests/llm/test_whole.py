@@ -1,8 +1,9 @@
 """Cases that the operators once left out."""
 
 import numpy as np
+import pytest
 
-from fleetlens.llm import pitman_yor
+from fleetlens.llm import main_text, pitman_yor
 
 
 # ---- 9: language model -------------------------------------------------------------------
@@ -49,3 +50,32 @@ def test_word_contexts_give_probabilities(spark):
     assert len(rows) == 40 and all(np.isfinite(r["score"]) and r["score"] < 0 for r in rows)
     # in "c d c d ..." nearly every token is certain
     assert min(r["score"] / r["n_tokens"] for r in rows) > -0.1
+
+
+# ---- 10: main text -----------------------------------------------------------------------
+
+BODY = "<p>One, two, three, and some more words to make it long.</p><p>Short.</p>"
+LINKS = '<ul><li><a href="/1">First source</a></li><li><a href="/2">Second one</a></li><li><a href="/3">Third</a></li></ul>'
+
+
+@pytest.mark.parametrize("page", [
+    f'<a href="#c">Skip to content</a><div class="content has-sidebar"><article>{BODY}</article></div>',
+    f'<a href="#c">Skip to content</a><div id="no-sidebar">{BODY}</div>',
+    f'<div class="side-by-side"><main>{BODY}</main><div class="sidebar"><p>Other, other, other things to look at.</p></div></div>',
+    f'<article><div class="entry no-sidebar">{BODY}</div><div class="ad">Buy, buy, buy now and here, all</div></article>',
+])
+def test_names_do_not_drop_what_wraps_the_article(page):
+    text = main_text.main_text(page)
+    assert "One, two, three, and some more words to make it long. Short." in text
+    assert "Buy" not in text and "Other" not in text
+
+
+def test_lists_of_sources_stay_in_the_article():
+    want = "One, two, three, and some more words to make it long. Short. First source Second one Third"
+    assert main_text.main_text(f"<article>{BODY}{LINKS}</article>") == want
+    assert main_text.main_text(f'<article>{BODY}<div class="related">{LINKS}</div></article>') == want[:want.index(" First")]
+
+
+def test_comments_longer_than_the_text_stay_out():
+    comments = '<div class="comments"><p>I like this, very much, thank you, really, a lot, and more.</p></div>' * 9
+    assert "like" not in main_text.main_text(f"<div>{BODY}</div>{comments}")
