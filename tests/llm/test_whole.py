@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from fleetlens.llm import main_text, pitman_yor
+from fleetlens.llm import licenses, main_text, pitman_yor
 
 
 # ---- 9: language model -------------------------------------------------------------------
@@ -79,3 +79,33 @@ def test_lists_of_sources_stay_in_the_article():
 def test_comments_longer_than_the_text_stay_out():
     comments = '<div class="comments"><p>I like this, very much, thank you, really, a lot, and more.</p></div>' * 9
     assert "like" not in main_text.main_text(f"<div>{BODY}</div>{comments}")
+
+
+# ---- 6: licences -------------------------------------------------------------------------
+
+@pytest.mark.parametrize("line, want", [
+    ("Licensed under the MIT License.", "MIT"), ("Licensed under the Apache License 2.0.", "Apache-2.0"),
+    ("Distributed under the MIT License.", "MIT"), ("Released under our MIT License.", "MIT"),
+    ("Released under the Foo License.", None), ("This file is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("We went under the bridge and read the news.", None),
+])
+def test_usual_variants_and_one_changed_word(line, want):
+    found = licenses.Scanner(licenses.TEMPLATES).matches(f"Some words. {line} Other words.")
+    assert [m[0].split()[0] for m in found] == ([want] if want else [])
+
+
+@pytest.mark.parametrize("name", ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"])
+def test_full_texts(name):
+    text = licenses.TEMPLATES[f"{name} notice text"]
+    found = licenses.Scanner(licenses.TEMPLATES).matches(f"Copyright 2020 Some One {text} And more.")
+    assert [m[0] for m in found] == [f"{name} notice text"]
+
+
+def test_rights_notices_and_mentions(spark):
+    docs = spark.createDataFrame([(1, "Text. All rights reserved. End."), (2, "I like the MIT License most."),
+                                  (3, "Text. Licensed under the MIT License.")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert rows[1]["license"] is None and [m["name"] for m in rows[1]["matches"]] == ["All-rights-reserved notice"]
+    assert rows[2]["n_matches"] == 0 and rows[3]["license"] == "MIT"
