@@ -44,7 +44,7 @@ def test_contexts_outside_the_class_vocabulary_are_learnt(spark):
 
 
 def test_word_contexts_give_probabilities(spark):
-    """The probabilities of all words after one context sum to at most one, with hot contexts split."""
+    """Scores stay finite and repeated text is nearly certain, with hot contexts split."""
     docs = spark.createDataFrame([(i, "a b " + "c d " * 3000 + f"a b x{i % 7}") for i in range(40)], "doc_id long, text string")
     rows = pitman_yor.score_documents(docs).collect()
     assert len(rows) == 40 and all(np.isfinite(r["score"]) and r["score"] < 0 for r in rows)
