@@ -87,11 +87,31 @@ def chord_sq(a: str, b: str) -> Column:
 
 def cover_ball(df: DataFrame, prefix: str, chord: str, level: str, out: str) -> DataFrame:
     """One row per cell of ``level`` that a ball around the vector can share with the sphere."""
+    return _meeting(_scaled(df, prefix, chord, level), prefix, level, out)
+
+
+def refine(df: DataFrame, prefix: str, chord: str, level: str, cell: str, steps: int) -> DataFrame:
+    """One row per part of ``cell``, ``steps`` levels finer, that the ball can share with the
+    sphere; ``level`` and ``cell`` become those of the part. Levels end at MAX_LEVEL."""
+    finer = F.least(F.col(level) + steps, F.lit(MAX_LEVEL))
+    indexes = indexes_of(F.col(cell), F.col(level))
+    scaled = _scaled(
+        df.withColumns({f"_c{a}": _shl(i, finer - F.col(level)) for a, i in zip(AXES, indexes)})
+        .withColumns({"_parts": _shl(F.lit(1).cast("long"), finer - F.col(level)) - 1, level: finer}),
+        prefix, chord, level)
+    for a in AXES:
+        scaled = scaled.withColumns({
+            f"_lo{a}": F.greatest(F.col(f"_lo{a}"), F.col(f"_c{a}")),
+            f"_hi{a}": F.least(F.col(f"_hi{a}"), F.col(f"_c{a}") + F.col("_parts"))}
+        ).where(F.col(f"_lo{a}") <= F.col(f"_hi{a}"))
+    return _meeting(scaled.drop("_parts", *[f"_c{a}" for a in AXES]), prefix, level, cell)
+
+
+def _scaled(df: DataFrame, prefix: str, chord: str, level: str) -> DataFrame:
+    """The vector and the ball in units of cell sides, and the cells its box reaches per axis."""
     v = {a: F.col(f"{prefix}{a}") for a in AXES}
     t = {a: F.col(f"_t{a}") for a in AXES}
-    i = {a: F.col(f"_i{a}") for a in AXES}
-    # The vector and the ball in units of cell sides.
-    scaled = (
+    return (
         df.withColumn("_n", slices(F.col(level)))
         .withColumns({
             **{f"_t{a}": (v[a] + 1.0) * F.col("_n") * 0.5 for a in AXES},
@@ -106,6 +126,13 @@ def cover_ball(df: DataFrame, prefix: str, chord: str, level: str, out: str) ->
             + F.col(chord) * F.col("_u") * 0.5 + CELL_SLACK,
         })
     )
+
+
+def _meeting(scaled: DataFrame, prefix: str, level: str, out: str) -> DataFrame:
+    """The cells between the bounds that meet both the ball and the sphere."""
+    v = {a: F.col(f"{prefix}{a}") for a in AXES}
+    t = {a: F.col(f"_t{a}") for a in AXES}
+    i = {a: F.col(f"_i{a}") for a in AXES}
     for a in AXES:
         scaled = scaled.withColumn(f"_i{a}", F.explode_outer(F.sequence(f"_lo{a}", f"_hi{a}")))
     gaps = [F.greatest(i[a] - t[a], t[a] - i[a] - 1.0, F.lit(0.0)) for a in AXES]
@@ -118,5 +145,13 @@ def cover_ball(df: DataFrame, prefix: str, chord: str, level: str, out: str) ->
     )
 
 
+def farthest(prefix: str, cell: Column, level: Column) -> Column:
+    """Distance from the vector to the farthest corner of a cell."""
+    n = slices(level)
+    sides = [F.abs((F.col(f"{prefix}{a}") + 1.0) * n * 0.5 - i - 0.5) + 0.5
+             for a, i in zip(AXES, indexes_of(cell, level))]
+    return F.sqrt(reduce(lambda s, d: s + d, [d * d for d in sides])) * 2.0 / n
+
+
 def _shl(value: Column, by: Column) -> Column:
     return F.call_function("shiftleft", value, by)

@@ -71,6 +71,15 @@ def chord_of(radius_m: Column, metric: str) -> Column:
     return F.coalesce(chord, F.lit(0.0))  # no radius, no reach
 
 
+def inner_chord(radius_m: Column, metric: str) -> Column:
+    """Straight-line length within which every point is nearer than ``radius_m``, whatever the
+    rounding; below zero where no point is known to be."""
+    pad = SPHEROID_PAD if metric == "spheroid" else 1.0
+    half_angle = radius_m / F.lit(pad * 2 * EARTH_RADIUS_M)
+    chord = F.lit(2.0) * F.sin(F.least(half_angle, F.lit(math.pi / 2))) - F.lit(1e-9)
+    return F.when(radius_m.isNull(), F.lit(-1.0)).otherwise(chord)
+
+
 def _half_chord_sq(phi1: Column, phi2: Column, d_phi: Column, d_lambda: Column) -> Column:
     s_phi, s_lambda = F.sin(d_phi / 2), F.sin(d_lambda / 2)
     return s_phi * s_phi + F.cos(phi1) * F.cos(phi2) * s_lambda * s_lambda

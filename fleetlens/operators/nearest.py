@@ -1,7 +1,7 @@
 """k nearest positions of a point, or of every row of a table of points.
 
-The join needs no trial radius and no loop. Positions are counted per cube cell at all
-levels. A block of two cells per axis, placed so that the query lies in its middle
+The join needs no trial radius and no loop. A pyramid holds the positions' counts per cube
+cell, counted once at the finest level and summed from there. A block of two cells per axis, placed so that the query lies in its middle
 half, is looked up for every level, and the finest block with k positions or more is
 taken. Its cells of the next level, nearest first, hold k positions within a distance
 that is known from counts alone; one ball join with that reach finds the neighbours.
@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import cube, geodesy
+from fleetlens.operators.counting import places, pyramid
 from fleetlens.operators.radius import ball_join, range_search
 from fleetlens.session import spread
 
 # Neighbours tie at millimetres: a bound reaches that much farther (in earth radii).
 REACH_SLACK = 1e-9
-# Radius caps up to this are searched as they are. Results do not depend on it.
-RANGE_FORM_M = 10_000.0
+# A radius cap is searched as it is if no cell of its size has more than so many times k
+# positions. Results do not depend on it.
+CAP_CROWD = 8
 
 
 def knn_search(
@@ -66,12 +68,13 @@ def knn_join(
     located = positions.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
     k = F.when(F.col("k") > max_k, F.raise_error(F.lit(f"a query has k over {max_k}")).cast("int")).otherwise(F.col("k"))
     q = queries.where(F.col("k").isNotNull()).select("qid", "lat", "lng", k.alias("k"))
-    if max_radius_m is not None and max_radius_m <= RANGE_FORM_M:
-        # a range search that is ranked: finding a tighter bound would cost more than it saves
+    total, crowd = (None, math.inf) if max_radius_m is None else _crowd(located, float(max_radius_m), metric)
+    if crowd <= CAP_CROWD * max_k:
+        # a range search that is ranked: a tighter bound would cost more than it saves
         bounded = q.withColumn("_chord", geodesy.chord_of(F.lit(float(max_radius_m)), metric))
     else:
         bounded = _with_bound(q, located, metric, max_radius_m)
-    pairs = ball_join(bounded, _thin_stacks(located, max_k), keep, rows_per_split)
+    pairs = ball_join(bounded, _thin_stacks(located, max_k), keep, rows_per_split, total)
     d = geodesy.distance(metric, F.col("lat"), F.col("lng"), F.col("latitude"), F.col("longitude"))
     hits = pairs.withColumn("_d", d)
     if max_radius_m is not None:
@@ -97,16 +100,13 @@ def _thin_stacks(positions: DataFrame, max_k: int) -> DataFrame:
     return positions.withColumn("_n", F.row_number().over(stack)).where(F.col("_n") <= max_k)
 
 
-def cell_counts(positions: DataFrame, top: int = 0) -> DataFrame:
-    """Positions per cube cell for every level from ``top`` on: ``level, cell, cnt``."""
-    level = F.col("level")
-    return (
-        cube.with_index(cube.with_vector(positions, "lat", "lng", "_p"), "_p", "_f")
-        .select(*[f"_f{a}" for a in cube.AXES],
-                F.explode(F.sequence(F.lit(top), F.lit(cube.MAX_LEVEL))).alias("level"))
-        .groupBy("level", cube.cell_at("_f", level).alias("cell"))
-        .agg(F.count("*").alias("cnt"))
-    )
+def _crowd(positions: DataFrame, max_radius_m: float, metric: str) -> tuple[int, int]:
+    """The number of positions, and the most in any cell of the size of the cap."""
+    level = cube.level_for(geodesy.chord_of(F.lit(max_radius_m), metric))
+    cells = cube.with_index(cube.with_vector(positions, "lat", "lng", "_p"), "_p", "_f")
+    held = cells.groupBy(cube.cell_at("_f", level).alias("cell")).agg(F.count("*").alias("cnt"))
+    total, most = held.agg(F.sum("cnt"), F.max("cnt")).head()
+    return total or 0, most or 0
 
 
 def block_members(counts: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def _with_bound(
         cap = 2.0 * math.sin(min(max_radius_m * pad / (2 * geodesy.EARTH_RADIUS_M), math.pi / 2))
         # Cells larger than the cap tell nothing.
         top = min(cube.MAX_LEVEL - 1, max(0, math.floor(1 - math.log2(max(cap, 1e-9)))))
-    members = block_members(cell_counts(spread(positions, "user_id"), top))
+    members = block_members(pyramid(places(spread(positions, "user_id")), top))
     blocks = members.groupBy("_block").agg(F.sum("cnt").alias("_n"))
 
     half = cube.MAX_LEVEL + 1  # slices of half a finest cell

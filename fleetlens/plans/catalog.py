@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions import geodesy, hexcell, pings as rules, polygons
-from fleetlens.operators import areas, metrics, nearest, radius, state, validate
+from fleetlens.operators import areas, counting, metrics, nearest, radius, state, validate
 from fleetlens.plans import inputs, workload
 from fleetlens.session import configure, shared_dir
 from fleetlens.sources import polygons as polygon_source
@@ -339,15 +339,19 @@ def same_cell(spark, sf):
 
 @query
 def hit_counts(spark, sf):
-    centres = inputs.query_points(spark, sf)
-    return radius.hit_counts(centres, radius.range_join(centres, inputs.positions(spark, sf)))
+    return counting.hit_counts(inputs.query_points(spark, sf), inputs.positions(spark, sf))
+
+
+@query
+def hit_counts_dense(spark, sf):
+    """Every valid ping as a position, on the spheroid; crowded cells are refined early."""
+    return counting.hit_counts(inputs.query_points(spark, sf), inputs.valid_positions(spark, sf), "spheroid",
+                               leaf_places=128)
 
 
 @query
 def queries_without_hits(spark, sf):
-    centres = inputs.query_points(spark, sf)
-    hits = radius.range_join(centres, inputs.positions(spark, sf))
-    return radius.queries_without_hits(centres, hits).select("qid", "radius_m")
+    return counting.without_hits(inputs.query_points(spark, sf), inputs.positions(spark, sf)).select("qid", "radius_m")
 
 
 # ---- state --------------------------------------------------------------------------

@@ -294,6 +294,9 @@ add("same_cell", "q pos", """SELECT qid, user_id, latitude, longitude, cell FROM
     pc AS (SELECT user_id, lat AS latitude, lng AS longitude, {hex_sql('lat', 'lng')} AS cell FROM pos)""")
 add("hit_counts", "q hits", """SELECT q.qid, count(hits.qid) AS hits
   FROM q LEFT JOIN hits ON q.qid = hits.qid GROUP BY q.qid""")
+add("hit_counts_dense", "q valid", "SELECT qid, count(*) FILTER (d <= radius_m) AS hits FROM g GROUP BY qid",
+    "pairs AS (SELECT qid, radius_m, q.lat AS qlat, q.lng AS qlng, latitude, longitude FROM q, valid),"
+    + geodesic_cte("g", "pairs", "qlat", "qlng", "latitude", "longitude"))
 add("queries_without_hits", "q hits", """SELECT qid, radius_m FROM q
   WHERE qid NOT IN (SELECT qid FROM hits)""")
 

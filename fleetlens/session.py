@@ -46,6 +46,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: it is computed once however often it
+    is used, its size is known, and a lost executor costs only its own tasks."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; huge where there is none."""
     try:
@@ -54,14 +62,16 @@ def planned_bytes(df: DataFrame) -> int:
         return 1 << 62
 
 
-def may_broadcast(df: DataFrame, copies: int = 1) -> bool:
+def may_broadcast(df: DataFrame, copies: int = 1, counted: int | None = None) -> bool:
     """True if ``df`` is small enough to broadcast after an explode into ``copies`` rows.
 
     The estimate only saves the count where the answer is no; the rows are counted, up to
-    one more than may be.
+    one more than may be, unless a bound on them is known as ``counted``.
     """
     most = BROADCAST_ROWS // copies
-    return planned_bytes(df) * copies <= BROADCAST_BYTES and df.limit(most + 1).count() <= most
+    if planned_bytes(df) * copies > BROADCAST_BYTES:
+        return False
+    return (df.limit(most + 1).count() if counted is None else counted) <= most
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
