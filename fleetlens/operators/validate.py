@@ -85,6 +85,10 @@ def violation_summary(pings: DataFrame) -> DataFrame:
     )
 
 
+# What a ping must have to be applied.
+REQUIRED = ("user_id", "latitude", "longitude", "ts_ms")
+
+
 def producible(pings: DataFrame) -> DataFrame:
     """Pings a producer may send: those with a key."""
     return pings.where(F.col("user_id").isNotNull())
@@ -92,7 +96,7 @@ def producible(pings: DataFrame) -> DataFrame:
 
 def consumable(pings: DataFrame) -> DataFrame:
     """Pings a consumer may apply: key, coordinates and time stamp present."""
-    return pings.dropna(subset=["user_id", "latitude", "longitude", "ts_ms"])
+    return pings.dropna(subset=list(REQUIRED))
 
 
 def sanitize_ids(pings: DataFrame) -> DataFrame:

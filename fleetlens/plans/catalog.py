@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -332,6 +334,19 @@ def pip_wkt(spark, sf):
     return hits.select("pid", "user_id", "latitude", "longitude")
 
 
+@query
+def pip_wkt_parts(spark, sf):
+    """Areas of two parts, one with a hole."""
+    table = polygon_source.from_wkt(inputs.wkt_parts(spark, sf))
+    hits = areas.polygon_join(table, inputs.positions(spark, sf), rule="interior")
+    return hits.select("pid", "user_id", "latitude", "longitude")
+
+
+@query
+def rejected_areas(spark, sf):
+    return polygon_source.rejected(polygon_source.from_wkt(inputs.wkt_parts(spark, sf)))
+
+
 @query
 def same_cell(spark, sf):
     return areas.same_cell_join(inputs.query_points(spark, sf), inputs.positions(spark, sf))
@@ -514,6 +529,36 @@ def sample_p95_p99(spark, sf):
                                               inputs.DAY_MS, inputs.SCRAPE_BOUNDS), "p95", "p99")
 
 
+SECONDS = (0.05, 0.1, 0.25, 0.5, 1, 2.5)
+
+
+@query
+def sample_p95_p99_seconds(spark, sf):
+    return _rounded(metrics.sampled_quantiles(inputs.scrapes_in_seconds(spark, sf), "latency_bucket", ["application"],
+                                              inputs.DAY_MS, SECONDS), "p95", "p99")
+
+
+@query
+def counter_rate_sliding(spark, sf):
+    """Rates of scraped counters over the last hour, every ten minutes."""
+    rates = metrics.counter_rates_sliding(inputs.scrapes(spark, sf), "requests_count", ["application", "class"],
+                                          inputs.HOUR_MS, 10 * inputs.MINUTE_MS)
+    return _rounded(rates, "rate")
+
+
+@query
+def counter_rate_extrapolated(spark, sf):
+    """The same to the edges of ranges that are no multiple of their slide, one series per user."""
+    rates = metrics.counter_rate_sliding(inputs.samples(spark, sf), 12 * inputs.HOUR_MS, 5 * inputs.HOUR_MS, extrapolate=True)
+    return _rounded(rates, "rate")
+
+
+@query
+def sample_error_rate(spark, sf):
+    return _rounded(metrics.sample_error_rate(inputs.status_scrapes(spark, sf), "http_requests", ["application"],
+                                              inputs.HOUR_MS), "error_pct")
+
+
 @query
 def check_pass_rate(spark, sf):
     expected = {inputs.WRITE_URI: 200, "/api/[a-z]+/search/range": 200,
@@ -546,14 +591,45 @@ def kpi_bands(spark, sf):
 # ---- streams ------------------------------------------------------------------------
 
 
-def _topic(spark, messages) -> str:
-    """A topic of several files, which the streams read one by one."""
-    path = shared_dir(spark, "topic")
-    topics.write_topic(messages.repartition(TOPIC_FILES, "seq"), path)
-    return path
+# A topic's files, and for a topic in order of time its stretches, grow with its messages.
+LEAST_FILES = 4
+FILE_ROWS = 100_000
+
+
+def _files(messages) -> int:
+    return max(LEAST_FILES, -(-messages.count() // FILE_ROWS))
+
 
+def _topic(spark, messages) -> dict[str, str]:
+    """A topic of several files, which the streams read in four or more batches."""
+    path, files = shared_dir(spark, "topic"), _files(messages)
+    topics.write_topic(messages.repartition(files, "seq"), path)
+    return {"path": path, "maxFilesPerTrigger": str(files // LEAST_FILES)}
 
-TOPIC_FILES = 4
+
+def _in_order(spark, rows, time: str) -> dict[str, str]:
+    """A folder of ``rows`` in the order of ``time``: stretches with equally many rows, and each
+    stretch in the same number of files, which a stream reads at a time.
+
+    The rows are sorted into stretches once; each is then read alone and appended, so that the
+    files of a later stretch are newer.
+    """
+    files = _files(rows)
+    stretches = max(LEAST_FILES, math.isqrt(files))
+    per_stretch = -(-files // stretches)
+    inner = [i / stretches for i in range(1, stretches)]
+    cuts = rows.agg(F.percentile_approx(time, inner, 1000)).head()[0] or []
+    stretch = reduce(lambda n, cut: n + (F.col(time) > cut).cast("int"), cuts, F.lit(0))
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(per_stretch))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    staged, path = shared_dir(spark, "staged"), shared_dir(spark, "topic")
+    rows.select("*", stretch.alias("_stretch"), part.alias("_part")).repartition(
+        stretches * per_stretch, "_stretch", "_part").write.partitionBy("_stretch", "_part").parquet(staged)
+    for n in range(stretches):
+        one = spark.read.schema(f"{columns}, _stretch int, _part int").parquet(staged).where(f"_stretch = {n}")
+        # one file for each part
+        one.repartition(per_stretch, "_part").drop("_stretch").write.partitionBy("_part").mode("append").parquet(path)
+    return {"path": path, "maxFilesPerTrigger": str(per_stretch)}
 
 
 def _finish(spark, start, name, stream, *args, **kw) -> str:
@@ -566,17 +642,20 @@ def _finish(spark, start, name, stream, *args, **kw) -> str:
 def _ping_stream(spark, sf, messages=None):
     if messages is None:
         messages = topics.encode_kv(inputs.valid_pings(spark, sf))
-    return topics.ping_stream(spark, "parquet", path=_topic(spark, messages), maxFilesPerTrigger="1")
+    return topics.ping_stream(spark, "parquet", **_topic(spark, messages))
 
 
 def _timed_stream(spark, messages):
-    """Messages in the order of arrival times, one file for each stretch of time."""
-    span = messages.agg(F.min("ingest_ms").alias("a"), (F.max("ingest_ms") - F.min("ingest_ms") + 1).alias("w")).head()
-    path = shared_dir(spark, "topic")
-    for part in range(TOPIC_FILES):
-        stretch = F.floor((F.col("ingest_ms") - span["a"]) * TOPIC_FILES / span["w"]) == part
-        topics.write_topic(messages.where(stretch).coalesce(1), path)
-    return topics.ping_stream(spark, "parquet", path=path, maxFilesPerTrigger="1")
+    """Messages in the order of arrival times."""
+    return topics.ping_stream(spark, "parquet", **_in_order(spark, messages, "ingest_ms"))
+
+
+def _request_stream(spark, sf):
+    """Classified requests in the order of their times."""
+    rows = _classified(spark, sf)
+    options = _in_order(spark, rows, "ts_ms")
+    path = options.pop("path")
+    return spark.readStream.schema(rows.schema).options(**options).parquet(path)
 
 
 @query
@@ -588,8 +667,7 @@ def stream_ingest(spark, sf):
 
 @query
 def stream_map_decode(spark, sf):
-    path = _topic(spark, topics.encode_map(inputs.map_records(spark, sf)))
-    stream = topics.message_stream(spark, "parquet", path=path, maxFilesPerTrigger="1")
+    stream = topics.message_stream(spark, "parquet", **_topic(spark, topics.encode_map(inputs.map_records(spark, sf))))
     out = _finish(spark, jobs.start, "maps", jobs.decoded_maps(stream))
     return jobs.read_batches(spark, out).select(
         "seq", "trj_id", "pingtimestamp", "speed", "bearing", "accuracy",
@@ -646,6 +724,62 @@ def quarantine(spark, sf):
     return jobs.read_batches(spark, out).select("seq", "ingest_ms")
 
 
+@query
+def quarantine_split(spark, sf):
+    """Pings and poison of one pass."""
+    messages = inputs.poisoned_messages(topics.encode_kv(inputs.pings(spark, sf)))
+    out = _finish(spark, jobs.start_divided, "divided", _ping_stream(spark, sf, messages))
+    return jobs.applied(spark, out).select("seq", F.lit(False).alias("poison")).unionByName(
+        jobs.put_aside(spark, out).select("seq", F.lit(True).alias("poison")))
+
+
+@query
+def stream_topic_copy(spark, sf):
+    """From topic to topic: the pings that can be applied, keyed by rider."""
+    good = jobs.ingest(_ping_stream(spark, sf, topics.encode_kv(inputs.pings(spark, sf))))
+    out = _finish(spark, topics.start_topic, "copy", topics.encode_kv(good))
+    pings = topics.split_poison(topics.decode_pings(topics.read_topic(spark, out)))[0]
+    return pings.select("seq", "user_id", "service_type", "latitude", "longitude", "speed", "ts_ms", "ingest_ms")
+
+
+@query
+def stream_map_copy(spark, sf):
+    """From a topic of pings to one of string maps."""
+    good = jobs.ingest(_ping_stream(spark, sf, topics.encode_kv(inputs.pings(spark, sf))))
+    out = _finish(spark, topics.start_topic, "copy", topics.encode_map(topics.map_columns(good, null_text=True)))
+    return topics.decode_map(topics.read_topic(spark, out)).select(
+        "seq", "trj_id", "driving_mode", "pingtimestamp", "rawlat", "rawlng",
+        "bearing", "accuracy", "location", "cell",
+    )
+
+
+@query
+def stream_status_expiry(spark, sf):
+    """The moments at which riders' statuses expired."""
+    jobs.use_rocksdb(spark)
+    stream = jobs.ingest(_timed_stream(spark, topics.encode_kv(inputs.valid_pings(spark, sf))))
+    out = _finish(spark, jobs.start, "expiry", jobs.status_expiry(stream))
+    return jobs.read_batches(spark, out).drop("batch")
+
+
+@query
+def stream_sliding_throughput(spark, sf):
+    """Windows that are over."""
+    jobs.use_rocksdb(spark)
+    rates = jobs.sliding_throughput(_request_stream(spark, sf), inputs.HOUR_MS, 10 * inputs.MINUTE_MS)
+    out = _finish(spark, jobs.start, "rates", rates)
+    return _rounded(jobs.read_batches(spark, out).drop("batch"), "rps")
+
+
+@query
+def stream_sliding_latency(spark, sf):
+    """Windows that are over."""
+    jobs.use_rocksdb(spark)
+    rates = jobs.sliding_latency(_request_stream(spark, sf), inputs.HOUR_MS, 10 * inputs.MINUTE_MS)
+    out = _finish(spark, jobs.start, "latency", rates)
+    return _rounded(jobs.read_batches(spark, out).drop("batch"), "p95", "p99")
+
+
 @query
 def stream_freshness(spark, sf):
     jobs.use_rocksdb(spark)

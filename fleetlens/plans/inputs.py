@@ -7,7 +7,7 @@ lattice of 0.00001 degrees around one city.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.operators.state import latest_positions
@@ -114,26 +114,33 @@ def squares(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def wkt_frames(spark: SparkSession, sf: str) -> DataFrame:
-    """The squares as WKT with a hole in the middle half."""
+def _ring(low, high, west=0) -> Column:
+    """A square ring from ``low`` to ``high`` off the lattice point, moved ``west``, as WKT."""
     def point(dx, dy):
-        x, y = F.col("x") + dx, F.col("y") + dy
         parts = []
-        for v in (x, y):
+        for v in (F.col("x") + dx - west, F.col("y") + dy):
             parts += [F.floor(v / F.lit(100000.0)), F.pmod(v, F.lit(100000))]
         return F.format_string("%d.%05d %d.%05d", *parts)
 
-    def ring(low, high):
-        corners = [point(low, low), point(low, high), point(high, high), point(high, low)]
-        return F.concat(F.lit("("), F.concat_ws(", ", *corners, corners[0]), F.lit(")"))
+    corners = [point(low, low), point(low, high), point(high, high), point(high, low)]
+    return F.concat(F.lit("("), F.concat_ws(", ", *corners, corners[0]), F.lit(")"))
+
 
+def wkt_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """The squares as WKT with a hole in the middle half."""
     d = F.col("d")
     quarter = (d / 4).cast("long")
-    return _lattice(spark, sf).select(
-        "pid",
-        F.concat(F.lit("POLYGON("), ring(F.lit(0), d), F.lit(", "),
-                 ring(quarter, quarter * 3), F.lit(")")).alias("wkt"),
-    )
+    return _lattice(spark, sf).select("pid", F.concat(
+        F.lit("POLYGON("), _ring(F.lit(0), d), F.lit(", "), _ring(quarter, quarter * 3), F.lit(")")).alias("wkt"))
+
+
+def wkt_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The frames, each with a second square to the west, as one area; some texts are no area."""
+    d = F.col("d")
+    quarter = (d / 4).cast("long")
+    both = F.concat(F.lit("MULTIPOLYGON ((("), F.substring(_ring(F.lit(0), d), 2, 1000), F.lit(", "),
+                    _ring(quarter, quarter * 3), F.lit("), ("), _ring(F.lit(0), quarter, d * 2), F.lit("))"))
+    return _lattice(spark, sf).select("pid", F.when(F.col("pid") % 13 == 0, "POINT(1 2)").otherwise(both).alias("wkt"))
 
 
 # A concave five-vertex area as (lng, lat).
@@ -232,6 +239,29 @@ def scrapes(spark: SparkSession, sf: str) -> DataFrame:
         "s.metric", "s.labels", "ts_ms", "CAST(s.value AS double) AS value")
 
 
+def scrapes_in_seconds(spark: SparkSession, sf: str) -> DataFrame:
+    """The latency buckets with bounds in seconds, in several spellings of a number."""
+    spelt = {"50": "0.05", "100": "0.10", "250": "0.25", "500": ".5", "1000": "1.0", "2500": "2.5"}
+    names = F.create_map(*[F.lit(x) for pair in spelt.items() for x in pair])
+    le = F.col("labels").getItem("le")
+    return scrapes(spark, sf).where(F.col("metric") == "latency_bucket").withColumn("labels", F.create_map(
+        F.lit("le"), F.coalesce(names[le], le), F.lit("application"), F.col("labels").getItem("application")))
+
+
+def status_scrapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event as a scrape of its application's request counters by status; one application
+    has never failed and has no such series."""
+    counters = [("200", "SUCCESS", 1000), ("400", "CLIENT_ERROR", 7000), ("503", "SERVER_ERROR", 50000),
+                ("500", "SERVER_ERROR", 90000)]
+    made = ", ".join(f"struct(map('application', app, 'status', '{s}', 'outcome', '{o}') AS labels, event_ms div {d} AS value)"
+                     for s, o, d in counters)
+    return events(spark, sf).selectExpr(
+        "event_ms AS ts_ms", APPLICATION.format("event_id") + " AS app", "event_ms",
+    ).selectExpr("ts_ms", "app", f"explode(array({made})) AS s").where(
+        "app <> 'stream' OR s.labels['outcome'] <> 'SERVER_ERROR'").selectExpr(
+        "'http_requests' AS metric", "s.labels", "ts_ms", "CAST(s.value AS double) AS value")
+
+
 def gauges(spark: SparkSession, sf: str) -> DataFrame:
     """The samples as gauges between 0 and 1."""
     return samples(spark, sf).withColumn("value", F.col("value") / F.lit(1009.0))

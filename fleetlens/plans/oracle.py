@@ -289,6 +289,14 @@ add("pip_join_shuffled", "q valid", f"""SELECT pid, 2*count(*) AS hits FROM latt
 add("pip_wkt", "squares pos", """SELECT pid, user_id, lat AS latitude, lng AS longitude
   FROM squares, pos WHERE lat > y0 AND lat < y1 AND lng > x0 AND lng < x1
   AND NOT (lat >= hy0 AND lat <= hy1 AND lng >= hx0 AND lng <= hx1)""")
+add("pip_wkt_parts", "squares pos", """SELECT pid, user_id, lat AS latitude, lng AS longitude
+  FROM squares JOIN lattice USING (pid), pos
+  WHERE pid%13 <> 0 AND (lat > y0 AND lat < y1 AND lng > x0 AND lng < x1
+    AND NOT (lat >= hy0 AND lat <= hy1 AND lng >= hx0 AND lng <= hx1)
+    OR lat > y0 AND lat < hy0 AND lng > (x-2*d)/100000.0e0 AND lng < (x-2*d+d//4)/100000.0e0)""",
+    """lattice AS (SELECT qid AS pid, CAST(round(lng*100000) AS BIGINT) AS x,
+  CASE WHEN qid%2=0 THEN 2000 ELSE 5000 END AS d FROM q)""")
+add("rejected_areas", "squares", "SELECT pid FROM squares WHERE pid%13 = 0")
 add("same_cell", "q pos", """SELECT qid, user_id, latitude, longitude, cell FROM qc JOIN pc USING (cell)""",
     f"""qc AS (SELECT qid, {hex_sql('lat', 'lng')} AS cell FROM q),
     pc AS (SELECT user_id, lat AS latitude, lng AS longitude, {hex_sql('lat', 'lng')} AS cell FROM pos)""")
@@ -403,6 +411,50 @@ add("sample_p95_p99", "", f"""SELECT window_ms, application, {_quantile(0.95, _L
     FROM (SELECT ts_ms, application, le, {_VALUE} AS value FROM (SELECT {MS} AS ts_ms, {_APP} FROM events),
       (SELECT unnest([{', '.join(map(str, [*_LATENCY, 999999]))}]) AS le)))
   GROUP BY ALL)""")
+
+
+def _quantile_s(q: float) -> str:
+    """The quantile over buckets whose bounds are the milliseconds in seconds."""
+    low, below, cases = "0", "0", ""
+    for b in _LATENCY:
+        cases += (f" WHEN le_{b} >= {q}e0*n THEN {low} + ({b / 1000}e0-{low})*({q}e0*n-{below})"
+                  f"/CAST(le_{b}-{below} AS DOUBLE)")
+        low, below = f"{b / 1000}e0", f"le_{b}"
+    return f"round(CASE{cases} ELSE {_LATENCY[-1] / 1000}e0 END, 6)"
+
+
+add("sample_p95_p99_seconds", "", f"""SELECT window_ms, application, {_quantile_s(0.95)} AS p95,
+  {_quantile_s(0.99)} AS p99 FROM (SELECT ts_ms - ts_ms % 86400000 AS window_ms, application, {_RATES}
+  FROM (SELECT *, coalesce(lag(value) OVER (PARTITION BY application, le ORDER BY ts_ms), value) AS prev
+    FROM (SELECT ts_ms, application, le, {_VALUE} AS value FROM (SELECT {MS} AS ts_ms, {_APP} FROM events),
+      (SELECT unnest([{', '.join(map(str, [*_LATENCY, 999999]))}]) AS le)))
+  GROUP BY ALL)""")
+_WIDE = """CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END"""
+add("counter_rate_sliding", "", f"""SELECT window_ms, application, class, round(sum({_WIDE})/3600.0e0, 6) AS rate
+  FROM (SELECT *, lag(value) OVER (PARTITION BY application, class, window_ms ORDER BY ts_ms) AS prev
+    FROM (SELECT ts_ms, application, class, ts_ms - ts_ms % 600000 - s*600000 AS window_ms,
+      CASE WHEN class = 'write' THEN ts_ms//1000 ELSE ts_ms//9000%40009 END AS value
+      FROM (SELECT {MS} AS ts_ms, {_APP} FROM events), (SELECT unnest(['write', 'read']) AS class),
+        (SELECT unnest(range(6)) AS s)))
+  GROUP BY window_ms, application, class HAVING max(ts_ms) > min(ts_ms)""")
+add("counter_rate_extrapolated", "samples", f"""SELECT series, window_ms, round(inside * (seen + least(
+    head, CASE WHEN inside > 0 AND first >= 0 THEN seen*(first/inside) ELSE head END) + tail) / seen / 43200.0e0, 6) AS rate
+  FROM (SELECT *, CASE WHEN a >= mean*1.1e0 THEN mean/2 ELSE a END AS head, CASE WHEN b >= mean*1.1e0 THEN mean/2 ELSE b END AS tail
+  FROM (SELECT series, window_ms, sum({_WIDE}) AS inside, CAST(max(ts_ms)-min(ts_ms) AS DOUBLE) AS seen,
+      (max(ts_ms)-min(ts_ms))/CAST(count(*)-1 AS DOUBLE) AS mean, CAST(min(ts_ms)-window_ms AS DOUBLE) AS a,
+      CAST(window_ms+43200000-max(ts_ms) AS DOUBLE) AS b, arg_min(value, (ts_ms, seq)) AS first
+    FROM (SELECT *, lag(value) OVER (PARTITION BY series, window_ms ORDER BY ts_ms, seq) AS prev
+      FROM (SELECT *, ts_ms - ts_ms % 18000000 - s*18000000 AS window_ms FROM samples, (SELECT unnest(range(3)) AS s))
+      WHERE value IS NOT NULL AND ts_ms < window_ms + 43200000)
+    GROUP BY series, window_ms HAVING max(ts_ms) > min(ts_ms)))""")
+add("sample_error_rate", "", f"""SELECT window_ms, application,
+  round(100 * coalesce(sum(r) FILTER (d >= 50000 AND application <> 'stream'), 0)
+    / greatest(coalesce(sum(r) FILTER (d < 50000 OR application <> 'stream'), 0), 1e-4), 6) AS error_pct
+  FROM (SELECT window_ms, application, d, sum(value - coalesce(prev, value))/3600.0e0 AS r
+    FROM (SELECT *, ts_ms - ts_ms % 3600000 AS window_ms, lag(value) OVER (PARTITION BY application, d ORDER BY ts_ms) AS prev
+      FROM (SELECT ts_ms, application, d, ts_ms // d AS value FROM (SELECT {MS} AS ts_ms, {_APP} FROM events),
+        (SELECT unnest([1000, 7000, 50000, 90000]) AS d))) GROUP BY ALL)
+  GROUP BY window_ms, application""")
 add("check_pass_rate", "req", """SELECT pattern || ' is 200' AS "check",
   round(avg(CASE WHEN status = 200 THEN 1.0e0 ELSE 0.0e0 END), 6) AS pass_rate, count(*) AS requests
   FROM req JOIN (SELECT unnest(['/api/[a-z]+/update', '/api/[a-z]+/search/range',
@@ -429,6 +481,26 @@ add("stream_map_decode", "maps", "SELECT seq, trj_id, pingtimestamp, speed, bear
     "parse_errors FROM maps")
 add("stream_latest", "pos", "SELECT user_id, lat, lng, seq FROM pos")
 add("quarantine", "pings", "SELECT seq, ingest_ms FROM pings WHERE seq % 67 = 0 OR seq % 71 = 0")
+add("quarantine_split", "pings", """SELECT seq, seq % 67 = 0 OR seq % 71 = 0 AS poison FROM pings
+  WHERE latitude IS NOT NULL OR seq % 67 = 0 OR seq % 71 = 0""")
+add("stream_topic_copy", "pings", """SELECT seq, user_id, service_type, latitude, longitude, speed, ts_ms, ingest_ms
+  FROM pings WHERE latitude IS NOT NULL""")
+ORACLE["stream_map_copy"] = ORACLE["ping_encode_map"]
+# A status expires if the rider stays away for the whole limit. The last one of a rider is seen to
+# expire once the stream is a minute past it.
+add("stream_status_expiry", "valid", f"""SELECT user_id, last_ms, last_ms + 1800000 AS expired_ms FROM (
+  SELECT user_id, ingest_ms AS last_ms, lead(ingest_ms) OVER (PARTITION BY user_id ORDER BY ingest_ms, seq) AS next_ms
+  FROM valid) WHERE next_ms - last_ms >= 1800000 OR next_ms IS NULL AND last_ms + 1800000 <= {_LATEST} - 60000""")
+add("stream_sliding_throughput", "cls", """SELECT application, class, window_ms, round(count(*)/3600.0e0, 6) AS rps
+  FROM (SELECT application, class, ts_ms - ts_ms % 600000 - s*600000 AS window_ms
+        FROM cls, (SELECT unnest(range(6)) AS s))
+  WHERE window_ms + 3600000 <= (SELECT max(ts_ms) FROM cls) - 60000 GROUP BY ALL""")
+add("stream_sliding_latency", "cls", f"""SELECT application, class, window_ms, {_quantile(0.95, _LATENCY)} AS p95,
+  {_quantile(0.99, _LATENCY)} AS p99
+  FROM (SELECT application, class, window_ms, {_buckets('duration_ms', _LATENCY)}
+    FROM (SELECT application, class, duration_ms, ts_ms - ts_ms % 600000 - s*600000 AS window_ms
+          FROM cls, (SELECT unnest(range(6)) AS s))
+    WHERE window_ms + 3600000 <= (SELECT max(ts_ms) FROM cls) - 60000 GROUP BY ALL)""")
 add("stream_freshness", "pings", "SELECT * FROM fresh",
     _fresh(60000).replace("WHERE ts_ms", "WHERE latitude IS NOT NULL AND ts_ms"))
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from fleetlens.functions.hexcell import hex_cell
 from fleetlens.functions.pings import document, lng_lat_text, text_or_null_word
-from fleetlens.operators.validate import producible
+from fleetlens.operators.validate import REQUIRED, producible
 from fleetlens.schemas import MAP_FIELDS, PING, PING_JSON, TOPIC
 
 FORMATS = ("kafka", "json", "parquet")
@@ -88,6 +91,15 @@ def split_poison(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def marked_poison(decoded: DataFrame) -> DataFrame:
+    """Pings that can be applied, and the messages that are none, in one table: ``poison`` tells
+    them apart, ``value`` holds the text of a poison message. Other pings are dropped."""
+    bad = F.col(CORRUPT).isNotNull() | F.col(EMPTY)
+    usable = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in REQUIRED])
+    return decoded.withColumn("poison", bad).where(F.col("poison") | usable).withColumn(
+        "value", F.col(CORRUPT)).drop(CORRUPT, EMPTY)
+
+
 def decode_map(messages: DataFrame) -> DataFrame:
     """String-map messages back to one text column per field."""
     fields = F.from_json("value", "map<string,string>")
@@ -119,6 +131,26 @@ def write_topic(messages: DataFrame, path: str) -> None:
     messages.write.mode("append").parquet(path)
 
 
+def start_topic(messages: DataFrame, path: str, checkpoint: str, poll: str | None = None) -> StreamingQuery:
+    """Send a stream of keyed messages to a topic folder.
+
+    The sink keeps a log of the batches it has taken, and takes none twice: a batch that is
+    repeated after a failure adds no message. Readers, streams too, see only what is in the log.
+    The messages of a key are in one file per batch; ``seq`` tells their order.
+    """
+    trigger = {"processingTime": poll} if poll else {"availableNow": True}
+    by_key = messages.select(*TOPIC.fieldNames()).repartition("key")
+    return (
+        by_key.writeStream.format("parquet").outputMode("append")
+        .option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    )
+
+
+def read_topic(spark: SparkSession, path: str) -> DataFrame:
+    """All messages of a topic folder."""
+    return spark.read.schema(TOPIC).parquet(path)
+
+
 def write_topic_kafka(messages: DataFrame, servers: str, topic: str) -> None:
     (
         messages.select("key", "value").write.format("kafka")

@@ -8,18 +8,22 @@ the same aggregate. ``compact`` merges old batches into a base table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from fleetlens.functions.pings import STATUS_TTL_MS, lag_ms
 from fleetlens.operators import metrics
 from fleetlens.operators.state import active_status, merge_reduced, reduce_pings
-from fleetlens.sources.topics import decode_map, decode_numeric, split_poison
 from fleetlens.operators.validate import consumable
+from fleetlens.schemas import PING
+from fleetlens.sources.topics import decode_map, decode_numeric, marked_poison, split_poison
 
 Reduce = Callable[[DataFrame], DataFrame]
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -37,16 +41,19 @@ def start(
     reduce: Reduce | None = None,
     mode: str = "append",
     poll: str | None = None,
+    divide_by: str | None = None,
 ) -> StreamingQuery:
     """Write ``stream`` to ``path/batch=<id>``, each batch passed through ``reduce``.
 
-    ``poll`` is a processing-time interval such as ``1 second``; without it the job takes
+    ``divide_by`` names a column by whose values a batch is divided into folders; they are
+    written in one pass and count as one. ``poll`` is a processing-time interval such as ``1 second``; without it the job takes
     what is there and ends.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         out = reduce(batch) if reduce else batch
-        out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        writer = out.write.mode("overwrite")
+        (writer.partitionBy(divide_by) if divide_by else writer).parquet(f"{path}/batch={batch_id}")
 
     trigger = {"processingTime": poll} if poll else {"availableNow": True}
     return (
@@ -85,6 +92,25 @@ def quarantined(decoded: DataFrame) -> DataFrame:
     return split_poison(decoded)[1]
 
 
+def start_divided(decoded: DataFrame, path: str, checkpoint: str, **kw) -> StreamingQuery:
+    """Pings and poison of one pass over a stream, as two tables under ``path``. A batch that
+    failed half written is written again as a whole, both halves."""
+    return start(marked_poison(decoded), path, checkpoint, divide_by="poison", **kw)
+
+
+DIVIDED = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PING) + ", value string, poison boolean"
+
+
+def applied(spark: SparkSession, path: str) -> DataFrame:
+    """The pings of a :func:`start_divided` job."""
+    return read_batches(spark, path, DIVIDED).where("not poison").select(*PING.fieldNames())
+
+
+def put_aside(spark: SparkSession, path: str) -> DataFrame:
+    """The poison messages of a :func:`start_divided` job."""
+    return read_batches(spark, path, DIVIDED).where("poison").select("seq", "value", "ingest_ms")
+
+
 def decoded_maps(messages: DataFrame) -> DataFrame:
     """String-map messages with numbers in place of text."""
     return decode_numeric(decode_map(messages))
@@ -189,6 +215,96 @@ def status_periods(pings: DataFrame, delay: str = "1 minute",
     )
 
 
+class _Expiry(StatefulProcessor):
+    """Keeps a rider's last write and a timer for when its status expires."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last_ms long")
+
+    def _expired(self, key, last_ms: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": [key[0]] * len(last_ms), "last_ms": last_ms,
+                             "expired_ms": [t + self.ttl_ms for t in last_ms]})
+
+    def handleInputRows(self, key, rows, timerValues):
+        times = np.sort(np.concatenate([r["ingest_ms"].to_numpy(np.int64) for r in rows]))
+        if self.last.exists():
+            known = int(self.last.get()[0])
+            self.handle.deleteTimer(known + self.ttl_ms)
+            times = np.append(known, times[times > known])
+        gaps = np.flatnonzero(np.diff(times) >= self.ttl_ms)
+        self.last.update((int(times[-1]),))
+        self.handle.registerTimer(int(times[-1]) + self.ttl_ms)
+        if len(gaps):
+            yield self._expired(key, times[gaps].tolist())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        last = int(self.last.get()[0])
+        self.last.clear()
+        yield self._expired(key, [last])
+
+    def close(self) -> None:
+        pass
+
+
+def status_expiry(pings: DataFrame, delay: str = "1 minute", ttl_ms: int = STATUS_TTL_MS) -> DataFrame:
+    """``user_id, last_ms, expired_ms``: one row whenever a rider has not written for the limit,
+    whether or not it ever writes again.
+
+    The state holds one number and one timer per rider alive; a timer fires when the stream's
+    time, ``delay`` behind the latest write, has passed it. Writes later than that are ignored.
+    Needs the RocksDB state store (:func:`use_rocksdb`); the processor runs in Python, in batches
+    of rows of a rider.
+    """
+    timed = pings.select("user_id", "ingest_ms", F.timestamp_millis("ingest_ms").alias("_at")).withWatermark("_at", delay)
+    return timed.groupBy("user_id").transformWithStateInPandas(
+        _Expiry(ttl_ms), "user_id string, last_ms long, expired_ms long", "append", "eventTime")
+
+
+# ---- rates over overlapping windows ---------------------------------------------------
+
+
+def _panes(classified: DataFrame, width_ms: int, slide_ms: int, delay: str, aggregates: list) -> DataFrame:
+    pane = f"{math.gcd(width_ms, slide_ms)} milliseconds"
+    timed = classified.withColumn("_at", F.timestamp_millis("ts_ms"))
+    if timed.isStreaming:
+        timed = timed.withWatermark("_at", delay)
+    return timed.groupBy("application", "class", F.window("_at", pane).alias("_pane")).agg(*aggregates)
+
+
+def sliding(classified: DataFrame, width_ms: int, slide_ms: int, delay: str, aggregates: list) -> DataFrame:
+    """Sums of ``aggregates``, counts with a name each, over overlapping windows per application
+    and class, with ``window_ms``.
+
+    Two stateful steps: requests are counted per pane, and a pane that is complete is added to
+    the windows that hold it. In append mode a window is emitted once, when the watermark has
+    passed its end; so state holds counts of open panes and windows, not requests.
+    """
+    panes = _panes(classified, width_ms, slide_ms, delay, aggregates)
+    names = [c for c in panes.columns if c not in ("application", "class", "_pane")]
+    windows = F.window(F.window_time("_pane"), f"{width_ms} milliseconds", f"{slide_ms} milliseconds")
+    return (
+        panes.groupBy("application", "class", windows.alias("_w")).agg(*[F.sum(F.col(f"`{n}`")).alias(n) for n in names])
+        .select("application", "class", F.unix_millis("_w.start").alias("window_ms"), *[F.col(f"`{n}`") for n in names])
+    )
+
+
+def sliding_throughput(classified: DataFrame, width_ms: int, slide_ms: int, delay: str = "1 minute") -> DataFrame:
+    """Requests per second over overlapping windows."""
+    counts = sliding(classified, width_ms, slide_ms, delay, [F.count("*").alias("n")])
+    return counts.select("application", "class", "window_ms", (F.col("n") / F.lit(width_ms / 1000.0)).alias("rps"))
+
+
+def sliding_latency(classified: DataFrame, width_ms: int, slide_ms: int, delay: str = "1 minute",
+                    bounds: tuple[float, ...] = metrics.LATENCY_BOUNDS_MS) -> DataFrame:
+    """p95 and p99 of the latency over overlapping windows."""
+    counts = sliding(classified, width_ms, slide_ms, delay, metrics.bucket_counts(F.col("duration_ms"), bounds))
+    return metrics.quantiles(counts, ["application", "class", "window_ms"], bounds)
+
+
 # ---- freshness --------------------------------------------------------------------
 
 
