@@ -14,7 +14,7 @@ from fleetlens.operators import areas, counting, metrics, nearest, radius, state
 from fleetlens.plans import inputs, workload
 from fleetlens.session import configure, shared_dir
 from fleetlens.sources import polygons as polygon_source
-from fleetlens.sources import tables, topics, traces
+from fleetlens.sources import tables, topics, traces, versions
 from fleetlens.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,6 +129,14 @@ def ping_encode_map(spark, sf):
     )
 
 
+@query
+def decode_default_time(spark, sf):
+    """Messages without a time stamp take that of their arrival."""
+    timeless = inputs.pings(spark, sf).withColumn("ts_ms", F.when(F.col("seq") % 3 != 0, F.col("ts_ms")))
+    decoded = topics.decode_pings(topics.encode_kv(timeless), arrival_as_timestamp=True)
+    return topics.split_poison(decoded)[0].select("seq", "user_id", "ts_ms")
+
+
 @query
 def decode_numeric(spark, sf):
     decoded = topics.decode_numeric(inputs.map_records(spark, sf))
@@ -242,6 +250,27 @@ def position_snapshot(spark, sf):
     return _hits(hits)
 
 
+def _indexed(spark, sf):
+    """Current positions as a spatial index on disk."""
+    path = shared_dir(spark, "indexed")
+    tables.write_indexed(inputs.upserted(spark, sf), path)
+    return tables.read_indexed(spark, path)
+
+
+@query
+def snapshot_range_join(spark, sf):
+    """Centres against an indexed snapshot, of which only tiles in reach are read."""
+    centres, snapshot = inputs.query_points(spark, sf), _indexed(spark, sf)
+    return radius.range_join(centres, tables.within_reach(snapshot, centres))
+
+
+@query
+def snapshot_knn_join(spark, sf):
+    centres, snapshot = inputs.query_points(spark, sf), _indexed(spark, sf)
+    near = tables.within_reach(snapshot, centres.withColumn("radius_m", F.lit(5000.0)))
+    return nearest.knn_join(centres, near, max_radius_m=5000.0, max_k=50)
+
+
 @query
 def range_spheroid(spark, sf):
     hits = radius.range_search(inputs.positions(spark, sf), *inputs.CENTRE, 8000.0, "spheroid")
@@ -391,6 +420,20 @@ def upsert_merge(spark, sf):
     return state.upsert_merge(stored, received.where(F.col("seq") > middle))
 
 
+@query
+def positions_as_of(spark, sf):
+    """Four commits in order of arrival, the oldest two folded, as of the third."""
+    received = inputs.typed_pings(spark, sf)
+    last, path = received.agg(F.max("seq")).scalar(), shared_dir(spark, "versions")
+    for i in range(4):
+        quarter = F.floor((F.col("seq") - 1) * 4 / last) == i
+        versions.commit(state.reduce_pings(received.where(quarter)), path, writer=f"job{i % 2}", batch=i)
+        if i == 1:
+            versions.fold(spark, path)
+    # versions 0 and 1, the base 2, and then 3
+    return versions.positions_as_of(spark, path, 3).drop("first_seq")
+
+
 @query
 def upsert_merge_replay(spark, sf):
     """The second half is stored, the first comes late, and then everything once more."""
@@ -523,6 +566,15 @@ def sample_throughput(spark, sf):
                                           ["application", "class"], inputs.HOUR_MS), "rate")
 
 
+@query
+def sample_file_throughput(spark, sf):
+    """The same from a file of samples."""
+    path = shared_dir(spark, "samples")
+    inputs.scrapes(spark, sf).write.parquet(path)
+    return _rounded(metrics.counter_rates(tables.read_scrapes(spark, path), "requests_count",
+                                          ["application", "class"], inputs.HOUR_MS), "rate")
+
+
 @query
 def sample_p95_p99(spark, sf):
     return _rounded(metrics.sampled_quantiles(inputs.scrapes(spark, sf), "latency_bucket", ["application"],
@@ -683,6 +735,14 @@ def stream_upsert_positions(spark, sf):
     return jobs.current_positions(spark, out).drop("first_seq")
 
 
+@query
+def stream_upsert_event_time(spark, sf):
+    """The last ping by its own time stamp, wherever it stands in the stream."""
+    stream = jobs.ingest(_ping_stream(spark, sf, topics.encode_kv(inputs.delayed_pings(spark, sf))))
+    out = _finish(spark, jobs.start_upserts, "upserts", stream, order_by="ts_ms")
+    return jobs.current_positions(spark, out, order_by="ts_ms").select("user_id", "lat", "lng", "ts_ms", "seq")
+
+
 @query
 def stream_latest(spark, sf):
     jobs.use_rocksdb(spark)

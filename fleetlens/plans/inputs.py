@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.operators.state import latest_positions
+from fleetlens.operators.state import latest_positions, upsert_positions
 from fleetlens.operators.validate import normalize_trace, valid
 from fleetlens.sources.topics import map_columns
 
@@ -81,6 +81,17 @@ def positions(spark: SparkSession, sf: str) -> DataFrame:
     return latest_positions(valid_pings(spark, sf))
 
 
+def upserted(spark: SparkSession, sf: str) -> DataFrame:
+    """Position table of all riders."""
+    return upsert_positions(valid_pings(spark, sf))
+
+
+def delayed_pings(spark: SparkSession, sf: str) -> DataFrame:
+    """Valid pings of which some arrive long after the time they were made."""
+    late = F.when(F.col("seq") % 3 == 0, F.col("ts_ms") - 40 * DAY_MS).otherwise(F.col("ts_ms"))
+    return valid_pings(spark, sf).withColumn("ts_ms", late)
+
+
 def query_points(spark: SparkSession, sf: str) -> DataFrame:
     """Every valid ping as a search centre with a radius of 500..5000 m and k of 10..50."""
     i = F.col("seq")

@@ -188,6 +188,8 @@ add("ping_encode_map", "pings", f"""SELECT seq, user_id AS trj_id, service_type
   {_TEXT.format('accuracy', 'accuracy')},
   CAST(longitude AS VARCHAR) || ',' || CAST(latitude AS VARCHAR) AS location,
   {hex_sql('latitude', 'longitude')} AS cell FROM pings WHERE latitude IS NOT NULL""")
+add("decode_default_time", "pings", """SELECT seq, user_id, CASE WHEN seq%3 <> 0 THEN ts_ms ELSE ingest_ms END AS ts_ms
+  FROM pings""")
 _DECODED = "seq, pingtimestamp, speed, bearing, accuracy, parse_errors"
 add("decode_numeric", "maps", f"SELECT {_DECODED} FROM maps")
 add("rider_documents", "docs", """SELECT 'rider:' || trj_id AS doc_key, driving_mode, pingtimestamp,
@@ -233,6 +235,8 @@ add("range_sphere", "pos", f"SELECT {_HIT} FROM near WHERE d <= 8000", _NEAR)
 add("position_snapshot", "valid", f"""SELECT user_id, latitude, longitude, round(d, 3) AS distance_meter
   FROM (SELECT *, {hav(*_CENTRE, 'latitude', 'longitude')} AS d FROM valid) WHERE d <= 3000""")
 _NEAR_G = geodesic_cte("g", "pos", *_CENTRE, "lat", "lng")
+add("snapshot_range_join", "hits", """SELECT qid, user_id, latitude, longitude, round(d, 3) AS distance_meter
+  FROM hits""")
 add("range_spheroid", "pos", """SELECT user_id, lat, lng, speed, accuracy, ts_ms, updated_ms
   FROM g WHERE d <= 8000""", _NEAR_G)
 add("range_km_paged", "pos", f"""SELECT {_HIT} FROM near WHERE d <= 12500
@@ -260,6 +264,8 @@ for _name, _cap in (("knn_within_5km", 5000), ("knn_within_50km", 50000)):
       SELECT *, {hav('qlat', 'qlng', 'latitude', 'longitude')} AS d FROM pairs)
       WHERE d <= {_cap}) WHERE rank <= k""", f"pairs AS ({_ALL})")
 
+ORACLE["snapshot_knn_join"] = ORACLE["knn_within_5km"]
+
 
 def _crossing(px: str, py: str, x0: str, y0: str, x1: str, y1: str) -> str:
     return f"""(CASE WHEN ({py} < {y0}) = ({py} < {y1}) THEN 0
@@ -315,6 +321,11 @@ _UPSERT = """SELECT pos.*, first.service_type FROM pos JOIN (SELECT user_id, ser
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq) = 1) AS first USING (user_id)"""
 for _name in ("upsert_positions", "upsert_merge", "upsert_merge_replay", "stream_upsert_positions"):
     add(_name, "pos typed", _UPSERT)
+add("positions_as_of", "typed", """SELECT user_id, latitude AS lat, longitude AS lng, speed, accuracy, ts_ms,
+  ingest_ms AS updated_ms, seq, first_service AS service_type
+  FROM (SELECT *, first_value(service_type) OVER (PARTITION BY user_id ORDER BY seq) AS first_service FROM typed
+        WHERE (seq - 1)*4 < 3*(SELECT max(seq) FROM typed))
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) = 1""")
 add("point_lookup", "pos", """SELECT user_id, lat, lng, seq FROM pos
   WHERE user_id IN (SELECT 'trj-' || CAST(c_custkey AS VARCHAR) FROM customer)""")
 add("status_snapshot", "pings", """SELECT regexp_replace(user_id, '[^a-zA-Z0-9_]', '', 'g') AS user_id,
@@ -401,6 +412,7 @@ add("sample_throughput", "", f"""SELECT ts_ms - ts_ms % 3600000 AS window_ms, ap
       CASE WHEN class = 'write' THEN ts_ms//1000 ELSE ts_ms//9000%40009 END AS value
       FROM (SELECT {MS} AS ts_ms, {_APP} FROM events), (SELECT unnest(['write', 'read']) AS class)))
   GROUP BY ALL""")
+ORACLE["sample_file_throughput"] = ORACLE["sample_throughput"]
 _RATES = ", ".join(f"sum(value - prev) FILTER (le = {b}) / 86400.0e0 AS {n}" for b, n in
                    [(b, f"le_{b}") for b in _LATENCY] + [(999999, "n")])
 _VALUE = " + ".join(f"CASE WHEN le >= {b} THEN ts_ms//{20000 * (j + 1)} ELSE 0 END"
@@ -479,6 +491,9 @@ add("kpi_bands", "cls samples", f"""SELECT application, window_ms, {_band('rps',
 add("stream_ingest", "pings", "SELECT * FROM pings WHERE latitude IS NOT NULL")
 add("stream_map_decode", "maps", "SELECT seq, trj_id, pingtimestamp, speed, bearing, accuracy, "
     "parse_errors FROM maps")
+add("stream_upsert_event_time", "valid", """SELECT user_id, latitude AS lat, longitude AS lng, ts_ms, seq
+  FROM (SELECT * REPLACE (CASE WHEN seq%3=0 THEN ts_ms - 3456000000 ELSE ts_ms END AS ts_ms) FROM valid)
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts_ms DESC, seq DESC) = 1""")
 add("stream_latest", "pos", "SELECT user_id, lat, lng, seq FROM pos")
 add("quarantine", "pings", "SELECT seq, ingest_ms FROM pings WHERE seq % 67 = 0 OR seq % 71 = 0")
 add("quarantine_split", "pings", """SELECT seq, seq % 67 = 0 OR seq % 71 = 0 AS poison FROM pings

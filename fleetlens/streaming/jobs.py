@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -123,9 +124,10 @@ PARTS = ("user_id string, lat double, lng double, speed double, accuracy double,
          "ts_ms long, updated_ms long, seq long, first_seq long")
 
 
-def start_upserts(pings: DataFrame, path: str, checkpoint: str, **kw) -> StreamingQuery:
-    """Stateless upsert: one reduced row per rider and batch."""
-    return start(pings, path, checkpoint, reduce=reduce_pings, **kw)
+def start_upserts(pings: DataFrame, path: str, checkpoint: str, order_by: str = "seq", **kw) -> StreamingQuery:
+    """Stateless upsert: one reduced row per rider and batch, the last in arrival order or, with
+    ``order_by="ts_ms"``, in event time. Readers must ask for the same order."""
+    return start(pings, path, checkpoint, reduce=partial(reduce_pings, order_by=order_by), **kw)
 
 
 BASES = "base string, upto int"
@@ -137,7 +139,7 @@ def last_base(spark: SparkSession, path: str) -> tuple[str | None, int | None]:
     return (row["base"], row["upto"]) if row else (None, None)
 
 
-def compact_to(spark: SparkSession, path: str, upto: int) -> str:
+def compact_to(spark: SparkSession, path: str, upto: int, order_by: str = "seq") -> str:
     """Merge the batches up to ``upto`` and the newest base into a new base, and list it.
 
     The list is only appended to, after the base is whole: readers see the old base or the
@@ -145,13 +147,13 @@ def compact_to(spark: SparkSession, path: str, upto: int) -> str:
     """
     base, done = last_base(spark, path)
     out = f"{path}-base/upto={upto}"
-    compact(spark, path, out, upto, base, done)
+    compact(spark, path, out, upto, base, done, order_by)
     spark.createDataFrame([(out, upto)], BASES).coalesce(1).write.mode("append").parquet(f"{path}-bases")
     return out
 
 
 def current_positions(spark: SparkSession, path: str, base: str | None = None,
-                      upto: int | None = None) -> DataFrame:
+                      upto: int | None = None, order_by: str = "seq") -> DataFrame:
     """Position table after all batches, over the newest base, or a given one that holds the
     batches up to ``upto``."""
     if base is None and upto is None:
@@ -159,21 +161,21 @@ def current_positions(spark: SparkSession, path: str, base: str | None = None,
     parts = read_batches(spark, path, PARTS, after=upto).drop("batch")
     if base is not None:
         parts = spark.read.schema(PARTS).parquet(base).unionByName(parts)
-    return merge_reduced(parts)
+    return merge_reduced(parts, order_by)
 
 
 def compact(spark: SparkSession, path: str, out: str, upto: int,
-            base: str | None = None, base_upto: int | None = None) -> None:
+            base: str | None = None, base_upto: int | None = None, order_by: str = "seq") -> None:
     """Merge the batches up to ``upto`` (and an older base) into the new base ``out``."""
     parts = read_batches(spark, path, PARTS, after=base_upto).where(F.col("batch") <= upto).drop("batch")
     if base is not None:
         parts = spark.read.schema(PARTS).parquet(base).unionByName(parts)
-    merge_reduced(parts).write.mode("overwrite").parquet(out)
+    merge_reduced(parts, order_by).write.mode("overwrite").parquet(out)
 
 
-def start_latest(pings: DataFrame, path: str, checkpoint: str, **kw) -> StreamingQuery:
+def start_latest(pings: DataFrame, path: str, checkpoint: str, order_by: str = "seq", **kw) -> StreamingQuery:
     """Stateful form: the state store holds one row per rider, changed rows are written."""
-    return start(reduce_pings(pings), path, checkpoint, mode="update", **kw)
+    return start(reduce_pings(pings, order_by), path, checkpoint, mode="update", **kw)
 
 
 # ---- status with a time limit ------------------------------------------------------

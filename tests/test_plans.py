@@ -1,6 +1,7 @@
 """What the physical plans must and must not contain."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from fleetlens.operators import nearest, radius, state
@@ -42,3 +43,22 @@ def test_centre_search_pushes_its_box_down(spark, sf, tmp_path):
     text = plan(hits)
     assert "GreaterThanOrEqual(lat" in text and "LessThanOrEqual(lat" in text
     assert "ReadSchema: struct<user_id:string,lat:double,lng:double>" in text
+
+
+def test_an_indexed_snapshot_is_read_by_tiles_in_reach(spark, tmp_path):
+    world = spark.range(4000).selectExpr(
+        "concat('u', id) AS user_id", "CAST(id * 37 % 179 - 89 AS double) AS lat", "CAST(id * 53 % 359 - 179 AS double) AS lng",
+        "0D AS speed", "0D AS accuracy", "'TAXI' AS service_type", "0L AS ts_ms", "0L AS updated_ms", "id AS seq")
+    nowhere = world.limit(3).withColumn("lat", F.lit(None).cast("double"))
+    tables.write_indexed(world.unionByName(nowhere), str(tmp_path / "p"))
+    snapshot = tables.read_indexed(spark, str(tmp_path / "p"))
+    assert snapshot.count() == 4000
+    centres = spark.createDataFrame([(1, 10.0, 20.0, 150_000.0), (2, -89.9, 0.0, 200_000.0), (3, 0.0, 179.99, 90_000.0)],
+                                    "qid long, lat double, lng double, radius_m double")
+    near = tables.within_reach(snapshot, centres)
+    assert "dynamicpruning" in plan(near.select("user_id"))
+    assert near.count() < 400
+    for metric in ("sphere", "spheroid"):
+        hits = radius.range_join(centres, tables.within_reach(snapshot, centres, metric), metric)
+        assert sorted(hits.collect()) == sorted(radius.range_join(centres, world, metric).collect())
+    assert tables.within_reach(snapshot, centres.where("false")).count() == 0
