@@ -3,9 +3,9 @@
 A configuration says how many pieces of each length class share one sequence. The program's
 covering constraints (every class has its pieces placed) are solved by multiplicative weights:
 classes that are covered lose weight, and the next configuration is priced by a knapsack
-dynamic program over the weights. The fractional solution is rounded to whole numbers of
-sequences; every sequence is then completed by the longest piece that still fits, and pieces
-that the rounding left over open sequences of their own, longest first.
+dynamic program over the weights. The fractional solution is rounded down to whole numbers of
+sequences, what is left over makes a smaller program, and the last remainder goes by best fit.
+Pieces shorter than their class leave room, which the longest piece that fits takes.
 
 All this works on counts by length, of which there are at most ``capacity``, however many
 documents there are. The documents themselves stay distributed: a piece's rank among the
@@ -33,16 +33,23 @@ from fleetlens.llm.common import stored, text_or_empty
 CAPACITY = 4096
 END_ID = 1
 CLASSES = 128
-STEP = 0.1              # what one step of the weights covers of its scarcest class
-ROUNDS = 4000
-CACHED = 400_000
+STEP = 0.1              # coverage by which a class's weight falls to 1/e
+PART = 0.2              # the share of it that one configuration covers of its scarcest class
+ROUNDS = 12_000
+SMALL = 16              # pieces under 1/16 of a sequence only fill the room that others leave
+EXACT = 24              # larger lengths that are a class each
+PASSES = 3              # programs: of all pieces, then of what rounding down leaves
+CACHED = 1_000_000      # words that a worker remembers
+SLICE_BYTES = 8 << 20    # of text that is tokenised at a time
 
 
 # ---- tokens ------------------------------------------------------------------------------
 
 class WordTokens:
     """Ids of a tokenizer that treats each stretch without white space on its own, so that the
-    ids of a text are those of its stretches; distinct stretches are encoded once."""
+    ids of a text are those of its stretches. Distinct stretches are encoded once and kept as
+    arrays: their texts, in which those of the next slice are looked up all at once, and their
+    ids one after the other."""
 
     MARK = "\x01"       # a token of its own; stretches that hold it are encoded alone
     ENDS = "".join(set(string.punctuation) - {"'"})
@@ -50,57 +57,84 @@ class WordTokens:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.mark, = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
-        self.cache: dict[str, bytes] = {"": b""}
+        self._forget()
 
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _forget(self) -> None:
+        self.known = pa.array([""], pa.large_string())
+        self.flat, self.ends = np.empty(0, "<u4"), np.zeros(2, np.int64)
 
-    def _learn(self, words: set[str]) -> None:
-        alone = {w for w in words if self.MARK in w or "<|" in w}
-        for w in alone:
-            self.cache[w] = self._plain(w)
-        rest = list(words - alone)
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words, many in one call, and keep them."""
+        alone = {w: self._plain(w) for w in words if self.MARK in w or "<|" in w}
+        rest = [w for w in words if w not in alone]
+        ids, sizes = list(alone.values()), [len(x) for x in alone.values()]
         for at in range(0, len(rest), 500):
             some = rest[at:at + 500]
-            ids = np.frombuffer(self._plain(f" {self.MARK} ".join(some)), "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
+            coded = self._plain(f" {self.MARK} ".join(some))
+            marks = coded == self.mark
+            cuts = np.flatnonzero(marks)
             if len(cuts) != len(some) - 1:
                 raise ValueError("this tokenizer does not keep stretches apart")
-            for w, a, b in zip(some, np.append(0, cuts + 1), np.append(cuts, len(ids))):
-                self.cache[w] = ids[a:b].tobytes()
-
-    def ids_of(self, words: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHED:
-            self.cache = {"": b""}
-        cache, parts = self.cache, []
-        for w in words:
-            if w in cache:
-                parts.append((w, ""))
-                continue
-            if w.isascii():
-                w = w.lower()
-                stem = w.rstrip(self.ENDS)
-                # letters, then signs: two stretches to the tokenizer's own pattern
-                parts.append((stem, w[len(stem):]) if stem.isalpha() and "<|" not in w else (w, ""))
-            else:
-                parts.append((w, ""))
-        missing = {x for p in parts for x in p} - cache.keys()
-        if missing:
-            self._learn(missing)
-        return [cache[a] + cache[b] if b else cache[a] for a, b in parts]
+            ids.append(coded[~marks])
+            sizes += np.diff(cuts, prepend=-1, append=len(coded)).tolist()
+            sizes[-len(some):] = [n - 1 for n in sizes[-len(some):]]
+        self._keep([*alone, *rest], np.concatenate([np.empty(0, "<u4"), *ids]), np.array(sizes, np.int64))
+
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, pa.array(words, pa.large_string())])
+        self.flat = np.concatenate([self.flat, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def _find(self, words: pa.Array) -> np.ndarray:
+        """Numbers of kept words, -1 of others."""
+        return pc.fill_null(pc.index_in(words, self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def _split(self, word: str) -> tuple[str, str]:
+        """Letters, then signs, are two stretches to the tokenizer's own pattern."""
+        stem = word.rstrip(self.ENDS)
+        return (stem, word[len(stem):]) if word.isascii() and stem.isalpha() and "<|" not in word else (word, "")
+
+    def gather(self, rows: np.ndarray) -> np.ndarray:
+        """The ids of kept words, one after the other."""
+        return self.flat[spans(self.ends[rows], self.ends[rows + 1] - self.ends[rows])]
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The number under which each of the distinct ``words`` is kept, after learning new ones."""
+        words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words).cast(pa.large_string())
+        if len(self.known) > CACHED:
+            self._forget()
+        at = self._find(words)
+        new = np.flatnonzero(at < 0)
+        if not len(new):
+            return at
+        texts = list(dict.fromkeys(words.take(pa.array(new)).to_pylist()))
+        parts = [self._split(w) for w in texts]
+        pieces = pa.array(list({x for p in parts for x in p}), pa.large_string())
+        self._learn(pieces.filter(pc.equal(pa.array(self._find(pieces)), -1)).to_pylist())
+        # a word with signs at its end is kept as a whole, too
+        both = [(w, *p) for w, p in zip(texts, parts) if p[1]]
+        if both:
+            halves = self._find(pa.array([x for _, *p in both for x in p], pa.large_string()))
+            sizes = (self.ends[halves + 1] - self.ends[halves]).reshape(-1, 2).sum(1)
+            self._keep([w for w, *_ in both], self.gather(halves), sizes)
+        at[new] = self._find(words.take(pa.array(new)))
+        return at
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's followed by END_ID, and the ends by text."""
         lists = pc.ascii_split_whitespace(text)
         coded = lists.flatten().dictionary_encode()
-        words = self.ids_of(coded.dictionary.to_pylist())
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        sizes = np.array([len(w) // 4 for w in words], np.int64)
-        flat = np.frombuffer(b"".join(words), "<u4")
-        ids = flat[spans((np.cumsum(sizes) - sizes)[which], sizes[which])]
+        rows = self.numbers(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        sizes = self.ends[rows + 1] - self.ends[rows]
         offsets = lists.offsets.to_numpy()
-        ends = np.append(0, np.cumsum(sizes[which]))[offsets - offsets[0]]
-        ids = np.insert(ids, ends[1:], END_ID)
+        ends = np.append(0, np.cumsum(sizes))[offsets - offsets[0]]
+        # every text's end has a place of its own behind the text's ids
+        ids = np.full(int(ends[-1]) + len(text), END_ID, "<u4")
+        of = np.repeat(np.arange(len(text)), np.diff(ends))
+        ids[np.arange(len(of)) + of] = self.gather(rows)
         return ids, ends + np.arange(len(ends))
 
 
@@ -119,7 +153,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, id_col: str, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, task = word_tokens(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", SLICE_BYTES):
             ids, ends = tokens.encode(part.column("text"))
             sizes = np.diff(ends)
             pieces = -(-sizes // capacity)
@@ -167,8 +201,29 @@ def best_configuration(prices: np.ndarray, units: int) -> np.ndarray:
     return counts
 
 
-def fractional_cover(demand: np.ndarray, rounds: int = ROUNDS, step: float = STEP) -> dict[tuple, float]:
-    """Configurations with their amounts, near an optimum of the covering program."""
+def best_of_sizes(prices: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
+    """The same for a few classes of any ``sizes``: each in turn, one more piece at a time."""
+    worth, last = np.zeros(room + 1), np.full(room + 1, -1)
+    for k in np.flatnonzero(prices > 0).tolist():
+        size = int(sizes[k])
+        for at in range(size, room + 1, size):
+            now = worth[at:at + size]
+            then = worth[at - size:at - size + len(now)] + prices[k]
+            better = then > now
+            now[better] = then[better]
+            last[at:at + size][better] = k
+    counts, at = np.zeros(len(prices), np.int64), int(worth.argmax())
+    while last[at] >= 0:
+        counts[last[at]] += 1
+        at -= int(sizes[last[at]])
+    return counts
+
+
+def fractional_cover(demand: np.ndarray, rounds: int = ROUNDS, step: float = STEP,
+                     price=None) -> dict[tuple, float]:
+    """Configurations with their amounts, near an optimum of the covering program. ``price``
+    finds the configuration worth most at given prices; by default class k has size k + 1."""
+    price = price or (lambda prices: best_configuration(prices, len(demand)))
     need = demand > 0
     if not need.any():
         return {}
@@ -179,9 +234,9 @@ def fractional_cover(demand: np.ndarray, rounds: int = ROUNDS, step: float = STE
         if share.min() >= 1:
             break
         prices = np.where(need, np.exp(-(share - share[need].min()) / step) / np.maximum(demand, 1), 0.0)
-        config = best_configuration(prices, len(demand))
+        config = price(prices)
         used = config > 0
-        amount = step * (demand[used] / config[used]).min()
+        amount = PART * step * (demand[used] / config[used]).min()
         key = tuple(np.repeat(np.flatnonzero(used)[::-1], config[used][::-1]).tolist())
         amounts[key] = amounts.get(key, 0.0) + amount
         covered += config * amount
@@ -189,37 +244,56 @@ def fractional_cover(demand: np.ndarray, rounds: int = ROUNDS, step: float = STE
     return {k: v / max(least, 1e-9) for k, v in amounts.items()}
 
 
-class Plan:
-    """Sequences by pattern. A slot holds the pieces of one length with ranks from ``first``
-    on, in consecutive sequences, all at one offset."""
+class Filling:
+    """Sequences that are being filled, by pattern. A slot holds the pieces of one length with
+    ranks from ``first`` on, in consecutive sequences, all at one offset."""
 
-    def __init__(self, counts: np.ndarray, capacity: int = CAPACITY, classes: int = CLASSES):
+    def __init__(self, counts: np.ndarray, capacity: int):
         self.capacity, self.sequences = capacity, 0
         self.left, self.given = counts.astype(np.int64).copy(), np.zeros(capacity + 1, np.int64)
         self.slots: list[tuple[int, int, int, int]] = []      # length, first rank, sequence, offset
         self.lengths = np.flatnonzero(self.left)
-        width = -(-capacity // classes)
-        of = -(-np.arange(capacity + 1) // width) - 1
-        demand = np.bincount(of[1:], weights=self.left[1:], minlength=classes)[:classes]
-        amounts = fractional_cover(demand)
-        # configurations with the longest pieces first; their last two pieces are left to
-        # complete(), which knows the exact lengths that the classes round up
-        for config, amount in sorted(amounts.items(), key=lambda x: [-k for k in x[0]]):
-            groups = [(int(amount), ())]
-            for k in config[:-2]:
-                groups = [g for n, have in groups for g in self.take_class(n, have, k * width, width)]
-            for n, have in groups:
-                self.complete(n, have)
+
+    def best_fit(self) -> Filling:
+        """All that is left, longest first, each sequence by the longest piece that still fits."""
         for length in self.lengths[::-1].tolist():
-            if self.left[length]:
-                self.complete(*self.take(int(self.left[length]), (), length))
-        total = np.append(0, np.cumsum(counts))
-        table = np.array(self.slots, np.int64).reshape(-1, 4)
-        key = total[table[:, 0]] + table[:, 1]
-        order = np.argsort(key)
-        # rank among all pieces, shortest first, where a slot begins; its sequence and offset
-        self.base, self.key = total, key[order]
-        self.sequence, self.offset = table[order, 2], table[order, 3]
+            while left := int(self.left[length]):
+                copies = min(left, self.capacity // length)
+                n, have = left // copies, ()
+                for _ in range(copies):
+                    _, have = self.take(n, have, length)
+                self.complete(n, have)
+        return self
+
+    def program(self, classes: int, step: float) -> Filling:
+        """Whole configurations of the program, rounded down; what that leaves makes a program of
+        its own; then best fit. The room that pieces shorter than their class leave in a sequence
+        goes to the longest piece that fits.
+
+        If there are but a few lengths, each is a class; else classes are stretches of lengths.
+        """
+        width = -(-self.capacity // classes)
+        large = self.lengths[self.lengths > self.capacity // SMALL]
+        if len(large) <= EXACT:
+            above, upto = large - 1, large
+            price = functools.partial(best_of_sizes, sizes=large, room=self.capacity)
+        else:
+            above, price = np.arange(classes) * width, None
+            upto = np.minimum(above + width, self.capacity)
+        for _ in range(PASSES):
+            left = np.append(0, np.cumsum(self.left))
+            demand = np.where(upto > self.capacity // SMALL, left[upto + 1] - left[np.minimum(above, upto) + 1], 0)
+            rounded = {c: int(n + 1e-6) for c, n in fractional_cover(demand, step=step, price=price).items()}
+            if not any(rounded.values()):
+                break
+            # configurations with the longest pieces first
+            for config, amount in sorted(rounded.items(), key=lambda x: [-k for k in x[0]]):
+                groups = [(amount, ())] if amount else []
+                for k in config:
+                    groups = [g for n, have in groups for g in self.take_class(n, have, int(above[k]), int(upto[k]))]
+                for n, have in groups:
+                    self.complete(n, have)
+        return self.best_fit()
 
     def take(self, n: int, have: tuple, length: int) -> tuple[int, tuple]:
         first = self.given[length]
@@ -227,11 +301,11 @@ class Plan:
         self.left[length] -= n
         return n, (*have, (length, int(first)))
 
-    def take_class(self, n: int, have: tuple, above: int, width: int) -> list[tuple[int, tuple]]:
+    def take_class(self, n: int, have: tuple, above: int, upto: int) -> list[tuple[int, tuple]]:
         """n open sequences with one piece more of the class, longest first; where the pieces
         run out, those that got none stay as they are. Ranks of split groups stay aligned."""
         out = []
-        for length in range(min(above + width, self.capacity), above, -1):
+        for length in range(upto, above, -1):
             some = min(n, int(self.left[length]))
             if some:
                 _, more = self.take(some, have, length)
@@ -260,6 +334,24 @@ class Plan:
                 offset += length
             self.sequences += n
 
+
+class Plan:
+    """Where each piece goes, by its length and its rank among the pieces of that length: the
+    filling by the program, or plain best fit where that opens fewer sequences."""
+
+    def __init__(self, counts: np.ndarray, capacity: int = CAPACITY, classes: int = CLASSES, step: float = STEP):
+        fillings = [Filling(counts, capacity).program(classes, step), Filling(counts, capacity).best_fit()]
+        best = min(fillings, key=lambda f: f.sequences)
+        self.capacity, self.sequences = capacity, best.sequences
+        self.by_program, self.by_best_fit = (f.sequences for f in fillings)
+        total = np.append(0, np.cumsum(counts))
+        table = np.array(best.slots, np.int64).reshape(-1, 4)
+        key = total[table[:, 0]] + table[:, 1]
+        order = np.argsort(key)
+        # rank among all pieces, shortest first, where a slot begins; its sequence and offset
+        self.base, self.key = total, key[order]
+        self.sequence, self.offset = table[order, 2], table[order, 3]
+
     def find(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = self.base[length] + rank
         at = np.searchsorted(self.key, key, "right") - 1
