@@ -20,7 +20,8 @@ from fleetlens.llm.common import text_or_empty
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+    # quotes count only behind an equals sign: elsewhere they are part of a name or a value
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
 # Fixed values of HTML: elements without content, with raw text, and those that are blocks.
@@ -39,8 +40,8 @@ SCOPES = frozenset("ul ol dl table select article section div body".split())
 # Never part of the text, wherever they stand.
 DROPPED = frozenset(
     "head script style textarea title xmp iframe noembed noframes noscript template svg math canvas "
-    "object embed audio video form button select input label fieldset nav menu footer aside dialog "
-    "search".split())
+    "object embed audio video button select input nav menu footer aside dialog search".split())
+FORMS = frozenset(["form", "fieldset"])
 # Words of class, id and role that name what is not the article.
 UNLIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|comments?|disqus|reply|replies|"
@@ -53,6 +54,10 @@ HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)
 APART = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|comments?|disqus|respond|cookies?|consent|gdpr|newsletter|popup|modal|"
     r"hidden)(?=$|[\s_-])", re.I)
+# Of these, words that also name parts of an article: there, only lists of links go by them.
+IN_ARTICLE = re.compile(
+    r"(?:^|[\s_-])(?:related|recommend\w*|side|notices?|notification|complementary|search|copyright|legal|disclaimer|"
+    r"alert)(?=$|[\s_-])", re.I)
 HOLDS_TEXT = frozenset("p pre td blockquote li dd div section article main body".split())
 MIN_PARAGRAPH = 25
 MAX_LINKED = 0.5
@@ -90,13 +95,16 @@ def parse(page: str) -> list[Node]:
     root = Node("body", None, 0, "")
     nodes, stack, at = [root], [root], 0
     raw: str | None = None
-    for m in TOKEN.finditer(page):
+    last = page.rfind(">") + 1      # no tag ends behind it
+    for m in TOKEN.finditer(page, 0, last):
         if m.start() < at:
             continue
         if m.start() > at:
             stack[-1].parts.append(page[at:m.start()])
         at = m.end()
         if m[2] is None:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(page)
             continue
         tag = m[2].lower()
         if m[1]:
@@ -136,11 +144,23 @@ def within_article(node: Node) -> bool:
     return up is not None
 
 
-def is_unlikely(node: Node, by_name: bool) -> bool:
+def in_form(node: Node) -> bool:
+    up = node.parent
+    while up and up.tag not in FORMS:
+        up = up.parent
+    return up is not None
+
+
+def is_unlikely(node: Node, by_name: bool, forms: bool) -> bool:
     if node.tag in ("html", "body", "main"):
         return "hidden" in node.hints.split()
     if node.tag in DROPPED:
         return True
+    if node.tag in FORMS:
+        # a form around the page is a wrapper, whose controls alone go
+        return not forms and not node.wraps
+    if node.tag == "label":
+        return in_form(node) or any(isinstance(x, Node) and x.tag in DROPPED for x in node.parts)
     if node.tag == "header":
         return not within_article(node)
     if not node.hints or node.tag == "article":
@@ -148,17 +168,38 @@ def is_unlikely(node: Node, by_name: bool) -> bool:
     by_name = by_name and not node.wraps
     if HEADER.search(node.hints):
         return by_name and not within_article(node)
-    return by_name and bool(UNLIKELY.search(node.hints)) or "hidden" in node.hints.split()
+    named = by_name and UNLIKELY.search(node.hints)
+    if named and within_article(node):
+        # whatever else the name says, or nothing but links
+        named = UNLIKELY.search(IN_ARTICLE.sub(" ", node.hints)) or is_links(node)
+    return bool(named) or "hidden" in node.hints.split()
+
+
+def is_links(node: Node) -> bool:
+    """Whether links hold most of the text below a node."""
+    chars = linked = 0
+    work: list[tuple[Node, bool]] = [(node, False)]
+    while work:
+        one, in_link = work.pop()
+        in_link = in_link or one.tag == "a"
+        for part in one.parts:
+            if isinstance(part, Node):
+                if part.tag not in DROPPED:
+                    work.append((part, in_link))
+            else:
+                n = len(" ".join(part.split()))
+                chars, linked = chars + n, linked + n * in_link
+    return linked > MAX_LINKED * chars
 
 
 def plain(text: str) -> str:
     return html.unescape(text) if "&" in text else text
 
 
-def measure(nodes: list[Node], by_name: bool = True) -> None:
+def measure(nodes: list[Node], by_name: bool = True, forms: bool = False) -> None:
     """Marks what is out, and sums characters and linked characters up the tree."""
     for node in nodes:
-        node.out = node.parent is not None and (node.parent.out or is_unlikely(node, by_name))
+        node.out = node.parent is not None and (node.parent.out or is_unlikely(node, by_name, forms))
         node.points, node.chars, node.linked = 0.0, 0, 0
     for node in reversed(nodes):
         if node.out:
@@ -172,12 +213,12 @@ def measure(nodes: list[Node], by_name: bool = True) -> None:
 
 
 def mark_wrappers(nodes: list[Node]) -> None:
-    """Marks the nodes with an unlikely name that hold most of the page's text: of the characters of
+    """Marks the forms and the nodes with an unlikely name that hold most of the page's text: of the characters of
     articles and main parts or, without any, of the points of paragraphs."""
-    named = [n for n in nodes if n.hints and (UNLIKELY.search(n.hints) or HEADER.search(n.hints))]
+    named = [n for n in nodes if n.tag in FORMS or n.hints and (UNLIKELY.search(n.hints) or HEADER.search(n.hints))]
     if not named:
         return
-    measure(nodes, by_name=False)
+    measure(nodes, by_name=False, forms=True)
     held = [0.0] * len(nodes)
     for node in nodes:
         if node.tag in ("article", "main") and not node.out and not within_article(node):

@@ -331,7 +331,8 @@ def class_model(pairs: DataFrame) -> np.ndarray:
         parent = np.full(CLASSES, rest) * uniform
         for r in top:
             parent[r["v"]] += r["kept"]
-        parent /= max(parent.sum(), 1e-300)
+        # without any training row there are no tables, and nothing but the uniform base
+        parent = parent / parent.sum() if parent.sum() > 0 else uniform
     # pairs of classes: a number that does not grow with the corpus
     rows = children.select("u", "v", "shares", F.col("kept").cast("float"), "opened").toArrow()
     u, v, shares, kept, opened = (rows.column(x).to_numpy() for x in ("u", "v", "shares", "kept", "opened"))

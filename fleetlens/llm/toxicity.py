@@ -141,12 +141,13 @@ class Chain:
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows: int,
                     id_col: str, text_col: str) -> DataFrame:
     """fold, text and one 0/1 column per category of at most ``rows`` labelled documents, in the
-    order of a hash of their ids. A row with null in a category does not count for it."""
+    order of a hash of their ids. A row with null in a category does not count for it. Of several
+    rows with one id the smallest text is taken, so there are never more rows than ids."""
     marks = labels.select(F.col(id_col).alias("_id"), *[c.cast("int").alias(k) for k, c in categories.items()])
     marks = marks.filter("_id is not null").groupBy("_id").agg(*[F.max(k).alias(k) for k in categories])
     chosen = marks.orderBy(F.xxhash64("_id"), "_id").limit(rows)      # few: may be broadcast
     texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text"))
-    joined = texts.join(F.broadcast(chosen), "_id")
+    joined = texts.join(F.broadcast(chosen), "_id").groupBy("_id", *categories).agg(F.min("text").alias("text"))
     return stored(joined.select((F.abs(F.hash("_id")) % FOLDS).alias("fold"), "text", *categories), "toxicity-sample")
 
 
