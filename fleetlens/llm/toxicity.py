@@ -210,10 +210,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
         present, "have array<int>, values array<double>, fold int, " + ", ".join(f"{c} int" for c in names)).toArrow()
     n = len(rows)
     have, values = rows.column("have").combine_chunks(), rows.column("values").combine_chunks()
-    row = np.repeat(np.arange(n), have.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) if n else []
-    x = np.zeros((n, len(chain.vocabulary)), np.float32)
-    if n:
-        x[row, have.flatten().to_numpy()] = values.flatten().to_numpy()
+    row = np.repeat(np.arange(n), have.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) if n else np.empty(0, int)
+    at, held = have.flatten().to_numpy(), values.flatten().to_numpy()
     fold = rows.column("fold").to_numpy()
     odds = np.zeros((n, 0), np.float32)
     for name in names:
@@ -221,7 +219,13 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
         marks = rows.column(name)
         known = ~marks.is_null().to_numpy()
         y = marks.fill_null(0).to_numpy().astype(float)
-        full = np.hstack([x[:, columns], odds, np.ones((n, 1), np.float32)])
+        # the category's features, the odds of the categories before, and a constant
+        full = np.ones((n, len(columns) + odds.shape[1] + 1), np.float32)
+        full[:, :len(columns)], full[:, len(columns):-1] = 0, odds
+        place = np.full(len(chain.vocabulary), -1)
+        place[columns] = np.arange(len(columns))
+        mine = place[at] >= 0
+        full[row[mine], place[at[mine]]] = held[mine]
         unseen = np.zeros(n, np.float32)
         for f in range(FOLDS):
             test = fold == f
