@@ -10,13 +10,19 @@ import pyarrow as pa
 SLICE_BYTES = 2 << 20
 
 
+def offsets(cells: pa.Array) -> np.ndarray:
+    """Where the cells of a string or binary array begin and end in its bytes."""
+    wide = cells.type in (pa.large_string(), pa.large_binary())
+    every = np.frombuffer(cells.buffers()[1], np.int64 if wide else np.int32)
+    return every[cells.offset:cells.offset + len(cells) + 1]
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str,
                 limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with at most ``limit`` bytes of text, or one row."""
     for batch in batches:
         text = batch.column(column)
-        ends = np.frombuffer(text.buffers()[1], np.int32 if text.type != pa.large_string() else np.int64)
-        ends = ends[text.offset:text.offset + len(text) + 1]
+        ends = offsets(text)
         at = 0
         while at < len(text):
             to = int(np.searchsorted(ends, ends[at] + limit, "right")) - 1
@@ -26,8 +32,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str,
 
 
 def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string array without nulls, and the ends: row i is data[ends[i]:ends[i+1]]."""
-    ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset:text.offset + len(text) + 1]
+    """All bytes of a string or binary array without nulls, and the ends: row i is data[ends[i]:ends[i+1]]."""
+    ends = offsets(text)
     data = text.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
     return data[ends[0]:ends[-1]], (ends - ends[0]).astype(np.int64)

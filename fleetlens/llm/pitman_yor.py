@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.arrays import text_slices
+from fleetlens.llm.arrays import packed, text_bytes, text_slices
 from fleetlens.llm.common import commonest, join_by_key, stored, text_or_empty
 from fleetlens.llm.shingles import BYTE_CODES, hashes_of, mixed, words_of
 
@@ -130,19 +130,6 @@ def contexts(classes: np.ndarray, ends: np.ndarray, end_class: int) -> np.ndarra
     return before
 
 
-def _count_pairs(lexicon):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in map(training_part, text_slices(batches, "text", SLICE)):
-            words, ending, ends = tokens_of(part.column("text"))
-            if not len(words):
-                continue
-            now = lexicon.value.classes(words, ending)
-            pair = contexts(now, ends, lexicon.value.end_class()) * CLASSES + now
-            values, counts = np.unique(pair, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int32)), pa.array(counts)], names=["pair", "c"])
-    return run
-
-
 # ---- seating -----------------------------------------------------------------------------
 
 class Restaurants:
@@ -359,30 +346,69 @@ def context_hashes(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
     return before, mixed(mixed(earlier, 1) + before, 2)
 
 
-def _count_words_in_context(lexicon):
+READ = ("kind int, slice long, k int, ctx long, mid long, w long, pair int, c long, "
+        "row long, id long, times int, n_tokens long, n_known long, base double, places binary")
+TEXTS, PAIRS, RARE = 0, 1, 2
+
+
+def _read(lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of all texts: two words before (ctx), word before (u), word, classes of the last two,
-        training count, and count in all texts."""
+        """Rows of three kinds, from all texts (row, id, text), a slice of texts at a time.
+
+        PAIRS: the k-th distinct pair (two words before: ctx, word: w) of the slice, its word before
+        (mid), classes of the last two words and training count. TEXTS: a text's sums, and the number
+        k of the pair at each of its tokens. RARE: words of a text whose counts are to be joined.
+        """
         lex = lexicon.value
+        total = np.log10(lex.tokens + 0.5 * (lex.distinct + 1))
+
+        def rows(kind: int, **columns) -> pa.RecordBatch:
+            columns = {x: c if isinstance(c, pa.Array) else pa.array(c) for x, c in columns.items()}
+            many = len(columns["row" if kind != PAIRS else "k"])
+            columns["kind"] = pa.array(np.full(many, kind, np.int32))
+            return pa.RecordBatch.from_arrays(
+                [columns[f.name] if f.name in columns else pa.nulls(many, f.type) for f in READ_SCHEMA], schema=READ_SCHEMA)
+
         for part in text_slices(batches, "text", SLICE):
-            words, ending, ends = tokens_of(part.column("text"))
-            if not len(words):
+            if not part.num_rows:
                 continue
-            learnt = np.repeat([is_training(i) for i in part.column("id").to_pylist()], np.diff(ends))
+            words, ending, ends = tokens_of(part.column("text"))
+            row, ids = part.column("row").to_numpy(), part.column("id")
+            learnt = np.repeat([is_training(i) for i in ids.to_pylist()], np.diff(ends))
             now = lex.classes(words, ending)
             pair = contexts(now, ends, lex.end_class()) * CLASSES + now
             before, ctx = context_hashes(words, ends)
-            order = np.lexsort((words, ctx))
-            ctx, w = ctx[order], words[order]
-            at = np.flatnonzero(np.append(True, (ctx[1:] != ctx[:-1]) | (w[1:] != w[:-1])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ctx[at].view(np.int64)), pa.array(before[order][at].view(np.int64)),
-                 pa.array(w[at].view(np.int64)), pa.array(pair[order][at].astype(np.int32)),
-                 pa.array(np.add.reduceat(learnt[order].astype(np.int64), at)),
-                 pa.array(np.diff(np.append(at, len(w))))], names=["ctx", "mid", "w", "pair", "c", "n"])
+            place = pa.array(mixed(ctx + mixed(words, 3), 4)).dictionary_encode().indices.to_numpy()
+            at = np.flatnonzero(np.diff(np.maximum.accumulate(place), prepend=-1))      # places rise as pairs appear
+            yield rows(PAIRS, slice=np.full(len(at), row[0]), k=np.arange(len(at), dtype=np.int32),
+                       ctx=ctx[at].view(np.int64), mid=before[at].view(np.int64), w=words[at].view(np.int64),
+                       pair=pair[at].astype(np.int32), c=np.bincount(place[learnt], minlength=len(at)))
+
+            counts = lex.count(words)
+            known = counts >= 0
+            base = np.where(known, np.log10(np.maximum(counts, 0) + 0.5), 0.0) - total
+            yield rows(TEXTS, slice=np.full(len(row), row[0]), row=row, id=ids, n_tokens=np.diff(ends),
+                       n_known=np.add.reduceat(known.astype(np.int64), ends[:-1]),      # every text has a token
+                       base=np.add.reduceat(base, ends[:-1]), places=packed(place.astype(np.int32), ends))
+            if known.all():
+                continue
+            of_row = np.repeat(np.arange(len(row)), np.diff(ends))[~known]
+            # equal words of one text once
+            order = np.lexsort((words[~known], of_row))
+            w, r = words[~known][order], of_row[order]
+            at = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (r[1:] != r[:-1])))
+            yield rows(RARE, row=row[r[at]], id=ids.take(pa.array(r[at])), w=w[at].view(np.int64),
+                       times=np.diff(np.append(at, len(w))).astype(np.int32))
     return run
 
 
+READ_SCHEMA = pa.schema([
+    ("kind", pa.int32()), ("slice", pa.int64()), ("k", pa.int32()), ("ctx", pa.int64()), ("mid", pa.int64()),
+    ("w", pa.int64()), ("pair", pa.int32()), ("c", pa.int64()), ("row", pa.int64()), ("id", pa.int64()),
+    ("times", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()),
+    ("places", pa.binary())])
+
+
 def _class_probability(lexicon, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """p1 of (u, w); where the count of w is to be joined first, p1 is the factor of count + 0.5."""
@@ -428,11 +454,11 @@ def sample_words(rows: DataFrame, discount: float, sweeps: tuple[int, int], tota
 
 
 def word_model(triples: DataFrame, counts: DataFrame, lexicon, model) -> DataFrame:
-    """ctx, w, n, logp: log10 P(w | the two words before) of every row of ``triples``, the output of
-    ``_count_words_in_context`` summed by (ctx, w)."""
+    """ctx, w, n, logp: log10 P(w | the two words before) of every row of ``triples``, the PAIRS of
+    ``_read`` summed by (ctx, w), with the number n of slices that hold them."""
     total = triples.count()
     triples = stored(with_shares(triples.select(F.col("ctx").alias("u"), F.col("w").alias("v"), "mid", "pair", "c",
-                                                F.col("n").alias("times")), total), "py-triples")
+                                                F.col("n").alias("slices")), total), "py-triples")
     pairs = triples.groupBy(F.col("mid").alias("u"), "v").agg(F.first("pair").alias("pair"), F.count("*").alias("many"))
     by_class = pairs.mapInArrow(_class_probability(lexicon, model),
                                 "u long, v long, many long, look long, wanted boolean, p double")
@@ -461,63 +487,19 @@ def word_model(triples: DataFrame, counts: DataFrame, lexicon, model) -> DataFra
     keyed = current.select(F.col("u").alias("mid"), "v", F.col("many").alias("n"), "base")
     found = join_by_key(children, keyed, ["mid", "v"], total).select(
         "u", "v", F.log10(F.col("kept") + F.col("opened") * F.col("base")).alias("logp"))
-    return stored(found.join(triples.select("u", "v", F.col("times").alias("n")), ["u", "v"]).select(
+    return stored(found.join(triples.select("u", "v", F.col("slices").alias("n")), ["u", "v"]).select(
         F.col("u").alias("ctx"), F.col("v").alias("w"), "n", "logp"), "py-scores")
 
 
 # ---- scores ------------------------------------------------------------------------------
 
-PARTS = "row long, id long, ctx long, w long, times int, n_tokens long, n_known long, base double"
-
-
-def _score(lexicon):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row of sums per text, rows (w, times) for words whose counts are to be joined,
-        and a row (ctx, w) with times -1 per token."""
-        lex = lexicon.value
-        total = np.log10(lex.tokens + 0.5 * (lex.distinct + 1))
-        for part in text_slices(batches, "text", 4 << 20):
-            words, _, ends = tokens_of(part.column("text"))
-            counts = lex.count(words)
-            known = counts >= 0
-            base = np.where(known, np.log10(np.maximum(counts, 0) + 0.5), 0.0) - total
-            rows = part.column("row").to_numpy()
-            ids = part.column("id")
-
-            def sums(x: np.ndarray) -> np.ndarray:
-                return np.add.reduceat(x, ends[:-1])        # every text has a token
-
-            n = len(rows)
-            of_row = np.repeat(np.arange(n), np.diff(ends))[~known]
-            # equal words of one text once
-            order = np.lexsort((words[~known], of_row))
-            w, r = words[~known][order], of_row[order]
-            fresh = np.append(True, (w[1:] != w[:-1]) | (r[1:] != r[:-1])) if len(w) else np.empty(0, bool)
-            at = np.flatnonzero(fresh)
-            times = np.diff(np.append(at, len(w)))
-            zero = np.zeros(len(at))
-            columns = [
-                np.append(rows, rows[r[at]]), None, np.zeros(n + len(at), np.int64),
-                np.append(mixed(rows.astype(np.uint64), 9).view(np.int64), w[at].view(np.int64)),
-                np.append(np.zeros(n), times).astype(np.int32),
-                np.append(np.diff(ends), zero.astype(np.int64)), np.append(sums(known.astype(np.int64)), zero.astype(np.int64)),
-                np.append(sums(base), zero)]
-            columns[1] = ids.take(pa.array(np.append(np.arange(n), r[at])))
-            yield pa.RecordBatch.from_arrays(
-                [c if isinstance(c, pa.Array) else pa.array(c) for c in columns],
-                names=["row", "id", "ctx", "w", "times", "n_tokens", "n_known", "base"])
-            _, ctx = context_hashes(words, ends)
-            many = len(words)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(rows, np.diff(ends))), pa.nulls(many, pa.int64()), pa.array(ctx.view(np.int64)),
-                 pa.array(words.view(np.int64)), pa.array(np.full(many, -1, np.int32)),
-                 pa.nulls(many, pa.int64()), pa.nulls(many, pa.int64()), pa.nulls(many, pa.float64())],
-                names=["row", "id", "ctx", "w", "times", "n_tokens", "n_known", "base"])
-    return run
-
-
-def positions_total(logs: DataFrame) -> int:
-    return logs.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+def _add_up(texts: pa.Table, logs: pa.Table) -> pa.Table:
+    """row and score of the texts of one slice, from (k, logp) of the slice's pairs."""
+    logp = np.zeros(logs.num_rows)
+    logp[logs.column("k").to_numpy()] = logs.column("logp").to_numpy()
+    places, ends = zip(*(text_bytes(c) for c in texts.column("places").chunks))
+    score = [np.add.reduceat(logp[data.view(np.int32)], at[:-1] // 4) for data, at in zip(places, ends) if len(at) > 1]
+    return pa.table({"row": texts.column("row"), "score": np.concatenate(score)})
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -535,28 +517,29 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.first("g").alias("g"), F.sum("c").alias("c")), "py-words")
     lexicon = Lexicon(counts)
     shared = spark.sparkContext.broadcast(lexicon)
-    pairs = stored(rows.mapInArrow(_count_pairs(shared), "pair int, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    # stored, so that all that follows sees the same row numbers and slices
+    read = stored(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_read(shared), READ), "py-read")
+    here = read.filter(F.col("kind") == PAIRS)
+    triples = stored(here.groupBy("ctx", "w").agg(F.first("mid").alias("mid"), F.first("pair").alias("pair"),
+                                                  F.sum("c").alias("c"), F.count("*").alias("n")), "py-contexts")
+    pairs = stored(triples.filter("c > 0").groupBy("pair").agg(F.sum("c").alias("c"))
                    .select((F.col("pair") / CLASSES).cast("int").alias("u"),
                            (F.col("pair") % CLASSES).cast("int").alias("v"), "c"), "py-pairs")
     model = spark.sparkContext.broadcast(class_model(pairs))
-    triples = stored(rows.mapInArrow(_count_words_in_context(shared), "ctx long, mid long, w long, pair int, c long, n long")
-                     .groupBy("ctx", "w").agg(F.first("mid").alias("mid"), F.first("pair").alias("pair"),
-                                              F.sum("c").alias("c"), F.sum("n").alias("n")), "py-contexts")
     logs = word_model(triples, counts, shared, model)
-    # stored, so that both joins see the same row numbers
-    every = stored(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_score(shared), PARTS), "py-parts")
-    parts = every.filter("times >= 0").drop("ctx")
-
-    c = F.when(F.col("times") > 0, F.coalesce("c", F.lit(0)))
-    log = F.log10(c + 0.5) * F.col("times")
-    joined = parts.join(counts.select("w", "c"), "w", "left")
-    by_word = joined.groupBy("row", "id").agg(
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.coalesce(log, F.lit(0.0))).alias("base_score"))
-    positions = every.filter("times < 0").select("row", "ctx", "w")
-    by_context = join_by_key(positions, logs, ["ctx", "w"], positions_total(logs)).groupBy("row").agg(
-        F.sum("logp").alias("score"))
+
+    texts = read.filter(F.col("kind") == TEXTS)
+    rare = read.filter(F.col("kind") == RARE).select("row", "id", "w", "times").join(counts.select("w", "c"), "w", "left")
+    c = F.coalesce("c", F.lit(0))
+    by_word = texts.select("row", "id", "n_tokens", "n_known", "base").unionByName(rare.select(
+        "row", "id", F.lit(0).cast("long").alias("n_tokens"), F.when(c > 0, F.col("times")).otherwise(0).cast("long").alias("n_known"),
+        (F.log10(c + 0.5) * F.col("times")).alias("base"))).groupBy("row", "id").agg(
+        F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"))
+    # one log-probability per distinct pair of a slice goes back to the slice, none per token
+    found = join_by_key(here.select("slice", "k", "ctx", "w"), logs, ["ctx", "w"], here.count()).select(
+        F.col("slice").alias("home"), "k", "logp")
+    by_context = texts.select("slice", "row", "places").groupBy("slice").cogroup(found.groupBy("home")).applyInArrow(
+        _add_up, "row long, score double")
     total = by_word.join(by_context, "row")
     text_id = F.coalesce(F.col("id").cast("string"), F.lit(""))
     return total.select(
