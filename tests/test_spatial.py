@@ -344,3 +344,26 @@ def test_every_way_of_joining_gives_the_same(spark, sf, monkeypatch):
     for module in (radius_ops, area_ops):
         monkeypatch.setattr(module, "may_broadcast", lambda df, copies=1: False)
     assert results() == broadcast_positions
+
+
+def test_counts_in_polygons_are_those_of_the_pairs(spark, sf):
+    p = inputs.valid_positions(spark, sf)
+    twice = p.unionByName(p).unionByName(p.limit(1).withColumn("lat", F.lit(None).cast("double")))
+    for table, rule in ((polygon_source.from_arrays(inputs.concave_areas(spark, sf)), "winding"),
+                        (polygon_source.from_wkt(inputs.wkt_parts(spark, sf)), "interior")):
+        pairs_ = areas.polygon_join(table, twice, rule).groupBy("pid").count().collect()
+        for split in (None, 100):
+            assert sorted(areas.polygon_counts(table, twice, rule, split).collect()) == sorted(pairs_)
+
+
+@pytest.mark.parametrize("rule", areas.RULES)
+def test_no_pair_of_a_polygon_join_is_shuffled(spark, sf, rule):
+    """Whatever the number of edges, a pair is decided where it is made."""
+    squares = polygon_source.from_arrays(inputs.squares(spark, sf))
+    ring = [(10 + math.cos(i / 10), 50 + math.sin(i / 10)) for i in range(60)]
+    round_ = polygon_source.from_arrays(spark.createDataFrame(
+        [(1, [y for _, y in ring], [x for x, _ in ring])], "pid long, lats array<double>, lngs array<double>"))
+    for table in (squares, round_):
+        text = areas.polygon_join(table, inputs.positions(spark, sf), rule)._jdf.queryExecution().executedPlan().toString()
+        above = text[:text.index("BroadcastHashJoin")]
+        assert "Exchange" not in above and "Aggregate" not in above
