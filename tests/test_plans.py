@@ -62,3 +62,10 @@ def test_an_indexed_snapshot_is_read_by_tiles_in_reach(spark, tmp_path):
         hits = radius.range_join(centres, tables.within_reach(snapshot, centres, metric), metric)
         assert sorted(hits.collect()) == sorted(radius.range_join(centres, world, metric).collect())
     assert tables.within_reach(snapshot, centres.where("false")).count() == 0
+
+
+def test_a_text_is_parsed_once(spark, sf):
+    """A filter on the parsed rings, or one that an explode asks for, brings no copy of the parser."""
+    for name in ("rejected_areas", "polygon_from_wkt"):
+        text = plan(entry.queries()[name](spark, sf))
+        assert text.count("MULTIPOLYGON\\") == 1, name
