@@ -18,14 +18,16 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import cube, geodesy
 from fleetlens.operators.counting import places, pyramid
-from fleetlens.operators.radius import ball_join, range_search
-from fleetlens.session import spread
+from fleetlens.operators.radius import ball_join, first_hits, range_join, range_search
+from fleetlens.session import spread, stored
 
 # Neighbours tie at millimetres: a bound reaches that much farther (in earth radii).
 REACH_SLACK = 1e-9
 # A radius cap is searched as it is if no cell of its size has more than so many times k
 # positions. Results do not depend on it.
 CAP_CROWD = 8
+# Of more queries than that, those at one place are searched as one.
+SPOTS_FROM = 1_000_000
 
 
 def knn_search(
@@ -68,6 +70,47 @@ def knn_join(
     located = positions.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
     k = F.when(F.col("k") > max_k, F.raise_error(F.lit(f"a query has k over {max_k}")).cast("int")).otherwise(F.col("k"))
     q = queries.where(F.col("k").isNotNull()).select("qid", "lat", "lng", k.alias("k"))
+    columns = ["qid", "user_id", "latitude", "longitude", "distance_meter", *keep, "rank"]
+    spots = _spots(q, F.max("k").alias("k"))
+    ranked = _ranked(q if spots is None else spots, located, metric, max_radius_m, max_k, keep, rows_per_split)
+    if spots is None:
+        return ranked.select(*columns)
+    return q.join(ranked.drop("qid", "k"), ["lat", "lng"]).where(F.col("rank") <= F.col("k")).select(*columns)
+
+
+def first_within(queries: DataFrame, positions: DataFrame, n: int, metric: str = "sphere") -> DataFrame:
+    """The first ``n`` positions within each query's own ``radius_m`` with their rank, as
+    ``first_hits`` of a range join, without making the hits beyond them."""
+    q = queries.where(F.col("radius_m").isNotNull()).select("qid", "lat", "lng", "radius_m")
+    spots = _spots(q, F.lit(n).alias("k"))
+    if spots is None:
+        return first_hits(range_join(q, positions, metric), n)
+    cap = q.agg(F.max("radius_m")).head()[0]
+    located = positions.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    # Those that tie at millimetres with the n-th stay: a radius may end between them.
+    hits = _ranked(spots, located, metric, cap, n, (), None, ties=True).groupBy("lat", "lng").agg(F.sort_array(
+        F.collect_list(F.struct("distance_meter", "user_id", "latitude", "longitude", "_d"))).alias("_hits"))
+    within = F.slice(F.filter("_hits", lambda h: h["_d"] <= F.col("radius_m")), 1, n)
+    return q.join(hits, ["lat", "lng"]).select("qid", F.posexplode(within).alias("_at", "_h")).select(
+        "qid", "_h.user_id", "_h.latitude", "_h.longitude", "_h.distance_meter", (F.col("_at") + 1).alias("rank"))
+
+
+def _spots(queries: DataFrame, k: Column) -> DataFrame | None:
+    """Every place of a large table of queries once, with one query's id, if that at least halves it.
+    Queries at one place have the same neighbours."""
+    n = queries.count()
+    if n <= SPOTS_FROM:
+        return None
+    located = queries.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    spots = stored(located.groupBy("lat", "lng").agg(F.min("qid").alias("qid"), k), "spots")
+    return spots if 2 * spots.count() <= n else None
+
+
+def _ranked(
+    q: DataFrame, located: DataFrame, metric: str, max_radius_m: float | None, max_k: int,
+    keep: tuple[str, ...], rows_per_split: int | None, ties: bool = False,
+) -> DataFrame:
+    """Neighbours of ``qid, lat, lng, k`` up to the k-th, or with ``ties`` to the last that is as far."""
     total, crowd = (None, math.inf) if max_radius_m is None else _crowd(located, float(max_radius_m), metric)
     if crowd <= CAP_CROWD * max_k:
         # a range search that is ranked: a tighter bound would cost more than it saves
@@ -79,14 +122,15 @@ def knn_join(
     hits = pairs.withColumn("_d", d)
     if max_radius_m is not None:
         hits = hits.where(F.col("_d") <= max_radius_m)
-    order = Window.partitionBy("qid").orderBy("distance_meter", "user_id")
+    window = Window.partitionBy("qid")
+    number = (F.rank().over(window.orderBy("distance_meter")) if ties
+              else F.row_number().over(window.orderBy("distance_meter", "user_id")))
     return (
         hits.withColumn("distance_meter", geodesy.millimetres(F.col("_d")))
-        .select("qid", "user_id", "latitude", "longitude", "distance_meter", "k", *keep)
-        .withColumn("rank", F.row_number().over(order))
+        .select("qid", "lat", "lng", "user_id", "latitude", "longitude", "distance_meter", "_d", "k", *keep)
+        .withColumn("rank", number)
         # The literal bound lets each task drop all but max_k rows before the shuffle.
         .where((F.col("rank") <= max_k) & (F.col("rank") <= F.col("k")))
-        .drop("k")
     )
 
 

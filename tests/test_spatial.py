@@ -367,3 +367,21 @@ def test_no_pair_of_a_polygon_join_is_shuffled(spark, sf, rule):
         text = areas.polygon_join(table, inputs.positions(spark, sf), rule)._jdf.queryExecution().executedPlan().toString()
         above = text[:text.index("BroadcastHashJoin")]
         assert "Exchange" not in above and "Aggregate" not in above
+
+
+def test_queries_at_one_place_are_searched_once(world, monkeypatch):
+    q, p, sq, sp = world
+    many = sq.unionByName(sq.withColumn("qid", F.col("qid") + 1000).withColumn("k", F.lit(3).cast("long"))).unionByName(
+        sq.withColumn("qid", F.col("qid") + 2000).withColumn("radius_m", F.col("radius_m") / 2))
+    crowd = sp.unionByName(sp.withColumn("user_id", F.concat(F.lit("w"), "user_id")))
+    searches = [lambda: nearest.knn_join(many, crowd, "spheroid"), lambda: nearest.knn_join(many, crowd, max_radius_m=1e5),
+                lambda: nearest.first_within(many, crowd, 4), lambda: nearest.first_within(many, crowd, 4, "spheroid")]
+    one_by_one = [sorted(map(tuple, s().collect())) for s in searches]
+    hits = radius.first_hits(radius.range_join(many, crowd), 4)
+    assert one_by_one[2] == sorted(map(tuple, hits.collect()))
+    asked = []
+    real = nearest._ranked
+    monkeypatch.setattr(nearest, "SPOTS_FROM", 0)
+    monkeypatch.setattr(nearest, "_ranked", lambda q, *a, **kw: asked.append(q.count()) or real(q, *a, **kw))
+    assert [sorted(map(tuple, s().collect())) for s in searches] == one_by_one
+    assert max(asked) <= len(q)
