@@ -122,3 +122,47 @@ def test_topics_in_order_of_time_grow_in_files(spark, sf, monkeypatch):
         lambda b, i: seen.append(b.agg(F.min("ingest_ms"), F.max("ingest_ms")).head()[:])).trigger(availableNow=True).start()
     job.awaitTermination()
     assert len(seen) == len(times) // files and all(a[1] <= b[0] for a, b in zip(seen, seen[1:]))
+
+
+def test_state_is_divided_by_the_work_of_a_batch(spark, tmp_path, writes):
+    jobs.use_rocksdb(spark)
+    add, stream = writes
+    add(("a", 10_000), ("b", 10_900))
+    cores, before = spark.sparkContext.defaultParallelism, spark.conf.get(jobs.PARTITIONS)
+    spark.conf.set(jobs.PARTITIONS, "40")
+    try:
+        for wanted, got in ((1, cores), (cores + 3, cores + 3), (None, 40)):
+            job = jobs.start(jobs.status_expiry(stream(), "0 seconds", TTL), str(tmp_path / f"o{wanted}"),
+                             str(tmp_path / f"c{wanted}"), partitions=wanted)
+            job.awaitTermination()
+            assert job.lastProgress.stateOperators[0].numShufflePartitions == got
+            assert spark.conf.get(jobs.PARTITIONS) == "40"
+    finally:
+        spark.conf.set(jobs.PARTITIONS, before)
+
+
+def test_expiry_has_no_python_state(spark, writes):
+    add, stream = writes
+    add(("a", 10_000))
+    plan = jobs.status_expiry(stream(), "0 seconds", TTL)._jdf.queryExecution().analyzed().toString()
+    assert "session_window" in plan and "InPandas" not in plan
+
+
+@pytest.mark.parametrize("name", ["stream_status_expiry"])
+def test_registered_streams_open_no_state_without_work(spark, sf, monkeypatch, name):
+    started, start = [], jobs.start
+
+    def seen(*args, **kw):
+        started.append(start(*args, **kw))
+        return started[-1]
+
+    monkeypatch.setattr(jobs, "start", seen)
+    before = spark.conf.get(jobs.PARTITIONS)
+    spark.conf.set(jobs.PARTITIONS, "40")
+    try:
+        catalog.QUERIES[name](spark, sf)
+    finally:
+        spark.conf.set(jobs.PARTITIONS, before)
+    states = [s for p in started[0].recentProgress for s in p.stateOperators]
+    # one file a batch: a part per core will do
+    assert states and {s.numShufflePartitions for s in states} == {spark.sparkContext.defaultParallelism}
