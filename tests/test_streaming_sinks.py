@@ -148,7 +148,8 @@ def test_expiry_has_no_python_state(spark, writes):
     assert "session_window" in plan and "InPandas" not in plan
 
 
-@pytest.mark.parametrize("name", ["stream_status_expiry", "stream_status_periods", "stream_sliding_throughput", "stream_sliding_latency"])
+@pytest.mark.parametrize("name", ["stream_status_expiry", "stream_status_periods", "stream_sliding_throughput",
+                                  "stream_sliding_latency", "stream_freshness", "stream_latest"])
 def test_registered_streams_open_no_state_without_work(spark, sf, monkeypatch, name):
     started, start = [], jobs.start
 
