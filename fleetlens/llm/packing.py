@@ -66,8 +66,8 @@ class WordTokens:
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode words, many in one call, and keep them."""
+    def _learn(self, words: list[str]) -> dict[str, int]:
+        """Encode words, many in one call, and keep them; their numbers."""
         alone = {w: self._plain(w) for w in words if self.MARK in w or "<|" in w}
         rest = [w for w in words if w not in alone]
         ids, sizes = list(alone.values()), [len(x) for x in alone.values()]
@@ -81,15 +81,17 @@ class WordTokens:
             ids.append(coded[~marks])
             sizes += np.diff(cuts, prepend=-1, append=len(coded)).tolist()
             sizes[-len(some):] = [n - 1 for n in sizes[-len(some):]]
-        self._keep([*alone, *rest], np.concatenate([np.empty(0, "<u4"), *ids]), np.array(sizes, np.int64))
+        return self._keep([*alone, *rest], np.concatenate([np.empty(0, "<u4"), *ids]), np.array(sizes, np.int64))
 
-    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> dict[str, int]:
+        numbers = dict(zip(words, range(len(self.known), len(self.known) + len(words))))
         self.known = pa.concat_arrays([self.known, pa.array(words, pa.large_string())])
         self.flat = np.concatenate([self.flat, ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        return numbers
 
     def _find(self, words: pa.Array) -> np.ndarray:
-        """Numbers of kept words, -1 of others."""
+        """Numbers of kept words, -1 of others. Arrow hashes all kept words for each call."""
         return pc.fill_null(pc.index_in(words, self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def _split(self, word: str) -> tuple[str, str]:
@@ -110,17 +112,18 @@ class WordTokens:
         new = np.flatnonzero(at < 0)
         if not len(new):
             return at
-        texts = list(dict.fromkeys(words.take(pa.array(new)).to_pylist()))
-        parts = [self._split(w) for w in texts]
-        pieces = pa.array(list({x for p in parts for x in p}), pa.large_string())
-        self._learn(pieces.filter(pc.equal(pa.array(self._find(pieces)), -1)).to_pylist())
+        wanted = words.take(pa.array(new)).to_pylist()
+        parts = [(w, *self._split(w)) for w in dict.fromkeys(wanted)]
+        pieces = list(dict.fromkeys(x for _, *p in parts for x in p))
+        number = dict(zip(pieces, self._find(pa.array(pieces, pa.large_string())).tolist()))
+        number |= self._learn([x for x, n in number.items() if n < 0])
         # a word with signs at its end is kept as a whole, too
-        both = [(w, *p) for w, p in zip(texts, parts) if p[1]]
+        both = [p for p in parts if p[2]]
         if both:
-            halves = self._find(pa.array([x for _, *p in both for x in p], pa.large_string()))
+            halves = np.array([number[x] for _, *p in both for x in p])
             sizes = (self.ends[halves + 1] - self.ends[halves]).reshape(-1, 2).sum(1)
-            self._keep([w for w, *_ in both], self.gather(halves), sizes)
-        at[new] = self._find(words.take(pa.array(new)))
+            number |= self._keep([w for w, *_ in both], self.gather(halves), sizes)
+        at[new] = [number[w] for w in wanted]
         return at
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -79,3 +79,21 @@ def test_kept_words_survive_forgetting(monkeypatch):
         want = [*plain.encode(text, add_special_tokens=False).ids, packing.END_ID]
         assert ids.tolist() == [*want, packing.END_ID, *want]
         assert ends.tolist() == [0, len(want), len(want) + 1, 2 * len(want) + 1]
+
+
+def test_new_words_are_looked_up_twice(monkeypatch):
+    """Each look-up hashes all kept words, so there are two per slice: all words, then their parts."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    looked, find = [], packing.WordTokens._find
+    monkeypatch.setattr(packing.WordTokens, "_find", lambda self, words: looked.append(len(words)) or find(self, words))
+    tokens, plain = packing.WordTokens(path), Tokenizer.from_file(path)
+    slices = [["Well, well... it's well!", "x1,y2 (naïve) <|endoftext|>! \x01 a\x01b", ""],
+              ["well it's? naïve!! new, NEW; new! (naïve) !", "", "... ,"], ["Well, new! x1,y2"]]
+    for n, texts in enumerate(slices):
+        ids, ends = tokens.encode(pa.array(texts))
+        got = [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+        assert got == [[*plain.encode(t, add_special_tokens=False).ids, packing.END_ID] for t in texts]
+        assert len(looked) <= 2 * (n + 1)
+    # nothing new in the last slice
+    assert len(looked) == 5
+    assert len(tokens.known) == len(tokens.ends) - 1 == len(set(tokens.known.to_pylist()))
