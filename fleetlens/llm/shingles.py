@@ -31,6 +31,10 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+STRETCH = 1 << 16       # bytes
+POWERS, INVERSES = powers(BASE, STRETCH), powers(INVERSE, STRETCH)
+
+
 def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of the texts with A-Z as a-z, where each word `[^\\x20\\x09-\\x0D]+` starts and
     stops in them, and the ends of the texts, counted in words."""
@@ -52,12 +56,22 @@ def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def hashes_of(low: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A number per word: a polynomial over its bytes, from differences of running sums."""
-    n = len(low)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_CODES[low] * powers(BASE, n), out=sums[1:])
-    hashes = (sums[stops] - sums[starts]) * powers(INVERSE, n)[starts]
-    return mixed(hashes ^ (stops - starts).astype(np.uint64))
+    """A number per word: a polynomial over its bytes, from differences of running sums. These are
+    held of STRETCH bytes at a time, or of one longer word."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        begin = starts[at]
+        to = max(at + 1, int(np.searchsorted(stops, begin + STRETCH, "right")))
+        here = low[begin:stops[to - 1]]
+        n = len(here)
+        up, down = (POWERS, INVERSES) if n <= STRETCH else (powers(BASE, n), powers(INVERSE, n))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(BYTE_CODES[here] * up[:n], out=sums[1:])
+        first = starts[at:to] - begin
+        out[at:to] = (sums[stops[at:to] - begin] - sums[first]) * down[first]
+        at = to
+    return mixed(out ^ (stops - starts).astype(np.uint64))
 
 
 def shingle_sets(text: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
