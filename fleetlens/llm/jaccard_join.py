@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.arrays import packed, spans, text_slices
+from fleetlens.llm.arrays import giving_back, packed, spans, text_slices
 from fleetlens.llm.common import commonest, join_by_key, private, stored, text_or_empty
 from fleetlens.llm.components import components
 from fleetlens.llm.shingles import WIDTH, mixed, shingle_sets, sums_by_row
@@ -48,6 +48,7 @@ SETS = "id long, n long, k long, k2 long, counts binary, common binary"
 
 
 def _sets(width: int):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per document, and one per slice (null id) with shingles that it has repeatedly."""
         for part in text_slices(batches, "text", SLICE):
@@ -72,6 +73,7 @@ def _sets(width: int):
     return run
 
 
+@giving_back
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for cell in batch.column("common").to_pylist():
@@ -95,6 +97,7 @@ def least_overlap(n, similar: int):
 
 
 def _entries(known, width: int, similar: int, hot: int):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = known.value
         for part in text_slices(batches, "text", SLICE):
@@ -147,6 +150,7 @@ def regions(entries: DataFrame, similar: int) -> DataFrame:
 
 
 def _could_be_similar(similar: int):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -163,6 +167,7 @@ def _could_be_similar(similar: int):
 
 
 def _compare(width: int):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by (b, part), the pivot's text first: a, b, overlap, union."""
         pivot, pivot_set = None, np.empty(0, np.uint64)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fleetlens.llm.arrays import packed, spans, text_slices
+from fleetlens.llm.arrays import giving_back, packed, spans, text_slices
 from fleetlens.llm.common import stored, text_or_empty
 
 CAPACITY = 4096
@@ -153,6 +153,7 @@ PIECES = ("id long, piece int, start long, length long, ids_crc32 long, ids bina
 def cut_pieces(docs: DataFrame, path: str, capacity: int, id_col: str, text_col: str,
                with_ids: bool) -> DataFrame:
     """PIECES of every document: ``place`` numbers a task's pieces of one length from 0."""
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, task = word_tokens(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
@@ -381,6 +382,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "do
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = per_task.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
 
+    @giving_back
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))

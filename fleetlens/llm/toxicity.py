@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.arrays import text_slices
+from fleetlens.llm.arrays import giving_back, text_slices
 from fleetlens.llm.common import private, stored, text_or_empty
 
 SAMPLE_ROWS = 20_000    # the models are fitted on at most so many labelled rows
@@ -151,6 +151,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Co
     return stored(joined.select((F.abs(F.hash("_id")) % FOLDS).alias("fold"), "text", *categories), "toxicity-sample")
 
 
+@giving_back
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches, "text"):
         found = [sorted(features_of(t)) for t in part.column("text").to_pylist()]
@@ -199,6 +200,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     chosen = choose_features(sample, names, features)
     chain = Chain(names, {f: i for i, f in enumerate(sorted(set().union(*chosen.values())))})
 
+    @giving_back
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
             have, values = zip(*(chain.values(t) for t in part.column("text").to_pylist()))
@@ -243,6 +245,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     null; repeated rows give equal rows; the whole text counts, whatever its length."""
     names = chain.categories
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
             p = np.round(chain.probabilities(part.column("text").to_pylist()), 6)
@@ -259,6 +262,7 @@ def keep_clean(docs: DataFrame, chain: Chain, category: str = "toxic", threshold
     """The rows of ``docs``, with all columns, whose probability is below ``threshold``."""
     at, names, scored = chain.categories.index(category), docs.columns, private(docs, "_scored")
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, scored):
             p = np.round(chain.probabilities(part.column(scored).to_pylist())[:, at], 6)

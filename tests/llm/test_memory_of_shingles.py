@@ -1,6 +1,10 @@
-"""Hashes of words take memory by the stretch, not eight bytes and more for each byte of the texts."""
+"""Hashes of words take memory by the stretch, not eight bytes and more for each byte of the texts,
+and workers return what they have freed."""
 
+import subprocess
+import sys
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,3 +40,30 @@ def test_a_slice_of_texts_takes_little_beside_its_sets():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == 2001 and peak < 20 * size
+
+
+LEFT = """
+import re
+import pyarrow as pa
+from fleetlens.llm import jaccard_join
+
+def own():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def batches():
+    for at in range(4):
+        texts = [" ".join(f"w{(at * 7 + i * j) % 4999}" for j in range(400)) for i in range(3000)]
+        yield pa.record_batch([pa.array(range(3000)), pa.array(texts)], names=["id", "text"])
+
+run = jaccard_join._sets(5)
+before = own()
+assert sum(b.num_rows for b in run(batches())) >= 12000
+print(own() - before)
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="needs the kernel's own figures")
+def test_an_idle_worker_keeps_little_of_its_last_task():
+    root = Path(__file__).parents[2]
+    done = subprocess.run([sys.executable, "-c", LEFT], cwd=root, capture_output=True, text=True, timeout=120, check=True)
+    assert float(done.stdout) < 50
